@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .fingerprint import edited_fingerprints
 from .jaccard import jaccard_join
+from .packing import pack, token_pieces
 from .substring_dedup import substring_dedup
 
 QUERIES, ORACLES = {}, {}
@@ -72,3 +73,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_fingerprint")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op4_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_pieces(table(spark, sf_dir, "documents")))
