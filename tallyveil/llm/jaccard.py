@@ -95,6 +95,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(row, end - row), pa.array(size.astype(np.int64)), pa.array(np.diff(sums).view(np.int64)), pa.array(np.diff(other).view(np.int64)), lists], ["doc_id", "n", "a", "b", "tokens"])
 
     every = saved(docs.mapInArrow(sets, "doc_id long, n long, a long, b long, tokens array<long>"), "sets")
+    found.destroy()
     key = F.coalesce("doc_id", F.lit(LAST))
     # Equal sets: one representative, found by 128 bits of digest and the size; map-side minima keep large classes small.
     classes = every.filter("tokens IS NOT NULL").groupBy("n", "a", "b").agg(F.min(key).alias("rep"))
