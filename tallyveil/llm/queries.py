@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .fingerprint import edited_fingerprints
 from .jaccard import jaccard_join
+from .language import predict_languages
 from .packing import pack, token_pieces
+from .quality import predict_quality
 from .substring_dedup import substring_dedup
 
 QUERIES, ORACLES = {}, {}
@@ -78,3 +80,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents")))
+
+
+@query("op1_language")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
