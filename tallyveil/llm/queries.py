@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import benchmark_matches
 from .fingerprint import edited_fingerprints
 from .jaccard import jaccard_join
 from .language import predict_languages
@@ -90,3 +91,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_quality")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
