@@ -10,6 +10,7 @@ from .decontamination import benchmark_matches
 from .fingerprint import edited_fingerprints
 from .jaccard import jaccard_join
 from .language import predict_languages
+from .licenses import scan_licenses
 from .packing import pack, token_pieces
 from .quality import predict_quality
 from .substring_dedup import substring_dedup
@@ -105,3 +106,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return read_back(format_conversations(turns))
+
+
+@query("op10_licenses")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
