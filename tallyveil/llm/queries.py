@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from .language import predict_languages
 from .licenses import scan_licenses
 from .packing import pack, token_pieces
 from .quality import predict_quality
+from .components import saved, shared_folder
+from .token_counts import TokenCounts, bpe_count, count_tokens, spoken_word_count, word_count
 from .substring_dedup import substring_dedup
 
 QUERIES, ORACLES = {}, {}
@@ -111,3 +115,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_licenses")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches over all documents: counts by two tokenizers are inserted, later copies of equal
+    texts are deleted, and ``words`` counts are revised; the second batch is applied twice."""
+    docs = table(spark, sf_dir, "documents")
+    counts = saved(count_tokens(docs, {"words": word_count, "words-revised": spoken_word_count, "word_bpe_49k": bpe_count()}), "counts")
+    digest = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.octet_length("text"))
+    classes = docs.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first_id"))
+    copies = docs.select("doc_id", digest.alias("digest")).join(classes, "digest").filter("doc_id > first_id").select("doc_id").distinct()
+    ledger = TokenCounts(spark, f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}")
+    ledger.apply("load", counts.filter("version != 'words-revised'").withColumn("op", F.lit("insert")))
+    deletes = counts.filter("version != 'words-revised'").join(copies, "doc_id", "left_semi").withColumn("op", F.lit("delete"))
+    for _ in range(2):
+        ledger.apply("copies", deletes)
+    ledger.apply("revised", counts.filter("version = 'words-revised'").withColumn("version", F.lit("words")).withColumn("op", F.lit("revise")))
+    return ledger.totals()
