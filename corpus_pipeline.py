@@ -1,3 +1,57 @@
-STAGES = []
+"""A training-data pipeline over ``documents``: five operators in a row, each on all that the one before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyveil.llm import language
+from tallyveil.llm.components import saved
+from tallyveil.llm.decontamination import decontaminated
+from tallyveil.llm.jaccard import near_duplicates
+from tallyveil.llm.packing import pack, token_pieces
+from tallyveil.llm.substring_dedup import without_repeats
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified; the model learns from a bounded sample of their own labels."""
+    return language.accepted(docs, language.fit(docs))
+
+
+def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_duplicates(docs)
+
+
+def substring_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document holds."""
+    return without_repeats(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, placed in sequences."""
+    return pack(token_pieces(docs))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicate_removal),
+    ("substring_dedup", substring_deduplication),
+    ("decontamination", benchmark_decontamination),
+    ("packing", packing),
+]
+
+#: SQL cannot express the model or the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written as Parquet and read again as the next one's input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return docs

@@ -56,3 +56,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     centres = now.select(F.col("v").alias("id")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(centres.select("id", F.col("id").alias("component")))
+
+
+def bounded_broadcast(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """A broadcast hint for narrow rows counted to be ``limit`` at most; else ``df`` as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

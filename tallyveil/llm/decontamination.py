@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import saved
+from .components import bounded_broadcast, saved
 
 WINDOW = 10
 MIN_LITERAL = 5  # words that are no slot, in a match that counts
-BROADCAST_ROWS = 1_000_000  # of 16 bytes; above it the joins shuffle
 # Unit words that may follow a number.
 UNITS = "kg g mg lb lbs oz km m cm mm mi miles mile feet foot ft inch inches yards l ml litres liters gallons s sec seconds min minutes h hours days weeks months years mph kmh percent dollars euros pounds cents degrees watts volts joules newtons".split()
 
@@ -56,11 +55,6 @@ def _windows(words: Column, widths: list[int]) -> Column:
     return _let(F.transform(words, _template_hash), lambda hashes: F.flatten(F.array(*(of(hashes, w) for w in widths))) if len(widths) > 1 else of(hashes, widths[0]))
 
 
-def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a table counted to have ``limit`` rows at most; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The best match of each document and benchmark item that counts as a leak; documents without one have no row.
 
@@ -84,13 +78,13 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     wanted = wanted.select(F.col("x.h").alias("h"), "item_id", F.xxhash64("item_tokens").alias("item_hash"), F.col("x.at").alias("item_at"), F.col("x.width").alias("width"))
 
     seen = texts.select("doc_id", "text_hash", F.explode(_windows(_marked_words(F.col("text")), sizes or [window])).alias("x")).select("doc_id", "text_hash", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
-    hits = seen.join(_small(wanted), "h")
+    hits = seen.join(bounded_broadcast(wanted), "h")
     # One row for each document, item and alignment: the words from the first matched window to the end of the last.
     runs = hits.groupBy("doc_id", "text_hash", "item_id", "item_hash", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.min("item_at").alias("begin"), F.max(F.col("item_at") + F.col("width")).alias("end"))
     runs = saved(runs, "runs")
 
     keys = runs.select("doc_id", "text_hash").distinct()
-    matched = texts.join(_small(keys), texts["doc_id"].eqNullSafe(keys["doc_id"]) & (texts["text_hash"] == keys["text_hash"]), "left_semi")
+    matched = texts.join(bounded_broadcast(keys), texts["doc_id"].eqNullSafe(keys["doc_id"]) & (texts["text_hash"] == keys["text_hash"]), "left_semi")
     matched = matched.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), _marked_words(F.col("text")).alias("doc_tokens"))
     known = items.select(F.col("item_id").alias("_item"), F.xxhash64("item_tokens").alias("_item_hash"), "item_tokens")
     both = runs.join(matched, runs["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).join(known, runs["item_id"].eqNullSafe(F.col("_item")) & (F.col("item_hash") == F.col("_item_hash")))
@@ -113,6 +107,6 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a leak (rows of one id go together)."""
-    leaks = benchmark_matches(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs[id_col].eqNullSafe(F.col("_leak")), "left_anti")
+    """``docs`` without the documents that hold a leak (rows of one id go together; rows without an id stay)."""
+    leaks = saved(benchmark_matches(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    return docs.join(bounded_broadcast(leaks), docs[id_col] == F.col("_leak"), "left_anti")

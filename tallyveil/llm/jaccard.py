@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .components import connected_components, saved
+from .components import bounded_broadcast, connected_components, saved
 from .words import lower_ascii, mix, span_hashes, spans, text_chunks, window_hashes
 
 MAX_MATCH = 6
@@ -238,6 +238,14 @@ def _join_group(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """Rows of ``docs`` without all but the smallest id of each group of near copies (five words, 0.8)."""
-    groups = jaccard_join(docs, id_col, text_col, width, threshold).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(groups, docs[id_col].eqNullSafe(groups["_keep"]), "left_semi")
+    """``docs`` with one document, the smallest id, of each group of near copies (five words, 0.8).
+
+    Rows that share an id stay or go together, but of rows equal in id and text one stays. Rows without an id stay.
+    """
+    groups = jaccard_join(docs, id_col, text_col, width, threshold)
+    gone = saved(groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = docs.join(bounded_broadcast(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    repeated = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").take(1)
+    if not repeated:
+        return kept
+    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(kept.filter(F.col(id_col).isNull()))

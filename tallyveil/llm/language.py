@@ -149,36 +149,53 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(collected(bounded_sample(rows, "key", "label", train_docs).select("text", "label")))
 
 
+def _judged(column: pa.Array, m: LanguageModel) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, language index or -1, probability, rejected) of runs of texts."""
+    for row, end, data, offsets in text_chunks(pc.utf8_lower(column)):
+        p = m.probabilities(data, offsets) if m.languages else np.zeros((end - row, 1))
+        best, top = p.argmax(axis=1), p.max(axis=1)
+        plain = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
+        mute = np.zeros(end - row, bool)
+        for i in np.flatnonzero(np.diff(plain[offsets]) == 0):  # no ASCII letter: look for others
+            mute[i] = not any(map(str.isalpha, bytes(data[offsets[i] : offsets[i + 1]]).decode()))
+        best[mute], top[mute] = -1, 0.0
+        if not m.languages:
+            best[:] = -1
+        yield row, end, best, np.clip(top, 0, 1).astype(float), mute | (top < m.threshold if m.languages else False)
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id, lang_pred, score, rejected for each row of ``docs``.
 
-    ``und``, score 0 and rejected: null text, no letter in the text, or a model without languages. Else the
-    likeliest language and its calibrated probability, rejected below the model's threshold. Repeated rows each
-    get a row; other columns are ignored.
+    ``und``, score 0 and rejected: null text or no letter in the text. A model without languages says ``und`` and
+    rejects no other text. Else the likeliest language and its calibrated probability, rejected below the
+    model's threshold. Repeated rows each get a row; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        names = np.array([*m.languages, UNKNOWN], object)
+        names = np.array([*shared.value.languages, UNKNOWN], object)
         for batch in batches:
-            for row, end, data, offsets in text_chunks(pc.utf8_lower(batch["text"])):
-                p = m.probabilities(data, offsets) if m.languages else np.zeros((end - row, 1))
-                best, top = p.argmax(axis=1), p.max(axis=1)
-                plain = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
-                for i in np.flatnonzero(np.diff(plain[offsets]) == 0):  # no ASCII letter: look for others
-                    text = bytes(data[offsets[i] : offsets[i + 1]]).decode()
-                    if not any(map(str.isalpha, text)):
-                        best[i], top[i] = -1, 0.0
-                if not m.languages:
-                    best[:] = -1
-                rejected = (best < 0) | (top < m.threshold)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(row, end - row), pa.array(names[best], pa.string()), pa.array(np.clip(top, 0, 1).astype(float)), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
+            for row, end, best, top, rejected in _judged(batch["text"], shared.value):
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(row, end - row), pa.array(names[best], pa.string()), pa.array(top), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(score, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``identify`` does not reject; the text column must be a string."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = [~rejected for _, _, _, _, rejected in _judged(batch[text_col], shared.value)]
+            if flags:
+                yield batch.filter(pa.array(np.concatenate(flags)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def predict_languages(docs: DataFrame) -> DataFrame:
     """Learn from the documents whose checksum modulo 4 is not 2 and predict all: adds ``held_out`` (it is 2)."""
     model = fit(docs.filter(fold(F.col("doc_id"), 4) != 2))

@@ -52,16 +52,17 @@ def _batch(rows: list[tuple], kind: int) -> pa.RecordBatch:
 _SCHEMA = "part int, kind int, h binary, g binary, doc binary, tag binary, pos binary"
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a row of ``docs``: ``doc_id``, ``n_words``, ``n_removed`` and ``kept`` (kept words joined by a space).
 
     A window is ``window`` consecutive words of one row. A word goes if a window over it also starts in a row
     with a smaller id; windows are judged on the input. Null text: no words, kept is ''. Texts with fewer words
-    than a window: nothing goes. Null id: counts as larger than all others. Rows that share an id are separate
-    texts and do not remove from each other. Other columns are ignored; an empty table gives no rows.
+    than a window: nothing goes. ``carry`` names further columns to keep. Null id: counts as larger than all others. Rows that share an id are separate
+    texts and do not remove from each other. Columns not named are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(c) for c in carry)).alias("carried") if carry else F.lit(None).cast("boolean").alias("carried"))
+    docs, carried = every.select("doc_id", "text"), every.schema["carried"].dataType
     n_bytes = sketch.text_bytes(docs, "text")
     tagged = bool(docs.groupBy("doc_id").count().filter("count > 1").take(1))
     parts = max(8, n_bytes // PART_BYTES + 1)
@@ -144,9 +145,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_place(_ids(batch["doc_id"]), parts)), pa.array([1] * len(batch), pa.int32()), batch["doc_id"], batch["text"]], ["part", "kind", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(_place(_ids(batch["doc_id"]), parts)), pa.array([1] * len(batch), pa.int32()), batch["doc_id"], batch["text"], batch["carried"]], ["part", "kind", "doc_id", "text", "carried"])
 
-    texts = docs.mapInArrow(placed, "part int, kind int, doc_id long, text string")
+    texts = every.mapInArrow(placed, f"part int, kind int, doc_id long, text string, carried {carried.simpleString()}")
     both = removed.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "doc", "tag", "pos").unionByName(texts, allowMissingColumns=True)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +183,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out.append((n, n - len(words), b" ".join(words), i))
             if out:
                 n, gone, kept, rows = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(rows)), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(rows)), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch["carried"].take(pa.array(rows))], ["doc_id", "n_words", "n_removed", "kept", "carried"])
 
-    return both.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(joined, "doc_id long, n_words long, n_removed long, kept string")
+    out = both.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(joined, f"doc_id long, n_words long, n_removed long, kept string, carried {carried.simpleString()}")
+    return out.select("doc_id", "n_words", "n_removed", "kept", *(F.col("carried").getField(c).alias(c) for c in carry))
 
 
 def _removals(c: dict[str, np.ndarray], parts: int) -> pa.RecordBatch:
@@ -199,3 +201,18 @@ def _by_document(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     doc, tag, pos = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.argsort(doc, kind="stable")
     return doc[order], tag[order], pos[order], None
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
+    """``docs``, same columns, with the repeated words cut from the texts and the lengths set anew.
+
+    Texts that lose nothing stay as they are; rows that lose all their words go.
+    """
+    rest = tuple(c for c in docs.columns if c != id_col)
+    out = substring_dedup(docs, id_col, text_col, window, carry=rest).filter("n_removed = 0 OR n_removed < n_words")
+    cut = F.col("n_removed") > 0
+    new = {id_col: F.col("doc_id"), text_col: F.when(cut, F.col("kept")).otherwise(F.col("_" + text_col))}
+    if chars_col in docs.columns:
+        new[chars_col] = F.when(cut, F.char_length("kept").cast(docs.schema[chars_col].dataType)).otherwise(F.col("_" + chars_col))
+    out = out.toDF("doc_id", "n_words", "n_removed", "kept", *("_" + c for c in rest))
+    return out.select(*(new.get(c, F.col("_" + c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
