@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from array import array
+from itertools import chain
 
 WORD_BPE = "word_bpe_49k.json"
-CACHE_WORDS = 400_000
-_PRINTABLE = re.compile(rb"[!-~]+")
-# The pre-tokenizer's pattern, for lower-case ASCII words.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_TAIL = re.compile(r"^(.*[^\x00-\x7f])([.,!?;:*$%#&|]+)$", re.DOTALL)
+CACHE_WORDS = 400_000  # of each of two generations
+# Words of printable ASCII signs and Latin letters, which are their own normal form, and the pre-tokenizer's
+# pattern for them in lower case.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ɏ]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^\sa-z0-9À-ÖØ-öø-ɏ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else from 256 on."""
+    shown = set(chain(range(33, 127), range(161, 173), range(174, 256)))
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
 
 
 def vocabulary_path(name: str = WORD_BPE) -> str:
@@ -24,8 +34,9 @@ def vocabulary_path(name: str = WORD_BPE) -> str:
 class WordTokens(dict):
     """Word (UTF-8 bytes without ASCII white space) -> its ids as little-endian unsigned 32-bit integers.
 
-    Right for tokenizers that drop white space and never join what it separates; words that are not plain
-    ASCII go through the whole tokenizer. The cache starts anew when full, so memory is bounded.
+    Right for tokenizers that drop white space and never join what it separates; words with other signs than
+    ASCII and Latin letters go through the whole tokenizer. When a cache is full it becomes the old generation,
+    from which used entries come back, so memory is bounded and frequent words stay.
     """
 
     def __init__(self, path: str):
@@ -34,36 +45,37 @@ class WordTokens(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(self.parts) >= CACHE_WORDS:
-            self.parts.clear()
-        if _PRINTABLE.fullmatch(word) and b"<|" not in word:
-            ids = b"".join([self._part(p) for p in _PIECES.findall(word.decode().lower())])
-        else:
+        ids = self.old.get(word)
+        if ids is None:
             text = word.decode()
-            cut = _TAIL.match(text)
-            ids = self._whole(cut[1]) + b"".join([self._part(p) for p in _PIECES.findall(cut[2])]) if cut and "<|" not in text else self._whole(text)
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                pieces = _PIECES.findall(text.lower())
+                ids = self._part(pieces[0]) if len(pieces) == 1 else b"".join(map(self._part, pieces))
+            else:
+                ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(word) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
+        if ids is not None:
+            return ids
+        ids = self.old_parts.get(part)
         if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
-            if len(part) <= 64:
-                self.parts[part] = ids
-        return ids
-
-    def _whole(self, text: str) -> bytes:
-        ids = self.parts.get(text)
-        if ids is None:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(text) <= 64:
-                self.parts[text] = ids
+            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
+            ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        if len(part) <= 64:
+            if len(self.parts) >= CACHE_WORDS:
+                self.old_parts, self.parts = self.parts, {}
+            self.parts[part] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
