@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..schemas import FACTS
 
 PARSING_ERROR = "REPORT_PARSING_ERROR"
+FACTS_TYPE = T.ArrayType(T.StructType([T.StructField("bucket", T.BinaryType()), T.StructField("value", T.LongType()), T.StructField("id", T.DecimalType(20, 0))]))
 _LIMITS = {"bucket": 16, "value": 4, "id": 8}
 
 
@@ -79,7 +79,7 @@ def decode_payload(df: DataFrame, column: str = "payload") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array([b[0] for b in both], pa.string()), pa.array([b[1] for b in both], facts), pa.array(errors, pa.list_(pa.string()))], [*names, "operation", "data", "payload_errors"])
 
     schema = T.StructType([df.schema[n] for n in names])
-    schema = schema.add("operation", T.StringType()).add("data", T.StructType.fromDDL(f"d {FACTS}")["d"].dataType).add("payload_errors", T.ArrayType(T.StringType()))
+    schema = schema.add("operation", T.StringType()).add("data", FACTS_TYPE).add("payload_errors", T.ArrayType(T.StringType()))
     return df.mapInArrow(decoded, schema)
 
 

@@ -109,18 +109,18 @@ def lacking_budget(units: DataFrame, ledger: DataFrame, limit: int | None = None
     return out if limit is None else out.orderBy(*UNIT).limit(limit)
 
 
+def _exists(spark, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_ledger(spark, path: str) -> DataFrame:
     """Budget used so far. Only batches with a commit count; a path without any is an empty ledger."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not (_exists(spark, f"{path}/commits") and _exists(spark, f"{path}/units")):
         return spark.createDataFrame([], LEDGER)
     commits = spark.read.schema("batch string").parquet(f"{path}/commits").distinct()
-    return spark.read.schema(LEDGER).option("basePath", f"{path}/units").parquet(f"{path}/units").join(bounded_broadcast(commits), "batch", "left_semi").select(*LEDGER.names) if _has_batches(spark, path) else spark.createDataFrame([], LEDGER)
-
-
-def _has_batches(spark, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/units")
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    used = spark.read.schema(f"{LEDGER}, batch string").option("basePath", f"{path}/units").parquet(f"{path}/units")
+    return used.join(bounded_broadcast(commits), "batch", "left_semi").select(*UNIT, "used")
 
 
 def consume_budget(units: DataFrame, path: str, batch: str | None = None, limit: int | None = None) -> DataFrame:
@@ -130,10 +130,8 @@ def consume_budget(units: DataFrame, path: str, batch: str | None = None, limit:
     further effect. One writer at a time.
     """
     spark, batch = units.sparkSession, batch or uuid.uuid4().hex
-    commits = f"{path}/commits"
-    where = spark._jvm.org.apache.hadoop.fs.Path(commits)
-    none = units.limit(0)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) and spark.read.schema("batch string").parquet(commits).filter(F.col("batch") == batch).take(1):
+    commits, none = f"{path}/commits", units.limit(0)
+    if _exists(spark, commits) and spark.read.schema("batch string").parquet(commits).filter(F.col("batch") == batch).take(1):
         return none
     lacking = lacking_budget(units, read_ledger(spark, path), limit)
     if lacking.take(1):

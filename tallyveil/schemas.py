@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-REPORT = T.StructType.fromDDL("payload binary, key_id string, shared_info string")
-DOMAIN = T.StructType.fromDDL("bucket binary")
-SUMMARY = T.StructType.fromDDL("bucket binary, metric bigint")
-DEBUG = T.StructType.fromDDL("bucket binary, unnoised_metric bigint, noise bigint, annotations array<string>")
-LEDGER = T.StructType.fromDDL("privacy_budget_key string, reporting_window timestamp, reporting_origin string, used int")
+REPORT = "payload binary, key_id string, shared_info string"
+DOMAIN = "bucket binary"
+SUMMARY = "bucket binary, metric bigint"
+DEBUG = "bucket binary, unnoised_metric bigint, noise bigint, annotations array<string>"
+LEDGER = "privacy_budget_key string, reporting_window timestamp, reporting_origin string, used int"
 FACTS = "array<struct<bucket:binary,value:bigint,id:decimal(20,0)>>"
 PAYLOAD = f"struct<operation:string,data:{FACTS}>"
 #: Times arrive as numbers or text; as text, fractions and large values survive.
-SHARED_INFO_JSON = T.StructType.fromDDL(
+SHARED_INFO_JSON = (
     "version string, api string, scheduled_report_time string, reporting_origin string, attribution_destination string, source_registration_time string, report_id string, debug_mode string"
 )
 UNIT = ["privacy_budget_key", "reporting_window", "reporting_origin"]
