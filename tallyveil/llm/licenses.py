@@ -74,8 +74,9 @@ def winnowed(words: np.ndarray) -> list[tuple[int, int]]:
 
 
 def align(template: np.ndarray, text: np.ndarray, band: int = BAND) -> tuple[int, int, int]:
-    """Matched words, first and end word in ``text`` of the best banded alignment (longest common subsequence, then
-    the tightest span); cell (i, j) is looked at when j - i is between 0 and twice the band."""
+    """Matched words, first and end word in ``text`` of the best banded alignment: most words in common, then the
+    tightest span, then the start nearest to ``band``, where the template is expected to begin. Cell (i, j) is
+    looked at when j - i is between 0 and twice the band."""
     n, m, width = len(template), len(text), 2 * band + 1
     best = [(0, 0, 0)] * width  # by diagonal: matched words, place of the first (late is tight), end of the last
     for i in range(n):
@@ -92,7 +93,7 @@ def align(template: np.ndarray, text: np.ndarray, band: int = BAND) -> tuple[int
                 options.append(row[-1])  # text word left out
             row.append(max(options, key=lambda x: (x[0], x[1], -x[2])))
         best = row
-    k, first, end = max(best, key=lambda x: (x[0], x[1], -x[2]))
+    k, first, end = max(best, key=lambda x: (x[0], x[1] - x[2], -abs(x[1] - band)))
     return (k, first, end) if k else (0, 0, 0)
 
 
@@ -118,7 +119,7 @@ class Index:
                 found += [(int(document[i]), int(self.template[e]), int(at[i] - self.at[e])) for e in range(a[i], b[i])]
         out: list[tuple[int, int, int]] = []
         for x in sorted(set(found)):
-            if not out or out[-1][:2] != x[:2] or x[2] - out[-1][2] > BAND:
+            if not out or out[-1][:2] != x[:2] or x[2] - out[-1][2] > min(BAND, len(self.words[x[1]]) // 2):
                 out.append(x)
         return out
 
@@ -145,11 +146,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
                 words = span_hashes(low, starts, ends)
                 matches: dict[int, list[tuple]] = {}
                 for document, t, expected in index.candidates(words, first):
-                    begin = max(first[document] + expected - BAND, first[document])
-                    end = min(first[document] + expected + len(index.words[t]) + BAND, first[document + 1])
-                    k, a, b = align(index.words[t], words[begin:end])
+                    low_word, high_word = first[document] + expected - BAND, first[document] + expected + len(index.words[t]) + BAND
+                    begin, end = max(low_word, first[document]), min(high_word, first[document + 1])
+                    pad = np.zeros(begin - low_word, np.uint64)  # before the text's first word: matches nothing
+                    k, a, b = align(index.words[t], np.concatenate([pad, words[begin:end]]))
                     if k >= min_coverage * len(index.words[t]):
-                        matches.setdefault(document, []).append((3 * k - (b - a) - len(index.words[t]), k, index.names[t], begin + a, begin + b, len(index.words[t])))
+                        matches.setdefault(document, []).append((3 * k - (b - a) - len(index.words[t]), k, index.names[t], low_word + a, low_word + b, len(index.words[t])))
                 for document, found in sorted(matches.items()):
                     kept: list[tuple] = []
                     for x in sorted(set(found), key=lambda x: (-x[0], -x[1], x[2], x[3])):
