@@ -15,7 +15,7 @@ from .language import predict_languages
 from .licenses import scan_licenses
 from .packing import pack, token_pieces
 from .quality import predict_quality
-from .components import saved, shared_folder
+from .components import bounded_broadcast, saved, shared_folder
 from .token_counts import TokenCounts, bpe_count, count_tokens, spoken_word_count, word_count
 from .substring_dedup import substring_dedup
 
@@ -124,8 +124,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = saved(count_tokens(docs, {"words": word_count, "words-revised": spoken_word_count, "word_bpe_49k": bpe_count()}), "counts")
     digest = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.octet_length("text"))
-    classes = docs.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first_id"))
-    copies = docs.select("doc_id", digest.alias("digest")).join(classes, "digest").filter("doc_id > first_id").select("doc_id").distinct()
+    classes = docs.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = docs.select("doc_id", digest.alias("digest")).join(bounded_broadcast(saved(classes, "classes")), "digest").filter("doc_id > first_id").select("doc_id").distinct()
     ledger = TokenCounts(spark, f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}")
     ledger.apply("load", counts.filter("version != 'words-revised'").withColumn("op", F.lit("insert")))
     deletes = counts.filter("version != 'words-revised'").join(copies, "doc_id", "left_semi").withColumn("op", F.lit("delete"))
