@@ -27,7 +27,8 @@ from .words import lower_ascii, mix, span_hashes, spans, text_chunks, window_has
 
 MAX_MATCH = 6
 VERIFY_COST = 8.0  # of one candidate, in list entries
-BLOCK_TOKENS = 1 << 20  # tokens of one block of a group; a task holds two
+BLOCK_TOKENS = 1 << 20  # tokens of one block of a group at most; a task holds two blocks
+SHARE_TOKENS, SHARE_BLOCKS = 1 << 14, 16  # a group above so many tokens is shared out to several blocks, up to 16
 LAST = np.iinfo(np.int64).max
 
 
@@ -112,7 +113,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = saved(reps.join(groups, "id"), "members")
     weights = members.groupBy("component").agg(F.sum(F.size("tokens")).alias("weight"))
     # A group is dealt to blocks by hash of id, and each pair of blocks is a task's; a small group is one block.
-    members = members.join(weights, "component").withColumn("blocks", F.ceil(F.col("weight") / F.lit(block_tokens)).cast("int"))
+    blocks = F.greatest(F.ceil(F.col("weight") / block_tokens), F.least(F.ceil(F.col("weight") / SHARE_TOKENS), F.lit(SHARE_BLOCKS)))
+    members = members.join(weights, "component").withColumn("blocks", blocks.cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "tokens", "prefix", "matches", "levels"
