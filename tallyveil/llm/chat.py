@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import small_batches
 from .tokens import WORD_BPE, word_tokens
 
 BUDGET = 1024  # tokens of a window; a single turn above it has a window of its own
@@ -116,6 +117,7 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, vocabulary: str
         if rows:
             yield _batch(rows)
 
+    small_batches(turns.sparkSession)
     text_or_empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), text_or_empty(role_col).alias("role"), text_or_empty(text_col).alias("text"))
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_last("turn"), "role", "text")

@@ -25,6 +25,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark, limit: str = "4m") -> None:
+    """Arrow batches of about 4 MB from here on in this session, unless their size has been set to something else.
+
+    Rows of long texts then need little memory in a task.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's own default
+        spark.conf.set(name, limit)
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Equal for equal sets of edges, whatever their order."""
     h = F.xxhash64("u", "v")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .components import bounded_broadcast, connected_components, saved
+from .components import bounded_broadcast, connected_components, saved, small_batches
 from .words import lower_ascii, mix, span_hashes, spans, text_chunks, window_hashes
 
 MAX_MATCH = 6
@@ -71,6 +71,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     component. Repeated rows each get a row. Other columns are ignored; an empty table gives no rows.
     """
     spark, (num, den) = docs.sparkSession, threshold
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import small_batches
 from .words import lower_ascii, span_hashes, text_chunks, window_hashes
 
 GRAM, WINNOW = 3, 2  # runs of GRAM + WINNOW - 1 template words are always found
@@ -132,6 +133,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     Characters are code points; ``matched`` is the text of the span. Null or empty texts and empty tables give
     no rows; null ids and repeated rows stay as they are.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
     names = ["doc_id", "license", "coverage", "n_matched", "start_word", "end_word", "start_char", "end_char", "matched"]
     kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]

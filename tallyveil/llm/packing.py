@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import saved
+from .components import saved, small_batches
 from .tokens import WORD_BPE, word_tokens
 
 LENGTH = 4096
@@ -33,6 +33,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text is empty (one piece, the end id alone); null ids and repeated rows stay as they are. With
     ``with_ids`` the column ``ids`` holds little-endian unsigned 32-bit ids.
     """
+    small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import small_batches
 from .sampling import bounded_sample, collected, fold
 from .words import lower_ascii, mix, span_hashes, spans, text_chunks, window_hashes
 
@@ -123,6 +124,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
     A text without words has the score of the bias and the repetition slot alone.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

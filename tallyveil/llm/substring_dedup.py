@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
+from .components import small_batches
 from .words import mix, planes, span_hashes, spans, text_chunks, unplanes, window_hashes
 
 WINDOW = 13
@@ -61,6 +62,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts and do not remove from each other. Columns not named are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(c) for c in carry)).alias("carried") if carry else F.lit(None).cast("boolean").alias("carried"))
     docs, carried = every.select("doc_id", "text"), every.schema["carried"].dataType
     n_bytes = sketch.text_bytes(docs, "text")

@@ -7,7 +7,7 @@ from array import array
 from itertools import chain
 
 WORD_BPE = "word_bpe_49k.json"
-CACHE_WORDS = 400_000  # of each of two generations
+CACHE_WORDS = 200_000  # of each of two generations
 # Words of printable ASCII signs and Latin letters, which are their own normal form, and the pre-tokenizer's
 # pattern for them in lower case.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ɏ]+")
