@@ -142,8 +142,8 @@ def consume_budget(units: DataFrame, path: str, batch: str | None = None, limit:
 
 
 def inputs_of(units: DataFrame, inputs: DataFrame) -> DataFrame:
-    """The inputs behind exhausted units."""
-    return inputs.join(bounded_broadcast(units.select(*UNIT)), UNIT)
+    """The inputs behind exhausted units; which side is broadcast, if any, Spark decides by measured size."""
+    return inputs.join(units.select(*UNIT), UNIT)
 
 
 ACCOUNTING = ["api", "attribution_destination", "reporting_origin", "scheduled_report_time", "source_registration_time", "version"]
