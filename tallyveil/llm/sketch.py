@@ -51,7 +51,9 @@ def size_bits(n_items: int) -> int:
 
 
 def _encoded(parts: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
-    cell = np.sort(np.concatenate(parts))
+    cell = np.concatenate(parts)
+    parts.clear()
+    cell.sort()
     if len(cell) > 2:  # a cell counts twice at most
         cell = cell[np.concatenate([[True, True], cell[2:] != cell[:-2]])]
     block = cell >> np.uint32(BLOCK_BITS)
@@ -114,8 +116,9 @@ def build(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
     done = parts.repartition(min(blocks, 64), "block").sortWithinPartitions("block").mapInArrow(merged, "block int, seen binary")
     seen = np.zeros((1 << max(bits, BLOCK_BITS)) // 8, np.uint8)
     step = (1 << BLOCK_BITS) // 8
-    for block, data in done.collect():
-        seen[block * step : (block + 1) * step] = np.frombuffer(bytes(data), np.uint8)
+    for batch in done.toArrow().to_batches():
+        for block, data in zip(batch["block"].to_pylist(), batch["seen"], strict=True):
+            seen[block * step : (block + 1) * step] = np.frombuffer(data.as_buffer(), np.uint8)
     return Sketch(bits, seen)
 
 

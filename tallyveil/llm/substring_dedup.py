@@ -22,7 +22,7 @@ from .words import mix, planes, span_hashes, spans, text_chunks, unplanes, windo
 
 WINDOW = 13
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
-HELD = 1 << 20
+HELD = 1 << 19
 PART_BYTES = 12 << 20
 _KINDS = {"h": np.uint64, "g": np.uint32, "doc": np.int64, "tag": np.uint64, "pos": np.uint32}
 
@@ -89,6 +89,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         def settled() -> Iterator[pa.RecordBatch]:
             c = {k: np.concatenate([x[k] for x in held]) for k in _KINDS}
+            held.clear()
             order = np.lexsort((c["doc"], c["h"]))
             c = {k: v[order] for k, v in c.items()}
             new = np.ones(len(order), bool)

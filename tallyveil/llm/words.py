@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _INSIDE = np.ones(256, bool)
 _INSIDE[[9, 10, 11, 12, 13, 32]] = False
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
