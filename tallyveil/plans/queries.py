@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import buckets, origins, payload, shared_info
 from ..operators import budget, errors, histogram, release, tools, validate
-from ..sources.writers import records_per_shard
+from ..sources.readers import read_domain, read_summary
+from ..sources.writers import records_per_shard, write_domain, write_reports, write_summary
 from ..streaming import collect
 from .derived import domain, key_sql, reports, table, with_sql
-from .job import AggregationJob
+from .job import AggregationJob, run_aggregation
 
 QUERIES, ORACLES = {}, {}
 IDS = [0, 1, 2]
@@ -351,3 +352,47 @@ def streamed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     collect.write_hourly(once, f"{path}/out", f"{path}/state").awaitTermination()
     out = spark.read.schema("report_id string, scheduled_report_time timestamp").parquet(f"{path}/out")
     return out.groupBy(_hour("scheduled_report_time")).agg(F.count("*").alias("n_reports"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"{name}-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "aggregation_job",
+    with_sql("""SELECT bucket, coalesce(metric, 0)::BIGINT AS metric FROM domain LEFT JOIN (
+        SELECT bucket, sum(value)::BIGINT AS metric FROM reports WHERE origin = 'https://www.origin1.com' AND api <> 'unknown-api' AND ts > TIMESTAMP '2024-01-11' AND id IN (0, 1)
+        AND NOT (bucket = repeat('0', 32) AND value = 0) GROUP BY bucket) USING (bucket)"""),
+)
+def aggregation_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole job from raw files to a released summary; ids are made unique, as SQL has no order for repeats."""
+    path = _folder(spark, "job")
+    n = F.md5(F.concat(F.lit("u"), "event_id").cast("binary"))
+    uid = F.concat_ws("-", *(F.substring(n, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    rows = reports(spark, sf_dir).withColumn("shared_info", F.col("shared_info").withField("report_id", uid))
+    raw = payload.encode_payload(rows.select("operation", "data", shared_info.shared_info_json().alias("shared_info"), F.lit("key").alias("key_id")))
+    write_reports(raw, f"{path}/reports")
+    write_domain(domain(spark, sf_dir), f"{path}/domain")
+    more = {"reports": f"{path}/reports", "ledger": f"{path}/ledger", "output": f"{path}/out", "report_error_threshold_percentage": "100", "filtering_ids_text": "0,1"}
+    job = AggregationJob(attribution_report_to="https://www.origin1.com", as_of=AS_OF, domain=f"{path}/domain", noise="none", **more)
+    run_aggregation(spark, job)
+    return _hex(read_summary(spark, f"{path}/out").withColumn("bucket", buckets.norm_bucket("bucket")))
+
+
+@query("csv_results", with_sql(f"SELECT (('0x' || right(bucket, 15))::BIGINT)::VARCHAR AS bucket, metric FROM ({_SUMS_SQL})"))
+def csv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as CSV with decimal buckets, and read back."""
+    path = _folder(spark, "csv")
+    write_summary(_sums(spark, sf_dir).withColumnRenamed("unnoised_metric", "metric"), path, "csv")
+    return spark.read.option("header", True).schema("bucket string, metric long").csv(path)
+
+
+@query("text_domain", "SELECT upper(hex(encode(k))) AS bucket, coalesce(n, 0)::BIGINT AS metric FROM (SELECT DISTINCT event_type || (user_id % 7) AS k FROM events) LEFT JOIN (SELECT event_type || (user_id % 10) AS k, count(*) AS n FROM events GROUP BY 1) USING (k)")
+def text_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A domain of text keys, one a line, joined with sums by text key."""
+    path, e = _folder(spark, "keys"), table(spark, sf_dir, "events")
+    e.select(F.concat("event_type", F.col("user_id") % 7).alias("value")).distinct().write.text(path)
+    keys = e.select(buckets.norm_bucket(buckets.bucket_from_string(F.concat("event_type", F.col("user_id") % 10))).alias("bucket"), F.lit(1).cast("bigint").alias("value"))
+    out = release.join_domain(histogram.histogram(keys), read_domain(spark, path, "text"))
+    return out.select(F.hex(buckets.strip_bucket("bucket")).alias("bucket"), F.col("unnoised_metric").alias("metric"))
