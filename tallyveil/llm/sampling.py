@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_BYTES = 48 << 20
+MAX_CLASSES = 256  # most frequent classes that a model learns; bounds the models that are broadcast
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -18,7 +19,7 @@ def bounded_sample(rows: DataFrame, key: str, class_col: str, size: int) -> Data
 
     The counts it starts from cover all rows; the result is never above ``size`` rows.
     """
-    counts = dict(rows.groupBy(class_col).agg(F.count("*")).orderBy(F.desc("count(1)"), class_col).limit(1000).collect())
+    counts = dict(rows.groupBy(class_col).agg(F.count("*")).orderBy(F.desc("count(1)"), class_col).limit(MAX_CLASSES).collect())
     if not counts:
         return rows.limit(0)
     each = size * 0.9 / len(counts)
