@@ -29,6 +29,12 @@ class Sketch:
     bits: int
     seen: np.ndarray
 
+    def __getstate__(self) -> tuple[int, bytes]:
+        return self.bits, self.seen.tobytes()
+
+    def __setstate__(self, state: tuple[int, bytes]) -> None:
+        self.bits, self.seen = state[0], np.frombuffer(state[1], np.uint8)  # a view: one copy in each worker
+
     def repeated(self, hashes: np.ndarray) -> np.ndarray:
         """Which hashes are estimated to occur twice or more."""
         yes = np.ones(len(hashes), bool)

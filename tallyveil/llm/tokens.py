@@ -86,8 +86,13 @@ class WordTokens(dict):
 _loaded: dict[str, WordTokens] = {}
 
 
+def forget() -> None:
+    """Give the caches' memory back at the end of a task: workers live on for other operators."""
+    _loaded.clear()
+
+
 def word_tokens(name: str) -> WordTokens:
-    """The worker's own cache for a vocabulary file: a name of the installed package, or a path."""
+    """The task's cache for a vocabulary file: a name of the installed package, or a path."""
     if name not in _loaded:
         _loaded[name] = WordTokens(name if "/" in name else vocabulary_path(name))
     return _loaded[name]
