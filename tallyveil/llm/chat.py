@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import small_batches
-from .tokens import WORD_BPE, word_tokens
+from .tokens import WORD_BPE, forget, word_tokens
 
 BUDGET = 1024  # tokens of a window; a single turn above it has a window of its own
 HISTORY_TURNS, HISTORY_TOKENS = 4, 256
@@ -116,6 +116,7 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, vocabulary: str
             rows.append(open_.close())
         if rows:
             yield _batch(rows)
+        forget()
 
     small_batches(turns.sparkSession)
     text_or_empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import small_batches
-from .tokens import WORD_BPE, word_tokens
+from .tokens import WORD_BPE, forget, word_tokens
 
 _KEYS = ["doc_id", "version"]
 _GROUP = ["source", "lang", "version"]
@@ -115,6 +115,7 @@ def count_tokens(docs: DataFrame, counters: dict[str, Callable[[str | None], int
             texts = batch["text"].to_pylist()
             for version, count in counters.items():
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["source"], batch["lang"], pa.array([version] * len(batch), pa.string()), pa.array([count(t) for t in texts], pa.int64())], ["doc_id", "source", "lang", "version", "n_tokens"])
+        forget()
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
