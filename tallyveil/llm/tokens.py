@@ -7,11 +7,13 @@ from array import array
 from itertools import chain
 
 WORD_BPE = "word_bpe_49k.json"
-CACHE_WORDS = 200_000  # of each of two generations
+CACHE_WORDS = 100_000  # of each of two generations
 # Words of printable ASCII signs and Latin letters, which are their own normal form, and the pre-tokenizer's
 # pattern for them in lower case.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ɏ]+")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^\sa-z0-9À-ÖØ-öø-ɏ]+")
+_PIECES = re.compile(r"[a-zÀ-ÖØ-öø-ɏ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9À-ÖØ-öø-ɏ]+")
+# Of Latin-1: what texts of white space, printable ASCII signs and letters do not have.
+_ODD = bytes(set(range(256)) - {9, 10, 11, 12, 13, *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)})
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,12 +33,30 @@ def vocabulary_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
-class WordTokens(dict):
-    """Word (UTF-8 bytes without ASCII white space) -> its ids as little-endian unsigned 32-bit integers.
+class _Cache(dict):
+    """Key -> ids by ``make``; when full it becomes the old generation, from which used entries come back."""
 
-    Right for tokenizers that drop white space and never join what it separates; words with other signs than
-    ASCII and Latin letters go through the whole tokenizer. When a cache is full it becomes the old generation,
-    from which used entries come back, so memory is bounded and frequent words stay.
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+
+class WordTokens:
+    """Ids of texts as little-endian unsigned 32-bit integers, from caches of bounded size.
+
+    Right for tokenizers that drop white space, lower the case and never join what white space separates. Texts
+    of plain Latin-1 letters and ASCII signs are cut by the pre-tokenizer's pattern at once; others word by word,
+    and words with other signs go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -44,43 +64,29 @@ class WordTokens(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.parts: dict[str, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            text = word.decode()
-            if _PLAIN.fullmatch(text) and "<|" not in text:
-                pieces = _PIECES.findall(text.lower())
-                ids = self._part(pieces[0]) if len(pieces) == 1 else b"".join(map(self._part, pieces))
-            else:
-                ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+        self.parts, self.words = _Cache(self._part), _Cache(self._word)
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is not None:
-            return ids
-        ids = self.old_parts.get(part)
-        if ids is None:
-            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
-            ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        if len(part) <= 64:
-            if len(self.parts) >= CACHE_WORDS:
-                self.old_parts, self.parts = self.parts, {}
-            self.parts[part] = ids
-        return ids
+        spelled = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.parts.__getitem__, _PIECES.findall(text.lower())))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """All ids of a text; none for null."""
-        return b"".join(map(self.__getitem__, text.encode().split())) if text else b""
+        if not text:
+            return b""
+        try:
+            plain = "<|" not in text and len(latin := text.encode("latin-1")) == len(latin.translate(None, _ODD))
+        except UnicodeEncodeError:
+            plain = False
+        if plain:
+            return b"".join(map(self.parts.__getitem__, _PIECES.findall(text.lower())))
+        return b"".join(map(self.words.__getitem__, text.encode().split()))
 
 
 _loaded: dict[str, WordTokens] = {}
