@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .components import small_batches
 from .tokens import WORD_BPE, forget, word_tokens
+from .words import tidy
 
 BUDGET = 1024  # tokens of a window; a single turn above it has a window of its own
 HISTORY_TURNS, HISTORY_TOKENS = 4, 256
@@ -122,7 +123,7 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, vocabulary: str
     text_or_empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), text_or_empty(role_col).alias("role"), text_or_empty(text_col).alias("text"))
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_last("turn"), "role", "text")
-    return ordered.mapInArrow(windows, _OUT_DDL)
+    return ordered.mapInArrow(tidy(windows), _OUT_DDL)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -178,7 +179,7 @@ def read_back(windows: DataFrame) -> DataFrame:
             yield _digest_batch(rows)
 
     ordered = windows.select("conv_id", "window", "system", "history", "text", "mask").repartition("conv_id").sortWithinPartitions("conv_id", "window")
-    return ordered.mapInArrow(digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(tidy(digests), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .components import bounded_broadcast, connected_components, saved, small_batches
-from .words import lower_ascii, mix, span_hashes, spans, text_chunks, window_hashes
+from .words import lower_ascii, mix, span_hashes, spans, text_chunks, tidy, window_hashes
 
 MAX_MATCH = 6
 VERIFY_COST = 8.0  # of one candidate, in list entries
@@ -96,7 +96,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 lists = pc.if_else(mask, pa.scalar(None, lists.type), lists)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(row, end - row), pa.array(size.astype(np.int64)), pa.array(np.diff(sums).view(np.int64)), pa.array(np.diff(other).view(np.int64)), lists], ["doc_id", "n", "a", "b", "tokens"])
 
-    every = saved(docs.mapInArrow(sets, "doc_id long, n long, a long, b long, tokens array<long>"), "sets")
+    every = saved(docs.mapInArrow(tidy(sets), "doc_id long, n long, a long, b long, tokens array<long>"), "sets")
     found.destroy()
     key = F.coalesce("doc_id", F.lit(LAST))
     # Equal sets: one representative, found by 128 bits of digest and the size; map-side minima keep large classes small.
@@ -122,7 +122,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
     tasks = max(16, min(n_bytes // (8 << 20), 4000))
-    links = dealt.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(lambda batches: _linked(batches, num, den), "a long, b long")
+    links = dealt.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(tidy(lambda batches: _linked(batches, num, den)), "a long, b long")
     joined = classes.join(connected_components(links).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("rep").alias("smallest"))
     out = every.join(joined.join(smallest, "component").select("n", "a", "b", "smallest"), ["n", "a", "b"], "left")

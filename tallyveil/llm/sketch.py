@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import planes
+from .words import planes, tidy
 
 BLOCK_BITS = 20
 MIN_BITS, MAX_BITS = 20, 29  # the bit map takes 2**MAX_BITS / 8 bytes = 64 MB at most
 ROWS = 2
-FLUSH = 4 << 20
+FLUSH = 2 << 20
 
 
 @dataclass
@@ -118,8 +118,8 @@ def build(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
             yield packed()
 
     blocks = max(1, (1 << bits) >> BLOCK_BITS)
-    parts = docs.mapInArrow(partial, "block int, gaps binary")
-    done = parts.repartition(min(blocks, 64), "block").sortWithinPartitions("block").mapInArrow(merged, "block int, seen binary")
+    parts = docs.mapInArrow(tidy(partial), "block int, gaps binary")
+    done = parts.repartition(min(blocks, 64), "block").sortWithinPartitions("block").mapInArrow(tidy(merged), "block int, seen binary")
     seen = np.zeros((1 << max(bits, BLOCK_BITS)) // 8, np.uint8)
     step = (1 << BLOCK_BITS) // 8
     for batch in done.toArrow().to_batches():

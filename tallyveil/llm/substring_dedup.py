@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .components import small_batches
-from .words import mix, planes, span_hashes, spans, text_chunks, unplanes, window_hashes
+from .words import mix, planes, span_hashes, spans, text_chunks, tidy, unplanes, window_hashes
 
 WINDOW = 13
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
@@ -144,13 +144,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if held:
             yield from settled()
 
-    removed = docs.mapInArrow(candidates, _SCHEMA).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(grouped, _SCHEMA)
+    removed = docs.mapInArrow(tidy(candidates), _SCHEMA).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(grouped), _SCHEMA)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_place(_ids(batch["doc_id"]), parts)), pa.array([1] * len(batch), pa.int32()), batch["doc_id"], batch["text"], batch["carried"]], ["part", "kind", "doc_id", "text", "carried"])
 
-    texts = every.mapInArrow(placed, f"part int, kind int, doc_id long, text string, carried {carried.simpleString()}")
+    texts = every.mapInArrow(tidy(placed), f"part int, kind int, doc_id long, text string, carried {carried.simpleString()}")
     both = removed.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "doc", "tag", "pos").unionByName(texts, allowMissingColumns=True)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n, gone, kept, rows = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(rows)), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch["carried"].take(pa.array(rows))], ["doc_id", "n_words", "n_removed", "kept", "carried"])
 
-    out = both.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(joined, f"doc_id long, n_words long, n_removed long, kept string, carried {carried.simpleString()}")
+    out = both.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(tidy(joined), f"doc_id long, n_words long, n_removed long, kept string, carried {carried.simpleString()}")
     return out.select("doc_id", "n_words", "n_removed", "kept", *(F.col("carried").getField(c).alias(c) for c in carry))
 
 
