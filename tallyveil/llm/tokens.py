@@ -9,7 +9,8 @@ from itertools import chain
 WORD_BPE = "word_bpe_49k.json"
 CACHE_WORDS = 100_000  # of each of two generations
 # Words of printable ASCII signs and Latin letters, which are their own normal form, and the pre-tokenizer's
-# pattern for them in lower case.
+# pattern for them in lower case. Some capitals (Ɓ, Ə, Ⱥ ...) have their small letter outside these ranges, so
+# both a word and its lower case have to be plain.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ɏ]+")
 _PIECES = re.compile(r"[a-zÀ-ÖØ-öø-ɏ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9À-ÖØ-öø-ɏ]+")
 # Of Latin-1: what texts of white space, printable ASCII signs and letters do not have.
@@ -72,8 +73,8 @@ class WordTokens:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.parts.__getitem__, _PIECES.findall(text.lower())))
+        if _PLAIN.fullmatch(text) and "<|" not in text and _PLAIN.fullmatch(low := text.lower()):
+            return b"".join(map(self.parts.__getitem__, _PIECES.findall(low)))
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:

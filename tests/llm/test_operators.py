@@ -223,6 +223,14 @@ def test_tokens_are_those_of_the_tokenizer():
     assert cache.encode(None) == b""
 
 
+def test_tokens_of_capitals_are_those_of_the_tokenizer():
+    cache = tokens.WordTokens(tokens.vocabulary_path())
+    letters = list(map(chr, range(0xC0, 0x250)))
+    texts = [w for c in letters for w in (c, f"{c}arna", f"ar{c}na", f"ARN{c}", f"{c}{c}, x{c}'s 1{c}")] + ["Ɓarna Əli Ɗan Ⱥ"]
+    for text, whole in zip(texts, cache.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(cache.encode(text), "<u4").tolist() == whole.ids
+
+
 def test_packing(spark, docs, rows, empty):
     pieces = packing.token_pieces(docs, length=64)
     cache = tokens.WordTokens(tokens.vocabulary_path())
