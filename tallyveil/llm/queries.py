@@ -16,7 +16,7 @@ from .licenses import scan_licenses
 from .packing import pack, token_pieces
 from .quality import predict_quality
 from .components import bounded_broadcast, saved, shared_folder
-from .token_counts import TokenCounts, bpe_count, count_tokens, spoken_word_count, word_count
+from .token_counts import TokenCounts, bpe_count, count_tokens, lettered_word_count, word_count
 from .substring_dedup import substring_dedup
 
 QUERIES, ORACLES = {}, {}
@@ -122,7 +122,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches over all documents: counts by two tokenizers are inserted, later copies of equal
     texts are deleted, and ``words`` counts are revised; the second batch is applied twice."""
     docs = table(spark, sf_dir, "documents")
-    counts = saved(count_tokens(docs, {"words": word_count, "words-revised": spoken_word_count, "word_bpe_49k": bpe_count()}), "counts")
+    counts = saved(count_tokens(docs, {"words": word_count, "words-revised": lettered_word_count, "word_bpe_49k": bpe_count()}), "counts")
     digest = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.octet_length("text"))
     classes = docs.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = docs.select("doc_id", digest.alias("digest")).join(bounded_broadcast(saved(classes, "classes")), "digest").filter("doc_id > first_id").select("doc_id").distinct()

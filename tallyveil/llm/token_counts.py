@@ -132,6 +132,11 @@ def word_count(text: str | None) -> int:
     return len(text.encode().split()) if text else 0
 
 
+def lettered_word_count(text: str | None) -> int:
+    """Those of ``word_count`` that hold a letter or digit of any script: the revised count of ``words``."""
+    return sum(w.isalnum() or any(map(str.isalnum, w.decode())) for w in text.encode().split()) if text else 0
+
+
 def spoken_word_count(text: str | None) -> int:
-    """Words that hold a letter or digit: the revised count of ``words``."""
+    """A rough count that no query uses: takes every word with a sign beyond ASCII for one with a letter."""
     return sum(not w.isascii() or w.isalnum() or any(c.isalnum() for c in w) for w in text.split()) if text else 0

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyveil.llm import chat, components, decontamination, fingerprint, jaccard, language, licenses, packing, quality, sketch, substring_dedup, token_counts, tokens, words
+from tallyveil.llm import chat, components, decontamination, fingerprint, jaccard, language, licenses, packing, quality, queries, sketch, substring_dedup, token_counts, tokens, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -477,6 +477,20 @@ def test_token_counts(docs, rows, empty):
     assert token_counts.spoken_word_count("a -- b !? é …") == 4
 
 
+def test_lettered_words():
+    count = token_counts.lettered_word_count
+    assert count("a – b « c » …") == 3 and count("a -- b !? é …") == 3 and count("— • «» ...") == 0 and count(None) == count("") == 0
+    for text in ["a\u2003b c\u00a0d", "x\x1cy\x85z", "中文 ٣ ² don't (é) \u3000 –a–", "one\x0btwo\tthree\n"]:
+        assert count(text) == sum(any(c.isalnum() for c in w) for w in split(text)) <= token_counts.word_count(text)
+
+
+def test_revised_words_of_the_query(spark, tmp_path):
+    rows = [(1, "a – b « c » …", "en", "s", 13), (2, "x\u2003y z", "en", "s", 5)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.version: x.n_tokens for x in queries.QUERIES["op9_token_counts"](spark, str(tmp_path)).collect()}
+    assert got["words"] == 3 + 2
+
+
 # 10 licenses
 
 
