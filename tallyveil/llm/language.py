@@ -28,6 +28,7 @@ TRAIN_DOCS = 2400  # bound of the training sample, all languages together
 EPOCHS, RATE = 4, 0.5
 ACCEPTED_ACCURACY = 0.98
 LEAST_CONFIDENCE = 0.4
+MAX_REJECTED = 0.02  # share of the held-back labelled texts that the threshold may reject
 UNKNOWN = "und"
 
 _LETTER = np.full(256, 32, np.uint8)
@@ -124,23 +125,31 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
 
 
 def _calibrated(model: LanguageModel, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> LanguageModel:
-    """Temperature of least log loss against smoothed labels (Platt's, so that no error is not certainty); then the least threshold whose accepted texts are right often enough."""
+    """Temperature of least log loss against smoothed labels (Platt's, so that no error is not certainty); then the least threshold whose accepted texts are right often enough.
+
+    Labels may be noisy and languages close: whatever their errors, the threshold rejects at most MAX_REJECTED of
+    the held-back texts (none of fewer than 1 / MAX_REJECTED of them).
+    """
     kept = [(share @ model.table[ids] + model.bias, y) for (ids, share), y in zip(bags, labels, strict=True) if len(ids)]
-    model.threshold = LEAST_CONFIDENCE
-    if len(kept) < 20:
+    if not kept:
         return model
     logits, y = np.array([x for x, _ in kept]), np.array([k for _, k in kept])
+    if len(y) < 20:
+        model.threshold = min(LEAST_CONFIDENCE, float(_softmax(logits).max(axis=1).min()))
+        return model
     target = np.full(logits.shape, 1 / (len(y) + 2) / max(logits.shape[1] - 1, 1))
     target[np.arange(len(y)), y] = (len(y) + 1) / (len(y) + 2)
     loss = lambda t: -(target * np.log(_softmax(logits / t) + 1e-12)).sum(axis=1).mean()
     model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
     p = _softmax(logits / model.temperature)
     top, right = p.max(axis=1), p.argmax(axis=1) == y
+    highest = float(np.sort(top)[int(MAX_REJECTED * len(top))])
+    model.threshold = min(LEAST_CONFIDENCE, highest)
     for threshold in np.concatenate([[LEAST_CONFIDENCE], np.sort(top)]):
-        taken = top >= threshold
-        if threshold >= LEAST_CONFIDENCE and (not taken.any() or right[taken].mean() >= ACCEPTED_ACCURACY):
+        if LEAST_CONFIDENCE <= threshold <= highest:
             model.threshold = float(threshold)
-            break
+            if right[top >= threshold].mean() >= ACCEPTED_ACCURACY:
+                break
     return model
 
 

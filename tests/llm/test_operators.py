@@ -414,6 +414,32 @@ def test_language_rejects_what_it_does_not_know(spark):
     assert language.identify(df, model).first().rejected
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1])
+def test_noisy_labels_reject_few_texts(share):
+    import pyarrow as pa
+
+    r = random.Random(12)
+    rows = language_rows(2400)
+    noisy = [(t, r.choice([x for x in ALPHABETS if x != lang]) if r.random() < share else lang) for _, t, lang in rows]
+    model = language.train(noisy)
+    judged = list(language._judged(pa.array([t for _, t, _ in rows]), model))
+    assert np.concatenate([x[4] for x in judged]).mean() <= 2 * language.MAX_REJECTED
+    best = np.array(model.languages)[np.concatenate([x[2] for x in judged])]
+    assert np.mean(best == np.array([lang for _, _, lang in rows])) > 0.97
+
+
+def test_rejection_is_bounded_whatever_the_errors():
+    r = np.random.default_rng(4)
+    for n in (1, 19, 49, 480):
+        for classes in (2, 50):  # confidence says nothing of the labels; 50 close languages are all below the floor
+            model = language.LanguageModel([str(i) for i in range(classes)], r.normal(0, 0.05, (1 << 17, classes)).astype(np.float32), np.zeros(classes))
+            bags = [(r.integers(0, 1 << 17, 20), np.full(20, 0.05)) for _ in range(n)]
+            model = language._calibrated(model, bags, r.integers(0, classes, n))
+            p = np.array([language._softmax((share @ model.table[ids] + model.bias) / model.temperature).max() for ids, share in bags])
+            assert (p < model.threshold).sum() <= language.MAX_REJECTED * n
+    assert language.train([("abc", "a"), ("dce", "b"), ("fgh", "c")]).threshold < 0.4
+
+
 def test_quality(spark, empty):
     r = random.Random(9)
     good = [sentence(r, r.randint(20, 80)).capitalize() + "." for _ in range(150)]
