@@ -3,6 +3,10 @@
 Numbers, units and names become typed placeholders, so that a question with other values has the same
 template. Hashed windows of template words are joined with those of the benchmark; the values that stand in
 the slots of a match then have to map consistently, each of the item's values to one of the document's.
+
+A capitalised word inside a sentence is a name; one at the start of a sentence or line, or after a quote or
+bracket, may be. Documents are looked up with all of these as names and with all as plain words, and items are
+indexed with each of them both ways, so that a passage has the same template wherever it stands.
 """
 
 from __future__ import annotations
@@ -17,26 +21,42 @@ MIN_LITERAL = 5  # words that are no slot, in a match that counts
 # Unit words that may follow a number.
 UNITS = "kg g mg lb lbs oz km m cm mm mi miles mile feet foot ft inch inches yards l ml litres liters gallons s sec seconds min minutes h hours days weeks months years mph kmh percent dollars euros pounds cents degrees watts volts joules newtons".split()
 
-_NAME, _UNIT = "\x01", "\x02"
+# Words that are no name though a sentence starts with them.
+OPENERS = "a the what who whom whose which when where why how if in on at of for to from with by as and or but is are was were does did has have had can could would should this that these those there it he she they we you i".split()
+
+_NAME, _UNIT, _MAYBE, _SMALL = "\x01", "\x02", "\x03", "\x04"
 
 
-def _marked_words(text: Column) -> Column:
-    """Lower-case words of a text; names and units in a number's wake carry a mark in front, numbers are one word."""
-    text = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;] )(?=\p{Lu}\p{Ll})", _NAME)
+def _marked_words(text: Column, item: bool = False) -> Column:
+    """Lower-case words of a text; names, possible names and units in a number's wake carry a mark in front, numbers
+    are one word. In an item, a small word that starts a sentence is marked too: a document may write it large."""
+    if item:
+        text = F.regexp_replace(text, r"(?:^|(?<=[.?!:\"“”«»(\[\n]\s{0,3}))(?=\p{Ll})", _SMALL)
+    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(?=\p{Lu}\p{Ll})", _MAYBE)
+    text = F.regexp_replace(text, rf"(?<=[\p{{Ll}}\p{{Nd}},;] ){_MAYBE}", _NAME)
     numbers = F.regexp_replace(text, r"(?<=\p{Nd})[.,:/](?=\p{Nd})", "")
-    numbers = F.regexp_replace(numbers, rf"(?i)(?<=\p{{Nd}}) ?(?=(?:{'|'.join(UNITS)})\b)", " " + _UNIT)
+    numbers = F.regexp_replace(numbers, rf"(?i)(?<=\p{{Nd}})[\s\xA0]*(?=(?:{'|'.join(UNITS)})\b)", " " + _UNIT)
     text = F.when(text.rlike(r"\p{Nd}"), numbers).otherwise(text)
-    return F.filter(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}{_NAME}{_UNIT}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}{_NAME}{_UNIT}{_MAYBE}{_SMALL}]+"), lambda w: w != "")
+
+
+def _first(word: Column) -> Column:
+    return F.substring(word, 1, 1)
 
 
-def _kind(word: Column) -> Column:
-    """'n', 'u' or 'd' for a name, unit or number; null for any other word."""
-    first = F.substring(word, 1, 1)
-    return F.when(first == _NAME, "n").when(first == _UNIT, "u").when(first.between("0", "9"), "d")
+def _bare(word: Column) -> Column:
+    """A word without a name's mark."""
+    return F.when(_first(word).isin(_NAME, _MAYBE, _SMALL), F.substring(word, 2, 1 << 30)).otherwise(word)
 
 
-def _template_hash(word: Column) -> Column:
-    return F.xxhash64(F.coalesce(F.concat(F.lit(_UNIT), _kind(word)), word))
+def _kind(word: Column, names: tuple[str, ...] = (_NAME,)) -> Column:
+    """'n', 'u' or 'd' for a name (a word with one of the marks ``names``), unit or number; null for any other word."""
+    first = _first(word)
+    return F.when(first.isin(*names), "n").when(first == _UNIT, "u").when(first.between("0", "9"), "d")
+
+
+def _template_hash(word: Column, names: tuple[str, ...] = (_NAME,)) -> Column:
+    return F.xxhash64(F.coalesce(F.concat(F.lit(_UNIT), _kind(word, names)), _bare(word)))
 
 
 def _let(value: Column, body) -> Column:
@@ -44,15 +64,40 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _starts(n_words: Column, width: int) -> Column:
+    last = n_words - width
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
 def _windows(words: Column, widths: list[int]) -> Column:
-    """Structs (h, at, width) of all windows of each width; ``at`` counts words from 0."""
+    """Structs (h, at, width) of all windows of each width, possible names as names, and again of those that hold a
+    possible name, as plain words; ``at`` counts words from 0."""
+
+    def of(x: Column, width: int) -> list[Column]:
+        window = lambda hashes: lambda i: F.struct(F.xxhash64(F.slice(hashes, i + 1, width), F.lit(width)).alias("h"), i.alias("at"), F.lit(width).alias("width"))
+        maybe, last = x["maybe"], F.size(x["names"]) - width
+
+        def first_holds(p: Column, k: Column) -> Column:  # starts of the windows whose first possible name is p
+            begin, end = F.greatest(p - (width - 1), F.get(maybe, k - 1) + 1, F.lit(0)), F.least(p, last)
+            return F.when(begin <= end, F.sequence(begin, end)).otherwise(F.array().cast("array<int>"))
+
+        return [F.transform(_starts(F.size(x["names"]), width), window(x["names"])), F.transform(F.flatten(F.transform(maybe, first_holds)), window(x["plain"]))]
+
+    at = F.filter(F.transform(words, lambda w, i: F.when(_first(w) == _MAYBE, i)), lambda i: i.isNotNull())
+    read = F.struct(F.transform(words, lambda w: _template_hash(w, (_NAME, _MAYBE))).alias("names"), F.transform(words, lambda w: _template_hash(w)).alias("plain"), at.alias("maybe"))
+    return _let(read, lambda x: F.concat(*(part for w in widths for part in of(x, w))))
+
+
+def _item_windows(words: Column, width: int) -> Column:
+    """As ``_windows`` of one width, with every choice of which possible names of a window are names."""
+    both = F.transform(words, lambda w: F.when(_first(w).isin(_MAYBE, _SMALL), F.array(_template_hash(w), _template_hash(w, (_MAYBE, _SMALL)))).otherwise(F.array(_template_hash(w))))
 
-    def of(hashes: Column, width: int) -> Column:
-        last = F.size(hashes) - width
-        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(hashes, i + 1, width), F.lit(width)).alias("h"), i.alias("at"), F.lit(width).alias("width")))
+    def of(i: Column, choices: Column) -> Column:
+        none = F.array(F.array().cast("array<bigint>"))
+        every = F.aggregate(F.slice(choices, i + 1, width), none, lambda done, word: F.flatten(F.transform(done, lambda d: F.transform(word, lambda h: F.concat(d, F.array(h))))))
+        return F.transform(every, lambda hashes: F.struct(F.xxhash64(hashes, F.lit(width)).alias("h"), i.alias("at"), F.lit(width).alias("width")))
 
-    return _let(F.transform(words, _template_hash), lambda hashes: F.flatten(F.array(*(of(hashes, w) for w in widths))) if len(widths) > 1 else of(hashes, widths[0]))
+    return _let(both, lambda choices: F.flatten(F.transform(_starts(F.size(choices), width), lambda i: of(i, choices))))
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -61,20 +106,21 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     Columns: doc_id, item_id, kind (``verbatim``: all slots hold the item's own values; ``reparameterised``:
     each value of the item maps to one of the document's), doc_start, item_start (words), n_words (matched),
     item_words, coverage. A match whose slots are inconsistent counts only with ``window`` words outside slots
-    or more (kind ``mixed``). Items with fewer words than a window match as a whole; items without words, null
+    or more (kind ``mixed``), and so does one where a word that starts an item's sentence and cannot be a name is
+    another one in the document. Items with fewer words than a window match as a whole; items without words, null
     texts and empty tables match nothing. Null and repeated ids stay as they are; a document row is known by id
     and text, so rows that share both are one. Other columns are ignored.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    items = saved(items.select("item_id", _marked_words(F.col("text")).alias("item_tokens")).filter("size(item_tokens) > 0").distinct(), "items")
+    items = saved(items.select("item_id", _marked_words(F.col("text"), item=True).alias("item_tokens")).filter("size(item_tokens) > 0").distinct(), "items")
     sizes = [r[0] for r in items.select(F.least(F.size("item_tokens"), F.lit(window)).alias("w")).distinct().orderBy("w").collect()]  # WINDOW at most
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
     wanted = None
     for size in sizes:
-        part = items.filter(F.least(F.size("item_tokens"), F.lit(window)) == size).select("item_id", "item_tokens", F.explode(_windows(F.col("item_tokens"), [size])).alias("x"))
+        part = items.filter(F.least(F.size("item_tokens"), F.lit(window)) == size).select("item_id", "item_tokens", F.explode(_item_windows(F.col("item_tokens"), size)).alias("x"))
         wanted = part if wanted is None else wanted.unionByName(part)
     if wanted is None:
-        wanted = items.select("item_id", "item_tokens", F.explode(_windows(F.col("item_tokens"), [window])).alias("x"))
+        wanted = items.select("item_id", "item_tokens", F.explode(_item_windows(F.col("item_tokens"), window)).alias("x"))
     wanted = wanted.select(F.col("x.h").alias("h"), "item_id", F.xxhash64("item_tokens").alias("item_hash"), F.col("x.at").alias("item_at"), F.col("x.width").alias("width"))
 
     seen = texts.select("doc_id", "text_hash", F.explode(_windows(_marked_words(F.col("text")), sizes or [window])).alias("x")).select("doc_id", "text_hash", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
@@ -91,13 +137,19 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     n_words = F.col("end") - F.col("begin")
     pairs = F.arrays_zip(F.slice("item_tokens", F.col("begin") + 1, n_words).alias("i"), F.slice("doc_tokens", F.col("begin") + F.col("shift") + 1, n_words).alias("d"))
-    both = both.withColumn("pairs", pairs).withColumn("slots", F.array_distinct(F.filter("pairs", lambda p: _kind(p["i"]).isNotNull() & _kind(p["i"]).eqNullSafe(_kind(p["d"])))))
-    literal = F.size(F.filter("pairs", lambda p: _kind(p["i"]).isNull() & (p["i"] == p["d"])))
+    bare = F.transform(pairs, lambda p: F.struct(_bare(p["i"]).alias("i"), _bare(p["d"]).alias("d"), _first(p["i"]).alias("mark"), _kind(p["i"]).alias("kind"), _kind(p["d"], (_NAME, _MAYBE)).alias("doc_kind")))
+    both = both.withColumn("pairs", bare)
+    other = lambda p: p["doc_kind"].eqNullSafe("n") & (p["i"] != p["d"])
+    slot = lambda p: (p["kind"].isNotNull() & p["kind"].eqNullSafe(p["doc_kind"])) | ((p["mark"] == _MAYBE) & other(p))
+    both = both.withColumn("slots", F.array_distinct(F.transform(F.filter("pairs", slot), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))))
+    literal = F.size(F.filter("pairs", lambda p: p["kind"].isNull() & (p["i"] == p["d"])))
     both = both.withColumn("literal", literal).withColumn("same", F.forall("slots", lambda p: p["i"] == p["d"]))
+    # Read as a name to be found, but surely none, and the document has another word there.
+    both = both.withColumn("other_word", F.exists("pairs", lambda p: ((p["mark"] == _SMALL) | ((p["mark"] == _MAYBE) & p["i"].isin(OPENERS))) & other(p)))
     both = both.withColumn("consistent", F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["i"]))))
     whole = (F.col("begin") == 0) & (F.col("end") == F.size("item_tokens"))
     kind = F.when(F.col("same"), "verbatim").when(F.col("consistent"), "reparameterised").otherwise("mixed")
-    leak = F.when(kind == "mixed", F.col("literal") >= window).otherwise((F.col("literal") >= MIN_LITERAL) | whole)
+    leak = F.when((kind == "mixed") | F.col("other_word"), F.col("literal") >= window).otherwise((F.col("literal") >= MIN_LITERAL) | whole)
     found = both.withColumn("kind", kind).filter(leak).select(
         "doc_id", "text_hash", "item_id", "kind", (F.col("begin") + F.col("shift")).alias("doc_start"), F.col("begin").alias("item_start"),
         n_words.alias("n_words"), F.size("item_tokens").alias("item_words"), F.least(F.lit(1.0), n_words / F.size("item_tokens")).alias("coverage"),

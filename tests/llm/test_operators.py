@@ -375,6 +375,21 @@ def test_decontamination(spark, empty):
     assert decontamination.benchmark_matches(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_does_not_depend_on_position(spark):
+    ocean, tom = "What is the largest ocean on earth?", "Tom has 12 apples."
+    items = [(1, ocean), (2, tom), (3, "what did Alice buy. how much was it"), (4, "Rivers flow down and Tom swims. how far is it to the old bridge")]
+    docs = [
+        (10, f"he asked: {ocean}"), (11, f"and he asked {ocean}"), (12, f"well, {ocean}"), (13, f"and he asked\n{ocean} yes"), (14, "say what is the largest ocean on earth"), (15, f"he said  {ocean}"), (16, f"« {ocean} »"),
+        (20, "and Bob has 15 apples"), (21, "Bob has 15 apples"), (22, "so.\nBob has 15 apples"), (23, "yes, Bob has\n15 apples"), (24, f"she said ({tom})"), (25, "“Bob has 15 apples”"),
+        (30, "asked What did Bob buy. How much was it"), (31, "What did\nBob buy. how much was it"), (40, "he said Rivers flow down and Bob swims. How far is it to the old bridge"),
+        (50, "and Jupiter is the largest ocean on earth"), (51, "Where is the largest ocean on earth?"), (52, "Bob did Alice buy. how much was it"), (53, "12 apples has Tom"),
+    ]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.kind for x in decontamination.benchmark_matches(df, bench).collect()}
+    want = {(i, 1): "verbatim" for i in range(10, 17)} | {(i, 2): "reparameterised" for i in (20, 21, 22, 23, 25)} | {(24, 2): "verbatim", (30, 3): "reparameterised", (31, 3): "reparameterised", (40, 4): "reparameterised"}
+    assert got == want
+
+
 # 1 language and 3 quality
 
 ALPHABETS = {"en": "the and with other nation house", "xx": "zuk grov tchel brünk schnar", "yy": "ollá ñire cuesta aquí lleva"}
