@@ -74,30 +74,36 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, h, _ in shingle_sets(batch["text"], width):
-            yield h
+    layout = sketch.Layout.of(sketch.text_bytes(docs, "text"))
+    parts = sketch.dealt(docs, layout)
 
-    n_bytes = sketch.text_bytes(docs, "text")
-    found = spark.sparkContext.broadcast(sketch.build(docs.select("text"), hashes, sketch.size_bits(n_bytes // 6)))
+    def hashes(rows: pa.Table) -> Iterator[np.ndarray]:
+        for _, _, h, _ in shingle_sets(rows["text"].combine_chunks(), width):
+            yield h
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, end, h, cuts in shingle_sets(batch["text"], width):
-                size = np.diff(cuts)
-                again = found.value.repeated(h)
+    def sets(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left):
+            rows = sketch.opened(left)
+            found = list(shingle_sets(rows["text"].combine_chunks(), width))
+            repeats = sketch.repeated(np.concatenate([h for _, _, h, _ in found]), right, layout)
+            at = 0
+            for row, end, h, cuts in found:
+                size, again = np.diff(cuts), repeats[at : at + len(h)]
+                at += len(h)
                 kept = np.concatenate([[0], np.cumsum(again)])[cuts]
                 may = (np.diff(kept) >= _least_overlap(size, num, den)) & (size > 0)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)])[cuts]
                 other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5BD1E995)), dtype=np.uint64)])[cuts]
-                tokens = h[again].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pa.array(tokens))
-                mask = pa.array(~may)
-                lists = pc.if_else(mask, pa.scalar(None, lists.type), lists)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(row, end - row), pa.array(size.astype(np.int64)), pa.array(np.diff(sums).view(np.int64)), pa.array(np.diff(other).view(np.int64)), lists], ["doc_id", "n", "a", "b", "tokens"])
-
-    every = saved(docs.mapInArrow(tidy(sets), "doc_id long, n long, a long, b long, tokens array<long>"), "sets")
-    found.destroy()
+                lists = pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pa.array(h[again].view(np.int64)))
+                lists = pc.if_else(pa.array(~may), pa.scalar(None, lists.type), lists)
+                ids = rows["doc_id"].slice(row, end - row).combine_chunks()
+                out.append(pa.RecordBatch.from_arrays([ids, pa.array(size.astype(np.int64)), pa.array(np.diff(sums).view(np.int64)), pa.array(np.diff(other).view(np.int64)), lists], ["doc_id", "n", "a", "b", "tokens"]))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        return pa.Table.from_batches(out, pa.schema(list(zip(["doc_id", "n", "a", "b", "tokens"], kinds, strict=True))))
+
+    replies = sketch.answers(parts, hashes, layout)
+    every = saved(parts.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(sets, "doc_id long, n long, a long, b long, tokens array<long>"), "sets")
     key = F.coalesce("doc_id", F.lit(LAST))
     # Equal sets: one representative, found by 128 bits of digest and the size; map-side minima keep large classes small.
     classes = every.filter("tokens IS NOT NULL").groupBy("n", "a", "b").agg(F.min(key).alias("rep"))
@@ -121,7 +127,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "tokens", "prefix", "matches", "levels"
     )
 
-    tasks = max(16, min(n_bytes // (8 << 20), 4000))
+    tasks = max(16, layout.partitions)
     links = dealt.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(tidy(lambda batches: _linked(batches, num, den)), "a long, b long")
     joined = classes.join(connected_components(links).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("rep").alias("smallest"))

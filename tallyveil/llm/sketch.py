@@ -1,11 +1,17 @@
-"""Count-min sketches of 64-bit hashes: each task sketches its part, the parts are merged block by block.
+"""Count-min sketches of 64-bit hashes, split by hash range, whatever the size of the input.
 
-The merged sketch is reduced to one bit a cell, "counted twice or more". Counts are overestimates, so a
-hash whose bits are not all set occurs once at most: filtering by it loses no repeated hash.
+Texts are dealt to parts of a few MB (``dealt``). A part sends each block, a range of hashes, the distinct hashes
+that it holds there as sorted codes: its partial sketch, in sparse form. A block merges the parts' codes into a
+count-min table of two rows and answers each part with one bit a code: counted twice or more. Counts are
+overestimates, so a hash whose bit is not set occurs once at most: no repeated hash is lost.
+
+A block covers a bounded number of hashes, so tables, tasks and the share of wrong answers do not grow with the
+input; the number of blocks does. Nothing is broadcast and nothing reaches the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -14,120 +20,132 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import planes, tidy
-
-BLOCK_BITS = 20
-MIN_BITS, MAX_BITS = 20, 29  # the bit map takes 2**MAX_BITS / 8 bytes = 64 MB at most
-ROWS = 2
-FLUSH = 2 << 20
-
-
-@dataclass
-class Sketch:
-    """``bits`` cells a power of two in ROWS equal rows; ``seen`` holds one bit a cell."""
+from .words import mix, pressed, tidy, unpressed
 
-    bits: int
-    seen: np.ndarray
+PART_BYTES = 6 << 20  # text of a part; a task holds one part at a time
+BLOCK_HASHES = 1 << 22  # hashes of a block
+CODE_BITS = 27  # of a hash inside its block
+CELLS = 4  # of a hash in each row of the table
+MAX_PARTITIONS = 8192  # shuffle partitions that parts or blocks are dealt to; each then holds many, one after another
+HELD_BYTES = 8 << 20
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
-    def __getstate__(self) -> tuple[int, bytes]:
-        return self.bits, self.seen.tobytes()
 
-    def __setstate__(self, state: tuple[int, bytes]) -> None:
-        self.bits, self.seen = state[0], np.frombuffer(state[1], np.uint8)  # a view: one copy in each worker
-
-    def repeated(self, hashes: np.ndarray) -> np.ndarray:
-        """Which hashes are estimated to occur twice or more."""
-        yes = np.ones(len(hashes), bool)
-        for cell in cells(hashes, self.bits):
-            yes &= (self.seen[cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype(np.uint8)) & np.uint8(1) > 0
-        return yes
+@dataclass(frozen=True)
+class Layout:
+    """Numbers of parts and of blocks (a power of two) for texts of ``n_bytes``.
 
+    Parts and blocks keep their size up to some TB; beyond, both grow with the square root of the input, so that
+    the pieces that parts send to blocks stay in proportion to it.
+    """
 
-def cells(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The cell of each hash in each row of the sketch."""
-    row = bits - 1
-    high = (hashes >> np.uint64(64 - row)).astype(np.uint32)
-    low = (hashes & np.uint64((1 << row) - 1)).astype(np.uint32) + np.uint32(1 << row)
-    return [high, low]
+    parts: int
+    block_bits: int
+    code_bits: int
 
+    @classmethod
+    def of(cls, n_bytes: int, bytes_an_item: int = 6) -> Layout:
+        parts = max(8, n_bytes // max(PART_BYTES, 8 * math.isqrt(n_bytes)) + 1)
+        blocks = n_bytes // bytes_an_item / max(BLOCK_HASHES, 2 * math.isqrt(n_bytes))
+        return cls(parts, max(0, math.ceil(math.log2(max(blocks, 1)))), CODE_BITS)
 
-def size_bits(n_items: int) -> int:
-    """About eight cells an item, between the bounds; past the upper one more hashes pass the filter, none is lost."""
-    return int(min(max(np.ceil(np.log2(max(n_items, 1) * 8)), MIN_BITS), MAX_BITS))
+    @property
+    def partitions(self) -> int:
+        return min(self.parts, MAX_PARTITIONS)
 
+    def coded(self, hashes: np.ndarray) -> np.ndarray:
+        """Block and code of each hash, in one number."""
+        return hashes >> np.uint64(64 - self.block_bits - self.code_bits)
 
-def _encoded(parts: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
-    cell = np.concatenate(parts)
-    parts.clear()
-    cell.sort()
-    if len(cell) > 2:  # a cell counts twice at most
-        cell = cell[np.concatenate([[True, True], cell[2:] != cell[:-2]])]
-    block = cell >> np.uint32(BLOCK_BITS)
-    cuts = np.flatnonzero(np.diff(block)) + 1
-    ids, blobs = [], []
-    for piece in np.split(cell, cuts):
-        ids.append(int(piece[0]) >> BLOCK_BITS)
-        blobs.append(planes(np.diff(piece & np.uint32((1 << BLOCK_BITS) - 1), prepend=np.uint32(0)).astype("<u4"))[: 3 * len(piece)])
-    return ids, blobs
 
+def text_bytes(docs: DataFrame, text: str) -> int:
+    """Bytes of all texts, from which the layout follows."""
+    return docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
 
-def build(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> Sketch:
-    """The merged sketch of all hashes that ``hashes`` finds in ``docs``.
 
-    A task sends each block's cells as sorted gaps (about 1.3 bytes a cell after compression) and merging
-    streams, holding one block. What reaches the driver and is broadcast is the bit map, of at most 64 MB.
-    An empty input gives an empty sketch.
-    """
+def dealt(docs: DataFrame, layout: Layout) -> DataFrame:
+    """``docs`` (doc_id, text and more) dealt to parts by id and text: part, blob. Used several times in a plan, it is
+    shuffled once; a blob holds the rows that a task has for a part, compressed."""
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(layout.parts)).cast("int").alias("part"), *docs.columns)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))
 
         def flushed() -> pa.RecordBatch:
-            ids, blobs = _encoded(held)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["block", "gaps"])
+            table = pa.Table.from_batches(held)
+            part = table["part"].to_numpy()
+            order = np.argsort(part, kind="stable")
+            table = table.drop_columns("part").take(pa.array(order)).combine_chunks()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1, [len(order)]])
+            blobs = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+                    out.write_table(table.slice(a, b - a))
+                blobs.append(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array(part[order][edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
         for batch in batches:
-            for found in hashes(batch):
-                held += cells(found, bits)
-                n += ROWS * len(found)
-                if n >= FLUSH:
-                    yield flushed()
-                    held, n = [], 0
-        if n:
+            held.append(batch)
+            n += batch.nbytes
+            if n >= HELD_BYTES:
+                yield flushed()
+                held, n = [], 0
+        if any(map(len, held)):
             yield flushed()
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, once, twice = None, None, None
-
-        def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["block", "seen"])
-
-        for batch in batches:
-            for block, blob in zip(batch["block"].to_pylist(), batch["gaps"], strict=True):
-                if block != at:
-                    if at is not None:
-                        yield packed()
-                    at, once, twice = block, np.zeros(1 << BLOCK_BITS, bool), np.zeros(1 << BLOCK_BITS, bool)
-                raw = np.frombuffer(blob.as_buffer(), np.uint8).reshape(3, -1).astype(np.uint32)
-                cell = np.cumsum(raw[0] | raw[1] << np.uint32(8) | raw[2] << np.uint32(16))
-                again = np.zeros(len(cell), bool)
-                again[1:] = cell[1:] == cell[:-1]
-                twice[cell[once[cell] | again]] = True
-                once[cell] = True
-        if at is not None:
-            yield packed()
-
-    blocks = max(1, (1 << bits) >> BLOCK_BITS)
-    parts = docs.mapInArrow(tidy(partial), "block int, gaps binary")
-    done = parts.repartition(min(blocks, 64), "block").sortWithinPartitions("block").mapInArrow(tidy(merged), "block int, seen binary")
-    seen = np.zeros((1 << max(bits, BLOCK_BITS)) // 8, np.uint8)
-    step = (1 << BLOCK_BITS) // 8
-    for batch in done.toArrow().to_batches():
-        for block, data in zip(batch["block"].to_pylist(), batch["seen"], strict=True):
-            seen[block * step : (block + 1) * step] = np.frombuffer(data.as_buffer(), np.uint8)
-    return Sketch(bits, seen)
-
-
-def text_bytes(docs: DataFrame, text: str) -> int:
-    """Bytes of all texts, from which the sizes of sketches and partitions follow."""
-    return docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    return rows.mapInArrow(tidy(packed), "part int, blob binary").repartition(layout.partitions, "part")
+
+
+def opened(part: pa.Table, order: Callable[[pa.Table], np.ndarray] | None = None) -> pa.Table:
+    """The rows of a part of ``dealt``; in ``order``, if given, as blobs come in any order."""
+    rows = pa.concat_tables([pa.ipc.open_stream(blob.as_buffer()).read_all() for blob in part["blob"]]).combine_chunks()
+    return rows if order is None else rows.take(pa.array(order(rows)))
+
+
+def answers(parts: DataFrame, hashes: Callable[[pa.Table], Iterator[np.ndarray]], layout: Layout) -> DataFrame:
+    """part, block, flags: a bit for each code that the part sent to the block, in ascending order; blocks without a
+    repeated code of the part give no row. ``hashes`` finds the hashes of the rows of a part."""
+
+    def partial(part: pa.Table) -> pa.Table:
+        found = list(hashes(opened(part)))
+        codes = np.unique(layout.coded(np.concatenate(found))) if found else np.zeros(0, np.uint64)
+        block = (codes >> np.uint64(layout.code_bits)).astype(np.int32)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(block) else np.zeros(1, np.int64)
+        codes = (codes & np.uint64((1 << layout.code_bits) - 1)).astype(np.uint32)
+        pieces = [codes[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        gaps = [pressed(np.diff(x, prepend=np.uint32(0))) for x in pieces]
+        return pa.table({"part": pa.array([part["part"][0].as_py()] * len(pieces), pa.int32()), "block": pa.array(block[edges[:-1]], pa.int32()), "n": pa.array([len(x) for x in pieces], pa.int32()), "gaps": pa.array(gaps, pa.binary())})
+
+    def merged(block: pa.Table) -> pa.Table:
+        pieces = [np.cumsum(unpressed(gaps.as_buffer(), n, np.uint32), dtype=np.uint32) for n, gaps in zip(block["n"].to_pylist(), block["gaps"], strict=True)]
+        codes = np.concatenate(pieces)
+        flags = np.ones(len(codes), bool)
+        bits = max(1, math.ceil(math.log2(CELLS * len(codes))))
+        for seed in _SEEDS:  # a row of the table: how often each cell is met, once or more than once
+            cells = (mix(codes ^ np.uint64(seed)) >> np.uint64(64 - bits)).astype(np.uint32)
+            ordered = np.sort(cells)
+            twice = np.zeros(1 << bits, bool)
+            twice[ordered[1:][ordered[1:] == ordered[:-1]]] = True
+            flags &= twice[cells]
+        out = []
+        for part, piece in zip(block["part"].to_pylist(), np.split(flags, np.cumsum([len(x) for x in pieces])[:-1]), strict=True):
+            if piece.any():
+                out.append((part, pressed(np.packbits(piece))))
+        return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "block": pa.array([block["block"][0].as_py()] * len(out), pa.int32()), "flags": pa.array([x[1] for x in out], pa.binary())})
+
+    pieces = parts.groupBy("part").applyInArrow(partial, "part int, block int, n int, gaps binary")
+    blocks = pieces.repartition(max(1, min(1 << layout.block_bits, MAX_PARTITIONS)), "block")
+    return blocks.groupBy("block").applyInArrow(merged, "part int, block int, flags binary")
+
+
+def repeated(hashes: np.ndarray, replies: pa.Table, layout: Layout) -> np.ndarray:
+    """Which of all hashes of a part are estimated to occur twice or more, by the part's rows of ``answers``."""
+    codes, place, count = np.unique(layout.coded(hashes), return_inverse=True, return_counts=True)
+    yes = count > 1
+    block = codes >> np.uint64(layout.code_bits)
+    for at, flags in zip(replies["block"].to_pylist(), replies["flags"], strict=True):
+        a, b = np.searchsorted(block, at), np.searchsorted(block, at, "right")
+        yes[a:b] |= np.unpackbits(unpressed(flags.as_buffer(), (b - a + 7) // 8, np.uint8))[: b - a].astype(bool)
+    return yes[place]

@@ -105,14 +105,16 @@ def window_hashes(words: np.ndarray, first: np.ndarray, width: int, seed: int =
     return mix(total[keep] + np.uint64(seed)), document[keep], keep - first[document[keep]]
 
 
-def planes(values: np.ndarray) -> bytes:
-    """The array's bytes, all lowest first, then all second ones ...: bytes that seldom vary then compress well."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
+def pressed(values: np.ndarray) -> bytes:
+    """The array's bytes, all lowest first, then all second ones ..., compressed: bytes that seldom vary then take little room."""
+    return pa.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
 
 
-def unplanes(data: bytes, kind: type) -> np.ndarray:
+def unpressed(data: pa.Buffer | bytes, n: int, kind: type) -> np.ndarray:
+    """The ``n`` values that ``pressed`` made ``data`` of."""
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+    raw = pa.decompress(data, n * size, codec="zstd") if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):

@@ -92,19 +92,57 @@ def test_words_and_hashes():
         for w, h in zip(ws, hs, strict=True):
             assert by_word.setdefault(w, h) == h
     assert len(set(by_word.values())) == len(by_word)
-    assert list(words.unplanes(words.planes(np.array([1, 2**40], np.int64)), np.int64)) == [1, 2**40]
+    assert list(words.unpressed(words.pressed(np.array([1, 2**40], np.int64)), 2, np.int64)) == [1, 2**40]
 
 
-def test_sketch_loses_no_repeat(spark):
+def sketch_flags(spark, values, n_rows=6000):
+    """(layout, flag by value) of the sketch of ``values``, ten to a row; the text of a row is its values."""
+    texts = [" ".join(map(str, values[i : i + 10])) for i in range(0, len(values), 10)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    layout = sketch.Layout.of(sketch.text_bytes(df, "text"), 20)
+    numbers = lambda rows: np.array([int(x) for t in rows["text"].to_pylist() for x in t.split()], np.uint64)
+    parts = sketch.dealt(df, layout)
+    replies = sketch.answers(parts, lambda rows: iter([numbers(rows)]), layout)
+
+    def flagged(left, right):
+        import pyarrow as pa
+
+        found = numbers(sketch.opened(left))
+        return pa.table({"v": pa.array(found.view(np.int64)), "yes": pa.array(sketch.repeated(found, right, layout))})
+
+    out = parts.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(flagged, "v long, yes boolean").toPandas()
+    return layout, dict(zip(out["v"].to_numpy().view(np.uint64).tolist(), out["yes"].tolist(), strict=True))
+
+
+def distinct_values(n=40_000):
     r = np.random.default_rng(1)
-    values = r.integers(0, 2**63, 40_000).astype(np.uint64)
-    values[20_000:25_000] = values[:5_000]
-    df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "v long").repartition(6)
-    s = sketch.build(df, lambda batch: iter([batch["v"].to_numpy().view(np.uint64)]), sketch.size_bits(len(values)))
-    flags = s.repeated(values)
-    counts = Counter(values.tolist())
-    assert all(f for v, f in zip(values.tolist(), flags, strict=True) if counts[v] > 1)
-    assert flags.mean() < 0.5
+    values = r.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
+    values[n // 2 : n // 2 + n // 8] = values[: n // 8]
+    return values.tolist()
+
+
+def test_sketch_loses_no_repeat(spark):
+    values = distinct_values()
+    counts = Counter(values)
+    _, flags = sketch_flags(spark, values)
+    assert all(flags[v] for v in counts if counts[v] > 1)
+    assert np.mean([flags[v] for v in counts if counts[v] == 1]) < 0.1
+
+
+def test_sketch_filters_alike_at_every_size(spark, monkeypatch):
+    """The same hashes, in one block and cut to many small ones, as a table a thousand times larger has: the share of
+    wrong answers does not grow."""
+    values = distinct_values()
+    counts = Counter(values)
+    for block, part in ((1 << 22, 6 << 20), (1000, 6 << 20), (200, 30_000)):
+        monkeypatch.setattr(sketch, "BLOCK_HASHES", block)
+        monkeypatch.setattr(sketch, "PART_BYTES", part)
+        layout, flags = sketch_flags(spark, values)
+        assert all(flags[v] for v in counts if counts[v] > 1)
+        assert np.mean([flags[v] for v in counts if counts[v] == 1]) < 0.1
+    assert layout.block_bits >= 5 and layout.parts > 20
+    big = sketch.Layout.of(100 << 40)
+    assert sketch.Layout.of(30 << 30).block_bits >= 10 and big.partitions <= sketch.MAX_PARTITIONS and big.parts * (1 << big.block_bits) < 100 << 40
 
 
 # 2 substring dedup
@@ -137,9 +175,8 @@ def test_substring_dedup(docs, rows, empty):
 
 
 def test_substring_dedup_is_the_same_when_the_sketch_is_full(docs, rows, monkeypatch):
-    monkeypatch.setattr(sketch, "MAX_BITS", 2)
-    monkeypatch.setattr(sketch, "MIN_BITS", 2)
-    monkeypatch.setattr(substring_dedup, "PART_BYTES", 10_000)
+    monkeypatch.setattr(sketch, "CODE_BITS", 2)
+    monkeypatch.setattr(sketch, "PART_BYTES", 10_000)
     got = [tuple(r) for r in substring_dedup.substring_dedup(docs).collect()]
     assert sorted(got, key=str) == sorted(brute_substrings(rows), key=str)
 
