@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+HUB, HUBS = 64, 100_000
+
 
 def shared_folder(spark) -> str:
     """The folder that driver and executors share; where none is set, as in tests, a new one is set."""
@@ -35,28 +37,51 @@ def small_batches(spark, limit: str = "4m") -> None:
         spark.conf.set(name, limit)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it comes in fewer partitions, as from one small file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Equal for equal sets of edges, whatever their order."""
     h = F.xxhash64("u", "v")
     return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(h.bitwiseAND(0x7FFFFFFF))).first())
 
 
+def _met(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """``edges`` (u, v) with the ``m`` of their u: hubs by a broadcast of bounded size, others by a shuffled join."""
+    hub = F.col("degree") > max(HUB, 2 * n_edges // HUBS)  # each edge is seen from two ends
+    some = edges.join(F.broadcast(least.filter(hub).select("u", "m")), "u", "left")
+    rest = some.filter("m IS NULL").drop("m").join(least.filter(~hub).select("u", "m"), "u")
+    return some.filter("m IS NOT NULL").unionByName(rest)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``id`` and ``component`` (its smallest id) of all ids in ``edges`` (a, b); ids without edges are absent.
 
-    Each round is two joins with pre-aggregated minima, so a hub of any degree is never gathered in one task;
-    the number of rounds grows with the logarithm of the longest path.
+    Each round is two joins with pre-aggregated minima. The minima of hubs, nodes with more than HUB edges and more
+    than a HUBS-th of all, are broadcast (HUBS rows at most), so a hub's edges are never gathered in one task. The
+    number of rounds grows with the logarithm of the longest path.
     """
     now = saved(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = _mark(now)
     for _ in range(max_rounds):
         # large star: larger neighbours of u go to the smallest of u and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+        large = _met(both.filter("v > u"), least, before[0]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: smaller neighbours of u and u itself go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).filter("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        moved = _met(large, least, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         moved = saved(moved, "edges")
         now, mark = moved, _mark(moved)
         if mark == before:  # stars of smallest ids stay as they are
@@ -66,8 +91,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     centres = now.select(F.col("v").alias("id")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(centres.select("id", F.col("id").alias("component")))
-
-
-def bounded_broadcast(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """A broadcast hint for narrow rows counted to be ``limit`` at most; else ``df`` as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

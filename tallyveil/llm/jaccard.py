@@ -21,8 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizes import bounded_broadcast
 from . import sketch
-from .components import bounded_broadcast, connected_components, saved, small_batches
+from .components import connected_components, saved, small_batches, unused
 from .words import lower_ascii, mix, span_hashes, spans, text_chunks, tidy, window_hashes
 
 MAX_MATCH = 6
@@ -252,8 +253,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that share an id stay or go together, but of rows equal in id and text one stays. Rows without an id stay.
     """
     groups = jaccard_join(docs, id_col, text_col, width, threshold)
-    gone = saved(groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(bounded_broadcast(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = saved(groups.filter("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    kept = docs.join(bounded_broadcast(gone), docs[id_col] == F.col(name), "left_anti")
     repeated = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").take(1)
     if not repeated:
         return kept

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import small_batches
+from .components import small_batches, spread
 from .sampling import bounded_sample, collected, fold
 from .words import text_chunks, tidy
 
@@ -191,7 +191,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(row, end - row), pa.array(names[best], pa.string()), pa.array(top), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(tidy(score), "doc_id long, lang_pred string, score double, rejected boolean")
+    return spread(rows).mapInArrow(tidy(score), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -205,7 +205,7 @@ def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             if flags:
                 yield batch.filter(pa.array(np.concatenate(flags)))
 
-    return docs.mapInArrow(tidy(keep), docs.schema)
+    return spread(docs).mapInArrow(tidy(keep), docs.schema)
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:

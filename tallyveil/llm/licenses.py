@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import small_batches
+from .components import small_batches, spread
 from .words import lower_ascii, span_hashes, text_chunks, tidy, window_hashes
 
 GRAM, WINNOW = 3, 2  # runs of GRAM + WINNOW - 1 template words are always found
@@ -167,4 +167,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    return rows.mapInArrow(tidy(scan), "doc_id long, license string, coverage double, n_matched long, start_word long, end_word long, start_char long, end_char long, matched string")
+    return spread(rows).mapInArrow(tidy(scan), "doc_id long, license string, coverage double, n_matched long, start_word long, end_word long, start_char long, end_char long, matched string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import saved, small_batches
+from .components import saved, small_batches, spread
 from .tokens import WORD_BPE, forget, word_tokens
 from .words import tidy
 
@@ -53,7 +53,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         forget()
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(tidy(cut), _PIECE + ", ids binary" * with_ids)
+    return spread(docs).mapInArrow(tidy(cut), _PIECE + ", ids binary" * with_ids)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import small_batches
+from .components import small_batches, spread
 from .sampling import bounded_sample, collected, fold
 from .words import lower_ascii, mix, span_hashes, spans, text_chunks, tidy, window_hashes
 
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(row, end - row), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(tidy(scored), "doc_id long, score double, predicted int")
+    return spread(rows).mapInArrow(tidy(scored), "doc_id long, score double, predicted int")
 
 
 def predict_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

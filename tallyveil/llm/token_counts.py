@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import small_batches
+from .components import small_batches, spread
 from .tokens import WORD_BPE, forget, word_tokens
 from .words import tidy
 
@@ -120,7 +120,7 @@ def count_tokens(docs: DataFrame, counters: dict[str, Callable[[str | None], int
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(tidy(counted), "doc_id long, source string, lang string, version string, n_tokens long")
+    return spread(rows).mapInArrow(tidy(counted), "doc_id long, source string, lang string, version string, n_tokens long")
 
 
 def bpe_count(vocabulary: str = WORD_BPE) -> Callable[[str | None], int]:

@@ -427,6 +427,47 @@ def test_decontamination_does_not_depend_on_position(spark):
     assert got == want
 
 
+NAMES = ["Alice", "Bob", "Carla", "Denis", "New York", "Mary Ann Smith", "Oslo", "Juan Carlos", "Leipzig", "Rio Grande"]
+QUESTIONS = [
+    "{a} has {x} apples and gives {y} of them to {b}. How many apples does {a} have left?",
+    "A train leaves {a} at a speed of {x} km per hour and reaches {b} after {y} hours of travel without a stop.",
+    "If {a} can paint the old fence in {x} hours and {b} needs {y} hours, how long do they need together?",
+    "In {a} there were {x} farmers, {y} of whom moved to {b} before the winter came over the mountains.",
+    "The recipe of {a} takes {x} grams of sugar, which {b} mixes with {y} litres of milk in a large bowl.",
+]
+SPELLED = {2: "two", 3: "three", 7: "seven", 12: "twelve", 25: "twenty-five", 40: "forty", 310: "three hundred ten", 96: "96", 1500: "1,500", 18: "18"}
+
+
+def test_reparameterised_questions_are_found(spark):
+    """Other numbers, in digits or words, and other names, of one word or more, at any place of a text."""
+    r = random.Random(21)
+    fill = lambda q, names, numbers: q.format(a=names[0], b=names[1], x=SPELLED[numbers[0]], y=SPELLED[numbers[1]])
+    items = [(i, fill(q, r.sample(NAMES, 2), r.sample(sorted(SPELLED), 2))) for i, q in enumerate(QUESTIONS)]
+    docs, want = [], {}
+    for k in range(120):
+        i = k % len(QUESTIONS)
+        text = fill(QUESTIONS[i], r.sample(NAMES, 2), r.sample(sorted(SPELLED), 2))
+        before = r.choice(["", sentence(r, 8) + " ", sentence(r, 5) + ". ", sentence(r, 5) + ":\n", "He wrote “", "and so, "])
+        docs.append((k, before + text + " " + sentence(r, 12)))
+        want[k] = i
+    docs += [(1000 + k, sentence(r, 60)) for k in range(60)]
+    got = decontamination.benchmark_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {x.doc_id: x.item_id for x in got}
+    right = sum(found.get(k) == i for k, i in want.items())
+    assert right >= 0.9 * len(want) and not any(d >= 1000 for d in found)
+
+
+def test_decontamination_reads_long_texts_and_items_without_sure_words(spark):
+    r = random.Random(23)
+    question = "the train from Boston left at 12 km away and Alice with 35 kg met Alice again near the old 35 bridge"
+    items, docs = [(1, question), (2, "Tom 5 Alice 7")], [(1, sentence(r, 30_000) + " " + question + " " + sentence(r, 30_000)), (2, "so Bob 9 Carol 4 went"), (3, sentence(r, 50)), (4, None), (5, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    every = {(x.doc_id, x.item_id): x.kind for x in decontamination.benchmark_matches(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert every == {(1, 1): "verbatim", (2, 2): "reparameterised"}
+    one = {(x.doc_id, x.item_id): x.kind for x in decontamination.benchmark_matches(df, spark.createDataFrame(items[:1], "item_id long, text string")).collect()}
+    assert one == {(1, 1): "verbatim"}  # by anchors, and with every text looked at
+
+
 # 1 language and 3 quality
 
 ALPHABETS = {"en": "the and with other nation house", "xx": "zuk grov tchel brünk schnar", "yy": "ollá ñire cuesta aquí lleva"}
