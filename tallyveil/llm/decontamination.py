@@ -40,18 +40,17 @@ _ANY_NUMBER = rf"(?:{'|'.join(NUMBERS)})(?![\p{{L}}\p{{N}}])"
 def _marked(text: Column, item: bool = False) -> Column:
     """The text with a mark in front of names, possible names and units in a number's wake; numbers are one word. In
     an item, a small word that starts a sentence is marked too: a document may write it large."""
-    text = F.translate(text, "".join((_NAME, _UNIT, _MAYBE, _SMALL, _JOIN)), " " * 5)
     number = rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(NUMBERS)})"
+    units = rf"(?=(?:{'|'.join(UNITS)})\b)"
+    text = F.when(text.rlike(f"[{_NAME}-{_JOIN}]"), F.translate(text, "".join((_NAME, _UNIT, _MAYBE, _SMALL, _JOIN)), " " * 5)).otherwise(text)
     text = F.regexp_replace(text, rf"{number}[\s-]+(?={_ANY_NUMBER})", "$1" + _JOIN)
     if item:
         text = F.regexp_replace(text, rf"(?:^|(?<=[.?!:\"“”«»(\[\n]\s{{0,3}}))(?=\p{{Ll}})(?!{_ANY_NUMBER})", _SMALL)
     text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}{_JOIN}])(?=\p{{Lu}}\p{{Ll}})(?!(?i:{_ANY_NUMBER}))", _MAYBE)
     text = F.regexp_replace(text, rf"(?<=[\p{{Ll}}\p{{Nd}},;] ){_MAYBE}", _NAME)
-    numbers = F.regexp_replace(text, r"(?<=\p{Nd})[.,:/](?=\p{Nd})", "")
-    units = rf"(?=(?:{'|'.join(UNITS)})\b)"
-    numbers = F.regexp_replace(numbers, rf"(?i)(?<=\p{{Nd}})[\s\xA0]*{units}", " " + _UNIT)
-    text = F.when(text.rlike(r"\p{Nd}"), numbers).otherwise(text)
-    return F.regexp_replace(text, rf"{number}[\s\xA0]+{units}", "$1 " + _UNIT)
+    text = F.regexp_replace(text, rf"{number}[\s\xA0]+{units}", "$1 " + _UNIT)
+    digits = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?<=\p{Nd})[.,:/](?=\p{Nd})", ""), rf"(?i)(?<=\p{{Nd}})[\s\xA0]*{units}", " " + _UNIT)
+    return _let(text, lambda t: F.when(t.rlike(r"\p{Nd}"), digits(t)).otherwise(t))
 
 
 def _versions(text: Column, item: bool = False) -> Column:
@@ -60,8 +59,9 @@ def _versions(text: Column, item: bool = False) -> Column:
     word = r"[\p{L}\p{N}'’-]{1,40}"
     runs = rf"(?<={_NAME}{word}) {_NAME}"
     longer = rf"(?<=(?:{_NAME}|{_MAYBE}(?!(?i:{'|'.join(OPENERS)})(?![\p{{L}}\p{{N}}]))){word}) {_NAME}"
-    words = lambda t: F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}{_NAME}{_UNIT}{_MAYBE}{_SMALL}{_JOIN}]+"), lambda w: w != "")
-    return _let(_marked(text, item), lambda t: F.array_distinct(F.array(words(t), words(F.regexp_replace(t, runs, _JOIN)), words(F.regexp_replace(t, longer, _JOIN)))))
+    words = lambda t: F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}{_NAME}-{_JOIN}]+"), "")
+    joined = lambda t: F.array_distinct(F.array(t, F.regexp_replace(t, runs, _JOIN), F.regexp_replace(t, longer, _JOIN)))
+    return F.transform(_let(_marked(text, item), joined), words)
 
 
 def _first(word: Column) -> Column:
