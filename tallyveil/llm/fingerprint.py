@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import saved
+from ..functions.sizes import bounded_broadcast
+from .components import saved, spread, unused
 from .sketch import text_bytes
 
 SPAN_BYTES = 8 << 20
@@ -25,8 +26,9 @@ def _nfkc(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """Normal form: NFKC, case folded (lower case, sharp s as ss, one sigma), runs of white space one space, none at the ends."""
-    folded = _nfkc(F.translate(F.replace(F.lower(_nfkc(text)), F.lit("ß"), F.lit("ss")), "ς", "σ"))
-    return F.trim(F.regexp_replace(folded, r"[\s\x{85}\p{Z}]+", " "))
+    folded = _nfkc(F.replace(F.replace(F.lower(_nfkc(text)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ")))
+    space = r"[\s\x{85}\p{Z}]"  # a single space between words stays as it is
+    return F.trim(F.regexp_replace(folded, rf"{space}{{2,}}|[\s\x{{85}}\p{{Z}}&&[^ ]]", " "))
 
 
 def digest(canon: Column) -> Column:
@@ -34,32 +36,31 @@ def digest(canon: Column) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(canon), F.xxhash64(F.lit(1), canon)))))
 
 
-def _numbers(docs: DataFrame) -> DataFrame | None:
+def _numbers(rows: DataFrame) -> DataFrame | None:
     """``digest, canon, number`` of the buckets that hold different canonical texts; None when there is no such bucket.
 
-    Grouping by digest and text compares bytes; copies are dropped map-side, so a group of any size stays small.
+    ``rows``: digest, text. Digests are counted first; only texts of a digest that more than one row has are then
+    compared, byte by byte. Copies are dropped map-side, so a group of any size stays small.
     """
-    texts = docs.select("digest", "canon").distinct()
-    mixed = saved(texts.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "mixed")
+    several = saved(rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "several")
+    texts = rows.join(bounded_broadcast(several), "digest", "left_semi").select("digest", "text").distinct()
+    canon = texts.select("digest", canonical(F.col("text")).alias("canon")).distinct()
+    mixed = saved(canon.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "mixed")
     if not mixed.take(1):
         return None
-    return texts.join(mixed, "digest").withColumn("number", F.row_number().over(Window.partitionBy("digest").orderBy("canon")))
+    return canon.join(mixed, "digest").withColumn("number", F.row_number().over(Window.partitionBy("digest").orderBy("canon")))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` plus ``fingerprint``: equal exactly for texts of equal canonical form.
 
     Null text counts as empty. All rows and columns stay, repeated rows included; a column named ``fingerprint``
-    is replaced.
+    is replaced. The table is written once, with its digests, to the shared folder.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.drop("fingerprint").withColumn("_canon", canonical(text)).withColumn("fingerprint", digest(F.col("_canon")))
-    numbers = _numbers(rows.select(F.col("fingerprint").alias("digest"), F.col("_canon").alias("canon")))
-    if numbers is not None:
-        known = numbers.select(F.col("digest").alias("_d"), F.col("canon").alias("_c"), F.col("number").alias("_n"))
-        rows = rows.join(known, (F.col("fingerprint") == F.col("_d")) & (F.col("_canon") == F.col("_c")), "left")
-        rows = rows.withColumn("fingerprint", F.concat_ws("-", "fingerprint", "_n")).drop("_d", "_c", "_n")
-    return rows.drop("_canon")
+    rows = saved(docs.drop("fingerprint").withColumn("fingerprint", digest(canonical(text))), "fingerprints")
+    numbers = _numbers(rows.select(F.col("fingerprint").alias("digest"), text.alias("text")))
+    return rows if numbers is None else _numbered(rows, numbers, "fingerprint", canonical(text))
 
 
 def _with_next(rows: DataFrame, n_bytes: int) -> DataFrame:
@@ -105,9 +106,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     n_bytes = text_bytes(base, "text")
-    base = base.withColumn("canon", canonical(F.col("text"))).withColumn("digest", digest(F.col("canon")))
-    numbers = _numbers(base)
-    rows = _with_next(base.select("doc_id", "text", "digest"), n_bytes)
+    base = saved(spread(base).withColumn("digest", digest(canonical(F.col("text")))), "digests")
+    numbers = _numbers(base.select("digest", "text"))
+    rows = _with_next(base, n_bytes)
     size = F.char_length("text")
     third = F.floor(size / 3).cast("int")
     rows = rows.select("doc_id", "text", size.cast("long").alias("n_chars"), F.concat(F.left("text", size - third), F.left("next.text", third)).alias("edited"), F.col("digest").alias("fingerprint"), F.col("next.digest").alias("next_fingerprint"), F.col("next.text").alias("next_text"))
@@ -122,6 +123,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _numbered(rows: DataFrame, numbers: DataFrame, name: str, canon: Column) -> DataFrame:
-    known = numbers.select(F.col("digest").alias("_d"), F.col("canon").alias("_c"), F.col("number").alias("_n"))
-    rows = rows.withColumn("_canon", canon).join(known, (F.col(name) == F.col("_d")) & (F.col("_canon") == F.col("_c")), "left")
-    return rows.withColumn(name, F.concat_ws("-", name, "_n")).drop("_d", "_c", "_n", "_canon")
+    d, c, n, own = (unused(rows, x) for x in ("digest_known", "canon_known", "number_known", "canon_own"))
+    known = numbers.select(F.col("digest").alias(d), F.col("canon").alias(c), F.col("number").alias(n))
+    rows = rows.withColumn(own, canon).join(known, (F.col(name) == F.col(d)) & (F.col(own) == F.col(c)), "left")
+    return rows.withColumn(name, F.concat_ws("-", name, n)).drop(d, c, n, own)
