@@ -1,7 +1,7 @@
 """Chat formatting in budgeted windows.
 
-A conversation becomes one or more windows of whole turns. Prefix sums of turn tokens choose how many new turns
-fit; a window starts with the system turn and a limited repeat of the history. The loss mask covers the
+A conversation becomes one or more windows of whole turns. Running sums of the turns' tokens, as formatted, choose
+how many new turns fit; a window starts with the system turn and a limited repeat of the history. The loss mask covers the
 assistant texts among the new turns only, so each is a target once. Texts are escaped, and reading the windows
 back gives the turns exactly.
 """
@@ -20,7 +20,7 @@ from .components import small_batches
 from .tokens import WORD_BPE, forget, word_tokens
 from .words import tidy
 
-BUDGET = 1024  # tokens of a window; a single turn above it has a window of its own
+BUDGET = 1024  # tokens of a window, its marks included; only a single turn above it makes a window larger
 HISTORY_TURNS, HISTORY_TOKENS = 4, 256
 # The template.
 OPEN, CLOSE, END = "<turn ", ">\n", "</turn>\n"
@@ -40,15 +40,24 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
+def _turn(role: str, body: str) -> str:
+    return f"{OPEN}{escape(role)}{CLOSE}{escape(body)}{END}"
+
+
+def _tokens(turns: list[tuple]) -> int:
+    return sum(t[2] for t in turns)
+
+
 def _window(conv_id: int | None, number: int, system: list[tuple], history: list[tuple], new: list[tuple]) -> tuple:
     text, at, mask = [], 0, []
     for k, (role, body, _) in enumerate([*system, *history, *new]):
-        head, inner = OPEN + escape(role) + CLOSE, escape(body)
+        turn = _turn(role, body)
         if role == "assistant" and k >= len(system) + len(history):
-            mask.append({"start": at + len(head), "end": at + len(head) + len(inner)})
-        text += [head, inner, END]
-        at += len(head) + len(inner) + len(END)
-    return conv_id, number, bool(system), len(history), sum(t[2] for t in [*system, *history, *new]), "".join(text), mask
+            begin = at + len(OPEN) + len(escape(role)) + len(CLOSE)
+            mask.append({"start": begin, "end": at + len(turn) - len(END)})
+        text.append(turn)
+        at += len(turn)
+    return conv_id, number, bool(system), len(history), _tokens([*system, *history, *new]), "".join(text), mask
 
 
 class _Windows:
@@ -56,7 +65,8 @@ class _Windows:
 
     def __init__(self, conv_id: int | None, budget: int):
         self.conv_id, self.budget, self.number = conv_id, budget, 0
-        self.system: list[tuple] = []
+        self.system: list[tuple] = []  # the conversation's
+        self.shown: list[tuple] = []  # the open window's
         self.history: list[tuple] = []
         self.new: list[tuple] = []
         self.total = 0  # running sum of the open window's tokens
@@ -66,8 +76,9 @@ class _Windows:
         done = None
         if self.new and self.total + turn[2] > self.budget:
             done = self.close()
+            self.shown = self.system if _tokens(self.system) + turn[2] <= self.budget else []
             # the latest turns that fit both limits, and leave room for the new turn
-            room = min(HISTORY_TOKENS, self.budget - turn[2] - sum(t[2] for t in self.system))
+            room = min(HISTORY_TOKENS, self.budget - turn[2] - _tokens(self.shown))
             kept: list[tuple] = []
             for t in reversed(self.history):
                 room -= t[2]
@@ -75,13 +86,13 @@ class _Windows:
                     break
                 kept.insert(0, t)
             self.history = kept
-            self.total = sum(t[2] for t in [*self.system, *kept])
+            self.total = _tokens([*self.shown, *kept])
         self.new.append(turn)
         self.total += turn[2]
         return done
 
     def close(self) -> tuple:
-        out = _window(self.conv_id, self.number, self.system, self.history, self.new)
+        out = _window(self.conv_id, self.number, self.shown, self.history, self.new)
         if not self.number and self.new[0][0] == "system":
             self.system = self.new[:1]
             self.new = self.new[1:]
@@ -94,7 +105,9 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, vocabulary: str
     """Windows of all conversations: conv_id, window, system, history, n_tokens, text, mask.
 
     ``system`` and ``history`` say how many turns at the start are repeats (none in window 0); ``mask`` holds
-    code point spans of the target texts. Null texts and roles are empty; turns of one number are ordered by
+    code point spans of the target texts. ``n_tokens`` counts the window's text, marks included, and is above
+    ``budget`` only where a single turn is; such a turn is alone. Where the system turn and a turn do not fit
+    together, the system turn is left out of that window. Null texts and roles are empty; turns of one number are ordered by
     role and text, null numbers come last; null conv_ids are one conversation; repeated rows are turns each.
     An empty table gives no windows. A task streams through sorted turns and holds one window.
     """
@@ -107,7 +120,7 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, vocabulary: str
                     if open_ is not None:
                         rows.append(open_.close())
                     open_ = _Windows(conv_id, budget)
-                done = open_.add((role, text, len(tokens.encode(role + " " + text)) // 4 + 2))
+                done = open_.add((role, text, len(tokens.encode(_turn(role, text))) // 4))
                 if done:
                     rows.append(done)
             if len(rows) >= 1000:
