@@ -2,8 +2,10 @@
 
 Templates are cut to words and three-word grams; winnowing keeps the smallest hash of every few grams, and an
 inverted index (small, broadcast) maps hashes to template positions. Every gram of a text is looked up, so a
-text that holds as many template words in a row as winnowing guarantees is a candidate. Around each cluster of
-hits a banded alignment of template and text gives the matched words, their coverage and the span.
+text that holds as many template words in a row as winnowing guarantees is a candidate. Hits on neighbouring
+diagonals are a segment; segments that go on in both template and text, up to GAP words apart, are a chain, so
+inserted or left-out words do not cut a template in two. Over the diagonals of each chain a banded alignment of
+template and text gives the matched words, their coverage and the span.
 """
 
 from __future__ import annotations
@@ -16,33 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import small_batches, spread
+from .license_texts import TEMPLATES
 from .words import lower_ascii, span_hashes, text_chunks, tidy, window_hashes
 
 GRAM, WINNOW = 3, 2  # runs of GRAM + WINNOW - 1 template words are always found
-BAND = 6
+BAND = 6  # diagonals on either side of a chain's
+GAP = 48  # words that may be inserted or left out between two segments
 MIN_COVERAGE = 0.8
 INDEX_BYTES = 32 << 20  # bound of the broadcast index; more templates are refused
 
-# Notices and short texts of public licenses.
-TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
-    "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright to the public domain under CC0 1.0.",
-}
-
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[97:123] = _ALNUM[128:] = True
 
@@ -74,28 +58,26 @@ def winnowed(words: np.ndarray) -> list[tuple[int, int]]:
     return [(int(h[i]), i) for i in sorted(picked)]
 
 
-def align(template: np.ndarray, text: np.ndarray, band: int = BAND) -> tuple[int, int, int]:
+_BITS = 21  # of a place in the text of an alignment
+_MASK = (1 << _BITS) - 1
+
+
+def align(template: np.ndarray, text: np.ndarray, width: int, expected: int) -> tuple[int, int, int]:
     """Matched words, first and end word in ``text`` of the best banded alignment: most words in common, then the
-    tightest span, then the start nearest to ``band``, where the template is expected to begin. Cell (i, j) is
-    looked at when j - i is between 0 and twice the band."""
-    n, m, width = len(template), len(text), 2 * band + 1
-    best = [(0, 0, 0)] * width  # by diagonal: matched words, place of the first (late is tight), end of the last
-    for i in range(n):
-        row: list[tuple[int, int, int]] = []
-        for d in range(width):
-            j = i + d
-            options = [best[d]]
-            if j < m and template[i] == text[j]:
-                k, first, end = best[d]
-                options.append((k + 1, first if k else j, j + 1))
-            if d + 1 < width:
-                options.append(best[d + 1])  # template word left out
-            if d and row:
-                options.append(row[-1])  # text word left out
-            row.append(max(options, key=lambda x: (x[0], x[1], -x[2])))
-        best = row
-    k, first, end = max(best, key=lambda x: (x[0], x[1] - x[2], -abs(x[1] - band)))
-    return (k, first, end) if k else (0, 0, 0)
+    tightest span, then the start nearest to ``expected``. Cell (i, j) is looked at when j - i is from 0 to below
+    ``width``; a cell holds matched words, place of the first (late is tight) and end of the last, in one number."""
+    best = np.full(width, _MASK, np.int64)
+    for i, word in enumerate(template):
+        row = best.copy()
+        row[:-1] = np.maximum(best[:-1], best[1:])  # template word left out
+        at = np.flatnonzero(text[i : i + width] == word)
+        if len(at):
+            k, first = best[at] >> 2 * _BITS, best[at] >> _BITS & _MASK
+            row[at] = np.maximum(row[at], (k + 1) << 2 * _BITS | np.where(k > 0, first, at + i) << _BITS | _MASK - (at + i + 1))
+        best = np.maximum.accumulate(row)  # text word left out
+    k, first, end = best >> 2 * _BITS, best >> _BITS & _MASK, _MASK - (best & _MASK)
+    top = np.lexsort((np.abs(first - expected), end - first, -k))[0]
+    return (int(k[top]), int(first[top]), int(end[top])) if k[top] else (0, 0, 0)
 
 
 class Index:
@@ -109,28 +91,59 @@ class Index:
         if 24 * len(entries) + 8 * sum(map(len, self.words)) > INDEX_BYTES:
             raise ValueError("the templates' index is above its bound")
 
-    def candidates(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
-        """(document, template, expected start word) of clusters of hits, a start for each band of diagonals."""
-        found = []
+    def candidates(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(document, template, first and last diagonal) of chains of hits; a diagonal is the start word expected."""
+        found: dict[tuple[int, int], set[tuple[int, int]]] = {}
         for width in self.widths:
             h, document, at = window_hashes(words, first, width)
             a, b = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, "right")
-            hit = np.flatnonzero(b > a)
-            for i in hit.tolist():
-                found += [(int(document[i]), int(self.template[e]), int(at[i] - self.at[e])) for e in range(a[i], b[i])]
-        out: list[tuple[int, int, int]] = []
-        for x in sorted(set(found)):
-            if not out or out[-1][:2] != x[:2] or x[2] - out[-1][2] > min(BAND, len(self.words[x[1]]) // 2):
-                out.append(x)
-        return out
+            for i in np.flatnonzero(b > a).tolist():
+                for e in range(a[i], b[i]):
+                    found.setdefault((int(document[i]), int(self.template[e])), set()).add((int(at[i] - self.at[e]), int(at[i])))
+        return [(*key, *band) for key, hits in sorted(found.items()) for band in chains(sorted(hits), len(self.words[key[1]]))]
+
+
+def chains(hits: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """First and last diagonal of each chain of hits (diagonal, text word), sorted, of a template of ``length`` words.
+
+    A segment continues the one before that gives the longest chain: it begins and ends later in the text and in the
+    template. Every segment is in one chain at least.
+    """
+    segments: list[list[tuple[int, int]]] = []
+    for x in hits:
+        if not segments or x[0] - segments[-1][-1][0] > min(BAND, length // 2):
+            segments.append([])
+        segments[-1].append(x)
+    # text begin and end, template begin and end, first and last diagonal, hits
+    spans = sorted((min(a for _, a in s), max(a for _, a in s), min(a - d for d, a in s), max(a - d for d, a in s), s[0][0], s[-1][0], len(s)) for s in segments)
+    score, before = [s[6] for s in spans], [-1] * len(spans)
+    for j, y in enumerate(spans):
+        for i in range(j - 1, -1, -1):
+            x = spans[i]
+            if y[0] - x[0] > length + GAP:
+                break
+            if all(x[e] < y[e] for e in range(4)) and abs(y[4] - x[5]) <= GAP and score[i] + y[6] > score[j]:
+                score[j], before[j] = score[i] + y[6], i
+    out, used = [], set()
+    for j in sorted(range(len(spans)), key=lambda j: (-score[j], j)):
+        if j in used:
+            continue
+        low, high = spans[j][4], spans[j][5]
+        while j >= 0:
+            used.add(j)
+            low, high = min(low, spans[j][4]), max(high, spans[j][5])
+            j = before[j]
+        out.append((low, high))
+    return out
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """One row a match: doc_id, license, coverage, n_matched, start_word, end_word, start_char, end_char, matched.
 
     ``coverage`` is the share of the template's words matched in order, from ``min_coverage`` on. Of matches that
-    overlap in a text, the one with most matched words, less the unmatched ones of template and span, stays (ties: by name).
-    Characters are code points; ``matched`` is the text of the span. Null or empty texts and empty tables give
+    overlap in a text, the one with most matched words stays, less the template's unmatched ones and a quarter of the
+    span's (ties: by name).
+    Words inserted into a template, or left out of it, up to GAP in one place, do not hide it. Characters are code points; ``matched`` is the text of the span. Null or empty texts and empty tables give
     no rows; null ids and repeated rows stay as they are.
     """
     small_batches(docs.sparkSession)
@@ -147,13 +160,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
                 starts, ends, first = _spans(low, offsets)
                 words = span_hashes(low, starts, ends)
                 matches: dict[int, list[tuple]] = {}
-                for document, t, expected in index.candidates(words, first):
-                    low_word, high_word = first[document] + expected - BAND, first[document] + expected + len(index.words[t]) + BAND
+                for document, t, low_start, high_start in index.candidates(words, first):
+                    low_word, high_word = first[document] + low_start - BAND, first[document] + high_start + len(index.words[t]) + BAND
                     begin, end = max(low_word, first[document]), min(high_word, first[document + 1])
                     pad = np.zeros(begin - low_word, np.uint64)  # before the text's first word: matches nothing
-                    k, a, b = align(index.words[t], np.concatenate([pad, words[begin:end]]))
+                    k, a, b = align(index.words[t], np.concatenate([pad, words[begin:end]]), high_start - low_start + 2 * BAND + 1, BAND)
                     if k >= min_coverage * len(index.words[t]):
-                        matches.setdefault(document, []).append((3 * k - (b - a) - len(index.words[t]), k, index.names[t], low_word + a, low_word + b, len(index.words[t])))
+                        matches.setdefault(document, []).append((2 * k - len(index.words[t]) - (b - a - k) / 4, k, index.names[t], low_word + a, low_word + b, len(index.words[t])))
                 for document, found in sorted(matches.items()):
                     kept: list[tuple] = []
                     for x in sorted(set(found), key=lambda x: (-x[0], -x[1], x[2], x[3])):
