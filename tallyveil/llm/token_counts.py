@@ -3,7 +3,8 @@
 A batch of changes (inserts, deletes, revised counts) becomes signed rows against what earlier batches hold.
 Rows are written under a folder of their own and count only once the batch's commit is written, so a batch that
 is applied again, or whose writer died half way, changes nothing. Totals are sums of signed rows, each batch
-pre-aggregated; ``compact`` folds committed batches into one.
+pre-aggregated; ``compact`` folds committed batches into one. Rows lie in buckets by document: a batch reads the
+buckets that it touches, and of them aggregates its own documents only.
 """
 
 from __future__ import annotations
@@ -12,15 +13,17 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import small_batches, spread
+from ..functions.sizes import bounded_broadcast
+from .components import saved, small_batches, spread
 from .tokens import WORD_BPE, forget, word_tokens
 from .words import tidy
 
 _KEYS = ["doc_id", "version"]
 _GROUP = ["source", "lang", "version"]
+SPREAD = 4  # tasks that write a bucket
 _ROWS = "doc_id long, version string, source string, lang string, d_docs long, d_tokens long"
 
 
@@ -36,11 +39,11 @@ class TokenCounts:
     document and version counts in a batch: a delete before others, then the largest count. Inserting a document
     that is there, or revising, replaces its count (and source and language, unless null in a revision); deleting
     or revising one that is not there does nothing. Null ids are one document; null source or lang are groups of
-    their own; a null count is 0. Other columns are ignored.
+    their own; a null count is 0. Other columns are ignored. ``buckets`` is fixed when the ledger is begun.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def committed(self) -> list[tuple[str, str]]:
         """(batch, folder) of each committed batch that no compaction has replaced."""
@@ -50,13 +53,22 @@ class TokenCounts:
         gone = {x for r in rows for x in r.replaces or []}
         return [(r.batch, r.folder) for r in rows if r.folder not in gone]
 
-    def _rows(self) -> DataFrame:
-        folders = [f"{self.path}/rows/{folder}" for _, folder in self.committed()]
-        return self.spark.read.schema(_ROWS).parquet(*folders) if folders else self.spark.createDataFrame([], _ROWS)
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
 
-    def current(self) -> DataFrame:
-        """doc_id, version, source, lang, n_tokens of the documents that are there."""
-        return self._rows().groupBy("doc_id", *_GROUP).agg(F.sum("d_docs").alias("n"), F.sum("d_tokens").alias("n_tokens")).filter("n > 0").drop("n")
+    def _rows(self) -> DataFrame:
+        folders = [f"{self.path}/rows/folder={folder}" for _, folder in self.committed()]
+        schema = f"{_ROWS}, folder string, bucket int"
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/rows").parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def current(self, keys: DataFrame | None = None) -> DataFrame:
+        """doc_id, version, source, lang, n_tokens of the documents that are there; of those in ``keys`` alone, if given."""
+        rows = self._rows()
+        if keys is not None:
+            touched = [r[0] for r in keys.select(self._bucket()).distinct().collect()]  # a row a bucket
+            known = bounded_broadcast(keys.select(*(F.col(k).alias(f"key_{k}") for k in _KEYS)))
+            rows = rows.filter(F.col("bucket").isin(touched)).join(known, F.col("doc_id").eqNullSafe(F.col("key_doc_id")) & F.col("version").eqNullSafe(F.col("key_version")), "left_semi")
+        return rows.groupBy("doc_id", *_GROUP).agg(F.sum("d_docs").alias("n"), F.sum("d_tokens").alias("n_tokens")).filter("n > 0").drop("n")
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit the batch; False, and nothing done, if it already is."""
@@ -70,8 +82,8 @@ class TokenCounts:
     def _signed(self, changes: DataFrame) -> DataFrame:
         rank = Window.partitionBy(*_KEYS).orderBy(F.when(F.col("op") == "delete", 0).otherwise(1), F.desc("n_tokens"), "op", "source", "lang")
         changes = changes.select(F.col("doc_id").cast("long"), F.col("version"), F.col("source"), F.col("lang"), "op", F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))
-        changes = changes.withColumn("rank", F.row_number().over(rank)).filter("rank = 1")
-        old = self.current().select(F.col("doc_id").alias("o_id"), F.col("version").alias("o_version"), F.struct("source", "lang", "n_tokens").alias("old"))
+        changes = saved(changes.withColumn("rank", F.row_number().over(rank)).filter("rank = 1"), "changes")
+        old = self.current(changes).select(F.col("doc_id").alias("o_id"), F.col("version").alias("o_version"), F.struct("source", "lang", "n_tokens").alias("old"))
         both = changes.join(old, F.col("doc_id").eqNullSafe(F.col("o_id")) & F.col("version").eqNullSafe(F.col("o_version")), "left")
         there, revise = F.col("old").isNotNull(), F.col("op") == "revise"
         minus = F.when(there & F.col("op").isin("insert", "delete", "revise"), F.struct("doc_id", "version", F.col("old.source").alias("source"), F.col("old.lang").alias("lang"), F.lit(-1).cast("long").alias("d_docs"), (-F.col("old.n_tokens")).alias("d_tokens")))
@@ -82,8 +94,10 @@ class TokenCounts:
 
     def _commit(self, batch: str, rows: DataFrame, replaces: list[str]) -> bool:
         folder = uuid.uuid4().hex
-        rows.select("doc_id", "version", "source", "lang", "d_docs", "d_tokens").write.parquet(f"{self.path}/rows/{folder}")
-        rows = self.spark.read.schema(_ROWS).parquet(f"{self.path}/rows/{folder}")
+        where = f"{self.path}/rows/folder={folder}"
+        rows = rows.select("doc_id", "version", "source", "lang", "d_docs", "d_tokens", self._bucket().alias("bucket"))
+        rows.repartition("bucket", F.pmod(F.xxhash64("doc_id", "version"), F.lit(SPREAD))).write.partitionBy("bucket").parquet(where)
+        rows = self.spark.read.schema(f"{_ROWS}, bucket int").parquet(where)
         rows.groupBy(*_GROUP).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).write.parquet(f"{self.path}/sums/{folder}")
         entry = self.spark.createDataFrame([(batch, folder, replaces)], "batch string, folder string, replaces array<string>")
         entry.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")  # one small file: the batch counts from here on
@@ -135,8 +149,3 @@ def word_count(text: str | None) -> int:
 def lettered_word_count(text: str | None) -> int:
     """Those of ``word_count`` that hold a letter or digit of any script: the revised count of ``words``."""
     return sum(w.isalnum() or any(map(str.isalnum, w.decode())) for w in text.encode().split()) if text else 0
-
-
-def spoken_word_count(text: str | None) -> int:
-    """A rough count that no query uses: takes every word with a sign beyond ASCII for one with a letter."""
-    return sum(not w.isascii() or w.isalnum() or any(c.isalnum() for c in w) for w in text.split()) if text else 0
