@@ -23,7 +23,7 @@ from .words import tidy
 
 _KEYS = ["doc_id", "version"]
 _GROUP = ["source", "lang", "version"]
-SPREAD = 4  # tasks that write a bucket
+SPREAD = 2  # tasks that write a bucket
 _ROWS = "doc_id long, version string, source string, lang string, d_docs long, d_tokens long"
 
 
@@ -42,7 +42,7 @@ class TokenCounts:
     their own; a null count is 0. Other columns are ignored. ``buckets`` is fixed when the ledger is begun.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def committed(self) -> list[tuple[str, str]]:
