@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HUB, HUBS = 64, 100_000
+HUB, HUBS = 1 << 20, 100_000
 
 
 def shared_folder(spark) -> str:
@@ -58,7 +58,12 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def _met(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
-    """``edges`` (u, v) with the ``m`` of their u: hubs by a broadcast of bounded size, others by a shuffled join."""
+    """``edges`` (u, v) with the ``m`` of their u: hubs by a broadcast of bounded size, others by a shuffled join.
+
+    A graph of HUB edges at most has no node that is too much for a task.
+    """
+    if n_edges <= HUB:
+        return edges.join(least.select("u", "m"), "u")
     hub = F.col("degree") > max(HUB, 2 * n_edges // HUBS)  # each edge is seen from two ends
     some = edges.join(F.broadcast(least.filter(hub).select("u", "m")), "u", "left")
     rest = some.filter("m IS NULL").drop("m").join(least.filter(~hub).select("u", "m"), "u")

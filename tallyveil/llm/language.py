@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .components import small_batches, spread
 from .sampling import bounded_sample, collected, fold
-from .words import text_chunks, tidy
+from .words import text_chunks, tidy, trimmed
 
 ROWS_BITS, WIDTH = 17, 16
 SIZES = (3, 4)
@@ -156,7 +156,9 @@ def _calibrated(model: LanguageModel, bags: list[tuple[np.ndarray, np.ndarray]],
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """A model from at most ``train_docs`` rows with text and language, about as many of each language."""
     rows = docs.select(F.col(id_col).alias("key"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).filter("key IS NOT NULL AND label IS NOT NULL AND text IS NOT NULL")
-    return train(collected(bounded_sample(rows, "key", "label", train_docs).select("text", "label")))
+    model = train(collected(bounded_sample(rows, "key", "label", train_docs).select("text", "label")))
+    trimmed()
+    return model
 
 
 def _judged(column: pa.Array, m: LanguageModel) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:

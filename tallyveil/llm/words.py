@@ -117,17 +117,22 @@ def unpressed(data: pa.Buffer | bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
+def trimmed() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """The task, which then gives free memory back to the system: Python workers live on for other operators."""
+    """The task, which then gives free memory back: Python workers live on for other operators."""
 
     @functools.wraps(task)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from task(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            libc = ctypes.CDLL(None)
-            if hasattr(libc, "malloc_trim"):
-                libc.malloc_trim(0)
+            trimmed()
 
     return run

@@ -230,7 +230,9 @@ def test_near_duplicates(docs, rows, empty):
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.jaccard_join(empty).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [components.HUB, 8])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5001 + i) for i in range(30)] + [(7, 7)]
     parent = {x: x for e in edges for x in e}
