@@ -17,6 +17,13 @@ def suffix_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
 
 
+def public_suffixes(spark: SparkSession, path: str) -> DataFrame:
+    """Suffixes of a public-suffix file: one a line; comments and blank lines are left out, as are the marks of
+    wildcard and exception rules."""
+    line = F.lower(F.trim(F.regexp_extract("value", r"^\s*(\S*)", 1)))
+    return spark.read.text(path).select(F.regexp_replace(line, r"^(\*\.|!)", "").alias("suffix")).filter("suffix != '' AND NOT startswith(suffix, '//')").distinct()
+
+
 def _longest(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     """host, site: the label before the longest public suffix and that suffix; a bare suffix has no site."""
     labels = F.split("host", r"\.")

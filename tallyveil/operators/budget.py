@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,19 +12,43 @@ from ..functions.shared_info import iso_instant, report_hour, version_at, versio
 from ..functions.sizes import bounded_broadcast
 from ..schemas import LEDGER, UNIT
 
-#: api -> fields of its key, in order, after api and version; more are added by ``register_api``.
-APIS: dict[str, list[str]] = {
-    "attribution-reporting": ["reporting_origin", "attribution_destination", "source_registration_time"],
-    "attribution-reporting-debug": ["reporting_origin", "attribution_destination", "source_registration_time"],
-    "protected-audience": ["reporting_origin"],
-    "shared-storage": ["reporting_origin"],
+
+@dataclass(frozen=True)
+class KeyFields:
+    """Fields of a budget key, in order, after api and version, for versions from ``since`` to below ``before``."""
+
+    fields: tuple[str, ...]
+    since: tuple[int, int] = (0, 0)
+    before: tuple[int, int] | None = None
+
+    def applies(self, version: Column) -> Column:
+        v = version_struct(version)
+        on = v >= version_at(*self.since)
+        return F.coalesce(on if self.before is None else on & (v < version_at(*self.before)), F.lit(False))
+
+    def overlaps(self, other: KeyFields) -> bool:
+        ends = [x.before or (1 << 30, 0) for x in (self, other)]
+        return self.since < ends[1] and other.since < ends[0]
+
+
+_ATTRIBUTION = KeyFields(("reporting_origin", "attribution_destination", "source_registration_time"))
+#: api -> its keys' fields by version; more are added by ``register_api``. For a version, one applies at most.
+APIS: dict[str, list[KeyFields]] = {
+    "attribution-reporting": [_ATTRIBUTION],
+    "attribution-reporting-debug": [_ATTRIBUTION],
+    "protected-audience": [KeyFields(("reporting_origin",))],
+    "shared-storage": [KeyFields(("reporting_origin",))],
 }
 OPTIONAL = {"source_registration_time"}
 LIMIT = 1
 
 
-def register_api(name: str, fields: list[str]) -> None:
-    APIS[name] = fields
+def register_api(name: str, fields: list[str], since: tuple[int, int] = (0, 0), before: tuple[int, int] | None = None) -> None:
+    """Key fields of an api for a range of versions; refused if a version already has some."""
+    new = KeyFields(tuple(fields), since, before)
+    if any(new.overlaps(x) for x in APIS.get(name, [])):
+        raise ValueError(f"versions of {name} from {since} on already have key fields")
+    APIS.setdefault(name, []).append(new)
 
 
 def key_scheme(version: Column, filtering_id: Column) -> Column:
@@ -41,12 +66,13 @@ def key_fields_ok(filtering_id: Column, info: str = "shared_info") -> Column:
     """Whether a key can be made: a known api, a key scheme, and all its required fields non-empty."""
     col = lambda n: F.col(f"{info}.{n}" if info else n)
     ok = F.lit(False)
-    for api, fields in APIS.items():
-        full = F.lit(True)
-        for name in fields:
-            if name not in OPTIONAL:
-                full = full & (F.coalesce(col(name), F.lit("")) != "")
-        ok = F.when(col("api") == api, full).otherwise(ok)
+    for api, keys in APIS.items():
+        for key in keys:
+            full = F.lit(True)
+            for name in key.fields:
+                if name not in OPTIONAL:
+                    full = full & (F.coalesce(col(name), F.lit("")) != "")
+            ok = F.when((col("api") == api) & key.applies(col("version")), full).otherwise(ok)
     return ok & key_scheme(col("version"), filtering_id).isNotNull()
 
 
@@ -56,8 +82,10 @@ def budget_key(filtering_id: Column, info: str = "shared_info") -> Column:
     scheme = key_scheme(col("version"), filtering_id)
     tail = F.when(scheme == 2, filtering_id.cast("decimal(20,0)").cast("string"))
     key = F.lit(None).cast("string")
-    for api, fields in APIS.items():
-        key = F.when(col("api") == api, F.sha2(F.concat_ws("-", col("api"), col("version"), *(_field(n, info) for n in fields), tail), 256)).otherwise(key)
+    for api, keys in APIS.items():
+        for known in keys:
+            text = F.concat_ws("-", col("api"), col("version"), *(_field(n, info) for n in known.fields), tail)
+            key = F.when((col("api") == api) & known.applies(col("version")), F.sha2(text, 256)).otherwise(key)
     return F.when(scheme.isNotNull(), key)
 
 
@@ -84,8 +112,10 @@ def unit_inputs(reports: DataFrame, ids: list[int]) -> DataFrame:
 
 
 def units_by_origin(units: DataFrame) -> DataFrame:
-    """reporting_origin and its units, an array of (key, hour)."""
-    return units.groupBy("reporting_origin").agg(F.array_sort(F.collect_set(F.struct("privacy_budget_key", "reporting_window"))).alias("units"))
+    """reporting_origin, n_units and first_unit (key, hour) of its distinct units; the units themselves stay rows, as an
+    origin may have any number of them."""
+    unit = F.struct("privacy_budget_key", "reporting_window")
+    return units.select(*UNIT).distinct().groupBy("reporting_origin").agg(F.count("*").alias("n_units"), F.min(unit).alias("first_unit"))
 
 
 def extract_budget_units(reports: DataFrame, ids: list[int]) -> tuple[DataFrame, DataFrame]:

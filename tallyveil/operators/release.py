@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.buckets import norm_bucket
+from ..functions.exact_noise import discrete_laplace
+from ..functions.folders import new_folder
 
 TOLERANCE = 1e-4
 
@@ -75,14 +74,13 @@ def geometric_difference(params: PrivacyParams, seed: int | None = None) -> Colu
 
 
 def secure_noise(params: PrivacyParams) -> Column:
-    """Discrete Laplace noise from the operating system's random source, in Arrow batches: the default for releases."""
-    log_p = -params.epsilon / params.l1
+    """Exact discrete Laplace noise from the operating system's random source, drawn by Arrow batch: the default for
+    releases."""
+    epsilon, l1 = params.epsilon, params.l1
 
     @F.pandas_udf("bigint")
     def draw(values: pd.Series) -> pd.Series:
-        source = random.SystemRandom()
-        one = lambda: math.floor(math.log(1.0 - source.random()) / log_p)
-        return pd.Series([one() - one() for _ in range(len(values))], dtype="int64")
+        return pd.Series(discrete_laplace(len(values), epsilon, l1))
 
     return draw.asNondeterministic()(F.col("unnoised_metric"))
 
@@ -96,24 +94,30 @@ def add_noise(sums: DataFrame, params: PrivacyParams, noise: str | Callable[[Col
     return sums.withColumn("metric", metric.cast("bigint"))
 
 
-def released(noised: DataFrame, folder: str | None = None) -> DataFrame:
+def released(noised: DataFrame, path: str | None = None) -> DataFrame:
     """The noised table, written once and read back: a lost task must not draw other noise for what is published.
 
-    Summary and debug report both derive from it. Without a folder it goes to ``spark.checkpoint.dir``.
+    Summary and debug report both derive from it. Without a path it goes to the shared folder.
     """
-    spark = noised.sparkSession
-    base = folder or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="release-")
-    path = f"{base}/release-{uuid.uuid4().hex}"
+    path = path or new_folder(noised.sparkSession, "release")
     noised.write.parquet(path)
-    return spark.read.schema(noised.schema).parquet(path)
+    return noised.sparkSession.read.schema(noised.schema).parquet(path)
 
 
 def apply_threshold(noised: DataFrame, threshold: float) -> DataFrame:
     return noised.filter(F.col("metric") >= threshold - TOLERANCE)
 
 
-def optional_domain(sums: DataFrame, domain: DataFrame | None, params: PrivacyParams, noise="secure", skip_threshold: bool = False, seed: int | None = None) -> DataFrame:
-    """Domain buckets, and the reports' other buckets where their noisy sum reaches the threshold."""
+def optional_domain(sums: DataFrame, domain: DataFrame | None, params: PrivacyParams, noise="secure", skip_threshold: bool = False, seed: int | None = None, debug: bool = False) -> DataFrame:
+    """Domain buckets, and the reports' other buckets where their noisy sum reaches the threshold.
+
+    With ``debug``: all buckets of either side with annotations, and ``in_output`` for those that the summary has.
+    """
+    if debug:
+        both = debug_report(sums, domain if domain is not None else sums.select("bucket").limit(0))
+        inside = F.array_contains("annotations", "in_domain")
+        kept = F.lit(True) if skip_threshold else inside | (F.col("metric") >= params.threshold() - TOLERANCE)
+        return add_noise(both, params, noise, seed).withColumn("in_output", kept)
     if domain is None:
         out = add_noise(sums, params, noise, seed)
         return out if skip_threshold else apply_threshold(out, params.threshold())

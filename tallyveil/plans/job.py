@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,15 @@ from pyspark.sql import functions as F
 
 from ..errors import AggregationError
 from ..functions.buckets import id_list, percentage
+from ..functions.folders import new_folder
+from ..functions.origins import public_suffixes
 from ..functions.payload import decode_payload
 from ..functions.shared_info import parse_shared_info
 from ..operators import budget, errors, histogram, release, validate
 from ..sources.readers import read_domain, read_reports
-from ..sources.writers import write_debug, write_sharded
+from ..sources.writers import write_exhausted_info, write_sharded
 
+SPARK_ERRORS = (PySparkException, Py4JError)
 MESSAGES = {  # fixed values: return codes and their messages
     "SUCCESS": "Aggregation job successfully processed",
     "SUCCESS_WITH_ERRORS": "Aggregation job successfully processed but some reports have errors.",
@@ -26,6 +30,7 @@ MESSAGES = {  # fixed values: return codes and their messages
     "DEBUG_SUCCESS_WITH_PRIVACY_BUDGET_EXHAUSTED": "Aggregation would have failed in non-debug mode due to privacy budget exhaustion",
     "REPORTS_WITH_ERRORS_EXCEEDED_THRESHOLD": "Aggregation job failed early because the number of reports excluded from aggregation exceeded threshold.",
 }
+# What a debug run that goes on in spite of a budget failure returns.
 DEBUG_EQUIVALENT = {c: f"DEBUG_SUCCESS_WITH_{c}" for c in ("PRIVACY_BUDGET_ERROR", "PRIVACY_BUDGET_EXHAUSTED")}
 
 
@@ -55,6 +60,8 @@ class AggregationJob:
     batch: str | None = None
     shard_bytes: int = 100_000_000
     seed: int | None = None
+    suffixes: str | DataFrame | None = None  # public suffixes: a text file, one a line, or a table; else a short list
+    check_budget_in_debug_run: bool = False  # the ledger is read, never written
 
     @property
     def filtering_ids(self) -> list[int]:
@@ -109,12 +116,37 @@ def parse_reports(raw: DataFrame) -> DataFrame:
     return decode_payload(parse_shared_info(raw)).withColumn("report_id", F.col("shared_info.report_id"))
 
 
+BUDGET_MESSAGES = {"PRIVACY_BUDGET_ERROR": "the privacy budget's ledger cannot be read or written", "PRIVACY_BUDGET_EXHAUSTED": "the privacy budget of some units is used up"}
+
+
+def _suffixes(spark: SparkSession, job: AggregationJob) -> DataFrame | None:
+    return public_suffixes(spark, job.suffixes) if isinstance(job.suffixes, str) else job.suffixes
+
+
+def _budget(spark: SparkSession, job: AggregationJob, reports: DataFrame) -> tuple[DataFrame | None, DataFrame | None, str]:
+    """(units, those that lack budget, return code); consumes budget unless it is a debug run."""
+    if job.debug_run and not job.check_budget_in_debug_run:
+        return None, None, "SUCCESS"
+    units = release.released(budget.budget_units(reports, job.filtering_ids), new_folder(spark, "units"))
+    if job.budget != "ledger" or not job.ledger:
+        return units, None, "SUCCESS"
+    try:
+        if job.debug_run:
+            lacking = budget.lacking_budget(units, budget.read_ledger(spark, job.ledger))
+        else:
+            lacking = budget.consume_budget(units, job.ledger, job.batch)
+        return units, lacking, "PRIVACY_BUDGET_EXHAUSTED" if lacking.take(1) else "SUCCESS"
+    except SPARK_ERRORS:
+        return units, None, "PRIVACY_BUDGET_ERROR"
+
+
 def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame | None = None, domain: DataFrame | None = None) -> Outcome:
     """Run the job; parsed ``reports`` and a ``domain`` may be given in place of paths.
 
-    Parsed and validated reports are persisted (three consumers read them, and a lost executor only recomputes its
-    part). The noised result is written once and both outputs derive from it. Budget is consumed after the
-    release is staged and before it is published; a debug run neither checks nor consumes it.
+    Parsed and validated reports are persisted, and so are the deduplicated ones (several consumers read them, and a
+    lost executor only recomputes its part). The noised result is written once and both outputs derive from it. Budget
+    is consumed after the release is staged and before it is published; if it is lacking, the inputs behind it are
+    written in place of results. A debug run consumes none, and checks it only if asked to.
     """
     job.validate()
     params = job.params.with_debug_epsilon(job.debug_privacy_epsilon)
@@ -124,7 +156,8 @@ def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame
         domain = read_domain(spark, job.domain, job.domain_format)
     elif domain is not None:
         domain = release.read_domain_keys(domain)
-    checked = validate.validate(reports, job).persist(StorageLevel.DISK_ONLY)
+    checked = validate.validate(reports, job, suffixes=_suffixes(spark, job)).persist(StorageLevel.DISK_ONLY)
+    unique = None
     try:
         total, bad, fatal = errors.counts(checked)
         summary_of_errors = errors.error_summary(checked)
@@ -135,34 +168,34 @@ def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame
             return Outcome(None, None, rows, None, None, result_info(spark, "REPORTS_WITH_ERRORS_EXCEEDED_THRESHOLD", bad))
         valid, _ = validate.split_valid(checked)
         order = [c for c in ("source_file",) if c in valid.columns]
-        valid = histogram.dedupe_reports(valid, order=[*order, F.to_json("shared_info"), F.xxhash64("data")])
-        sums = histogram.histogram(histogram.explode_contributions(valid, job.filtering_ids))
+        unique = histogram.dedupe_reports(valid, order=[*order, F.to_json("shared_info"), F.xxhash64("data")]).persist(StorageLevel.DISK_ONLY)
+        sums = histogram.histogram(histogram.explode_contributions(unique, job.filtering_ids))
         if job.domain_optional:
-            noised = release.optional_domain(sums, domain, params, job.noise, job.skip_threshold, job.seed)
+            noised = release.optional_domain(sums, domain, params, job.noise, job.skip_threshold, job.seed, job.debug_run)
         elif job.debug_run:
             noised = release.add_noise(release.debug_report(sums, domain), params, job.noise, job.seed)
         else:
             noised = release.add_noise(release.join_domain(sums, domain), params, job.noise, job.seed)
         noised = release.released(noised)
-        units, lacking, code = None, None, "SUCCESS"
-        if not job.debug_run:
-            units = release.released(budget.budget_units(valid, job.filtering_ids))
-            if job.budget == "ledger" and job.ledger:
-                lacking = budget.consume_budget(units, job.ledger, job.batch)
-                if lacking.take(1):
-                    code = "PRIVACY_BUDGET_EXHAUSTED"
         errors_now = spark.createDataFrame(summary_of_errors.collect(), summary_of_errors.schema)  # a row a category
-        if code != "SUCCESS":
-            return Outcome(None, None, errors_now, units, lacking, result_info(spark, code, bad, "the privacy budget of some units is used up"))
+        units, lacking, code = _budget(spark, job, unique)
+        if code != "SUCCESS" and not job.debug_run:
+            if lacking is not None and job.output:
+                write_exhausted_info(budget.exhausted_info(lacking, budget.unit_inputs(unique, job.filtering_ids)), f"{job.output.rstrip('/')}-privacy-budget-exhausted")
+            return Outcome(None, None, errors_now, units, lacking, result_info(spark, code, bad, BUDGET_MESSAGES[code]))
+        code = DEBUG_EQUIVALENT.get(code, code)
     finally:
         checked.unpersist()
-    summary = noised.filter(F.array_contains("annotations", "in_domain")) if "annotations" in noised.columns else noised
-    debug = noised if "annotations" in noised.columns else None
+        if unique is not None:
+            unique.unpersist()
+    debug = noised.drop("in_output") if job.debug_run else None
+    shown = F.col("in_output") if "in_output" in noised.columns else F.array_contains("annotations", "in_domain")
+    summary = noised.filter(shown) if job.debug_run else noised
     if job.output:
         try:
             write_sharded(summary, job.output, job.shard_bytes)
             if debug is not None:
-                write_debug(debug, job.output)
-        except PySparkException as e:
+                write_sharded(debug, job.output, job.shard_bytes, debug=True)
+        except (*SPARK_ERRORS, FileExistsError) as e:
             raise AggregationError("RESULT_WRITE_ERROR", str(e)) from e
     return Outcome(summary.select("bucket", "metric", "unnoised_metric"), debug, errors_now, units, lacking, result_info(spark, code, bad))

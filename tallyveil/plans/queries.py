@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from dataclasses import replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import buckets, origins, payload, shared_info
+from ..functions.folders import new_folder
 from ..operators import budget, errors, histogram, release, tools, validate
-from ..sources.readers import read_domain, read_summary
-from ..sources.writers import records_per_shard, write_domain, write_reports, write_summary
+from ..schemas import UNIT
+from ..sources.readers import read_debug, read_domain, read_summary
+from ..sources.writers import records_per_shard, write_domain, write_reports, write_sharded, write_summary
 from ..streaming import collect
 from .derived import domain, key_sql, reports, table, with_sql
 from .job import AggregationJob, run_aggregation
@@ -33,7 +34,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def _hour(column: str = "reporting_window") -> F.Column:
+def _hour(column="reporting_window") -> F.Column:
     return F.date_format(column, "yyyy-MM-dd HH").alias("hour")
 
 
@@ -174,8 +175,8 @@ def exhausted_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("units_by_origin", with_sql(f"SELECT reporting_origin, count(*) AS n_units, min(privacy_budget_key || hour) AS first_unit FROM ({_UNITS_SQL}) GROUP BY reporting_origin"))
 def units_by_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = budget.units_by_origin(budget.budget_units(_known(spark, sf_dir), [0, 1]))
-    first = F.get("units", 0)
-    return out.select("reporting_origin", F.size("units").cast("bigint").alias("n_units"), F.concat(first["privacy_budget_key"], F.date_format(first["reporting_window"], "yyyy-MM-dd HH")).alias("first_unit"))
+    first = F.col("first_unit")
+    return out.select("reporting_origin", "n_units", F.concat(first["privacy_budget_key"], F.date_format(first["reporting_window"], "yyyy-MM-dd HH")).alias("first_unit"))
 
 
 @query("extracted_units", with_sql(f"SELECT DISTINCT {key_sql(fid='0')} AS privacy_budget_key, {_HOUR_SQL}, origin AS reporting_origin FROM reports WHERE {key_sql(fid='0')} IS NOT NULL", edges=True))
@@ -334,6 +335,19 @@ def shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").agg(n.alias("n_rows"), F.greatest(F.floor(n / records_per_shard(20_335)), F.lit(1)).cast("bigint").alias("n_shards"))
 
 
+_N_SHARDS = f"greatest(count(*) // {records_per_shard(20_335)}, 1)::BIGINT"
+
+
+@query("sharded_files", f"SELECT count(*) AS n_rows, sum(l_partkey)::BIGINT AS total, {_N_SHARDS} AS n_shards, 'parts-' || lpad('1', length({_N_SHARDS}::VARCHAR)::INT, '0') || '-of-' || {_N_SHARDS} || '.parquet' AS first_name FROM (SELECT DISTINCT l_partkey FROM lineitem)")
+def sharded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written in shards and read back: rows, shards and their names."""
+    path = f"{new_folder(spark, 'shards')}/parts"
+    rows = table(spark, sf_dir, "lineitem").select(F.unhex(F.lpad(F.hex("l_partkey"), 32, "0")).alias("bucket"), F.col("l_partkey").cast("bigint").alias("metric")).distinct()
+    write_sharded(rows, path, 20_335)
+    back = read_summary(spark, path).select("metric", F.col("_metadata.file_name").alias("name"))
+    return back.agg(F.count("*").alias("n_rows"), F.sum("metric").alias("total"), F.count_distinct("name").alias("n_shards"), F.min("name").alias("first_name"))
+
+
 @query("noised_summary")
 def noised_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A real release: noise is drawn once and written before it is used."""
@@ -344,8 +358,7 @@ def noised_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("streamed_batches", with_sql("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS n_reports FROM first GROUP BY 1"))
 def streamed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports deduplicated as a stream that reads what there is, then counted by hour."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = new_folder(spark, "stream")
     _flat(spark, sf_dir).select("report_id", "scheduled_report_time").write.parquet(f"{path}/in")
     stream = spark.readStream.schema("report_id string, scheduled_report_time timestamp").parquet(f"{path}/in")
     once = collect.batch_by_hour(collect.dedupe_stream(stream, "40 days"))
@@ -354,11 +367,6 @@ def streamed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(_hour("scheduled_report_time")).agg(F.count("*").alias("n_reports"))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"{name}-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     "aggregation_job",
     with_sql("""SELECT bucket, coalesce(metric, 0)::BIGINT AS metric FROM domain LEFT JOIN (
@@ -367,23 +375,97 @@ def _folder(spark: SparkSession, name: str) -> str:
 )
 def aggregation_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole job from raw files to a released summary; ids are made unique, as SQL has no order for repeats."""
-    path = _folder(spark, "job")
+    path = new_folder(spark, "job")
+    run_aggregation(spark, _written_job(spark, sf_dir, path))
+    return _hex(read_summary(spark, f"{path}/out").withColumn("bucket", buckets.norm_bucket("bucket")))
+
+
+def _written_job(spark: SparkSession, sf_dir: str, path: str, **more) -> AggregationJob:
+    """A job over raw reports and a domain that it writes first; ids are made unique, as SQL has no order for repeats."""
     n = F.md5(F.concat(F.lit("u"), "event_id").cast("binary"))
     uid = F.concat_ws("-", *(F.substring(n, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     rows = reports(spark, sf_dir).withColumn("shared_info", F.col("shared_info").withField("report_id", uid))
     raw = payload.encode_payload(rows.select("operation", "data", shared_info.shared_info_json().alias("shared_info"), F.lit("key").alias("key_id")))
     write_reports(raw, f"{path}/reports")
     write_domain(domain(spark, sf_dir), f"{path}/domain")
-    more = {"reports": f"{path}/reports", "ledger": f"{path}/ledger", "output": f"{path}/out", "report_error_threshold_percentage": "100", "filtering_ids_text": "0,1"}
-    job = AggregationJob(attribution_report_to="https://www.origin1.com", as_of=AS_OF, domain=f"{path}/domain", noise="none", **more)
-    run_aggregation(spark, job)
+    given = {"reports": f"{path}/reports", "domain": f"{path}/domain", "ledger": f"{path}/ledger", "output": f"{path}/out", "report_error_threshold_percentage": "100", "filtering_ids_text": "0,1", "as_of": AS_OF, "noise": "none"}
+    origin = {} if "reporting_site" in more else {"attribution_report_to": "https://www.origin1.com"}
+    return AggregationJob(**(given | origin | more))
+
+
+_JOB_SQL = "FROM reports WHERE {origin} AND api <> 'unknown-api' AND ts > TIMESTAMP '2024-01-11' AND id IN (0, 1) AND NOT (bucket = repeat('0', 32) AND value = 0)"
+
+
+@query("site_job", with_sql(f"SELECT bucket, coalesce(metric, 0)::BIGINT AS metric FROM domain LEFT JOIN (SELECT bucket, sum(value)::BIGINT AS metric {_JOB_SQL.format(origin="origin = 'https://www.origin2.com'")} GROUP BY bucket) USING (bucket)"))
+def site_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job by reporting site, with the public suffixes read from a file."""
+    path = new_folder(spark, "site")
+    spark.createDataFrame([("// a comment",), ("com",), ("*.ck",), ("",)], "value string").coalesce(1).write.text(f"{path}/suffixes")
+    run_aggregation(spark, _written_job(spark, sf_dir, path, reporting_site="https://origin2.com", suffixes=f"{path}/suffixes"))
     return _hex(read_summary(spark, f"{path}/out").withColumn("bucket", buckets.norm_bucket("bucket")))
 
 
+@query(
+    "debug_job",
+    with_sql(f"""SELECT coalesce(d.bucket, s.bucket) AS bucket, coalesce(metric, 0)::BIGINT AS metric, concat_ws(',', CASE WHEN d.bucket IS NOT NULL THEN 'in_domain' END, CASE WHEN s.bucket IS NOT NULL THEN 'in_reports' END) AS annotations,
+        d.bucket IS NOT NULL OR metric >= {_NOISELESS_THRESHOLD!r} - 1e-4 AS in_summary
+    FROM domain d FULL JOIN (SELECT bucket, sum(value)::BIGINT AS metric {_JOB_SQL.format(origin="origin = 'https://www.origin1.com' AND debug")} GROUP BY bucket) s ON d.bucket = s.bucket"""),
+)
+def debug_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A debug run with an optional domain: the debug report, and which of its buckets the summary has."""
+    path = new_folder(spark, "debug")
+    run_aggregation(spark, _written_job(spark, sf_dir, path, debug_run=True, domain_optional=True, params=PARAMS))
+    full = lambda df: df.withColumn("bucket", buckets.norm_bucket("bucket"))
+    shown = full(read_summary(spark, f"{path}/out")).select("bucket", F.lit(True).alias("in_summary"))
+    out = full(read_debug(spark, f"{path}/debug/out")).join(shown, "bucket", "left")
+    return _hex(out.withColumns({"annotations": F.concat_ws(",", "annotations"), "in_summary": F.coalesce("in_summary", F.lit(False))}), "annotations", "in_summary")
+
+
+@query(
+    "exhausted_job",
+    with_sql(f"""SELECT DISTINCT api, version, origin AS reporting_origin, destination AS attribution_destination, fid AS filtering_id, {_HOUR_SQL}
+    FROM (SELECT *, row_number() OVER (PARTITION BY privacy_budget_key, date_trunc('hour', ts) ORDER BY uid) AS k FROM (
+        SELECT *, {key_sql()} AS privacy_budget_key, md5('u' || event_id) AS uid FROM reports, (VALUES (0), (1)) f(fid) WHERE origin = 'https://www.origin1.com' AND api <> 'unknown-api' AND ts > TIMESTAMP '2024-01-11')) WHERE k = 1"""),
+)
+def exhausted_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job whose budget another batch has used up: it fails and writes the inputs behind the exhausted units."""
+    path = new_folder(spark, "exhausted")
+    job = _written_job(spark, sf_dir, path, batch="first")
+    run_aggregation(spark, job)
+    again = run_aggregation(spark, replace(job, batch="second", output=f"{path}/again"))
+    if again.result_info.first().return_code != "PRIVACY_BUDGET_EXHAUSTED":
+        raise AssertionError("the second batch found budget")
+    info = spark.read.schema("api string, version string, reporting_origin string, attribution_destination string, filtering_id long, scheduled_report_time double").json(f"{path}/again-privacy-budget-exhausted")
+    return info.select("api", "version", "reporting_origin", "attribution_destination", "filtering_id", _hour(F.timestamp_seconds("scheduled_report_time"))).distinct()
+
+
+@query("streamed_budget", with_sql(f"SELECT DISTINCT {key_sql(fid='0')} AS privacy_budget_key, {_HOUR_SQL}, origin AS reporting_origin, 1::BIGINT AS used FROM reports WHERE api <> 'unknown-api' AND event_id % 4 < 2"))
+def streamed_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams use up budget of one ledger: what the second lacks is not used twice, and what neither has before
+    counts once. The second stream's micro-batch has the id that the first one's had."""
+    path = new_folder(spark, "ledger")
+    rows = reports(spark, sf_dir).filter("shared_info.api != 'unknown-api'").select("event_id", "report_id", "shared_info", "data")
+    first, second = rows.filter("event_id % 4 = 0"), rows.filter("event_id % 4 = 1")
+    used = budget.budget_units(first, [0])
+    second = second.withColumns(_unit_columns()).join(used, UNIT, "left_anti").drop(*UNIT)
+    for name, part in (("a", first), ("b", second)):
+        part.write.parquet(f"{path}/{name}")
+        stream = spark.readStream.schema(part.schema).parquet(f"{path}/{name}")
+        consume = collect.consume_in_batch(f"{path}/ledger", [0], name)
+        stream.writeStream.foreachBatch(consume).option("checkpointLocation", f"{path}/state-{name}").trigger(availableNow=True).start().awaitTermination()
+    out = budget.read_ledger(spark, f"{path}/ledger").groupBy(*UNIT).agg(F.sum("used").alias("used"))
+    return out.select("privacy_budget_key", _hour(), "reporting_origin", "used")
+
+
+def _unit_columns() -> dict[str, F.Column]:
+    zero = F.lit(0).cast("decimal(20,0)")
+    return dict(zip(UNIT, (budget.budget_key(zero), shared_info.report_hour(F.col("shared_info.scheduled_report_time")), F.col("shared_info.reporting_origin")), strict=True))
+
+
 @query("csv_results", with_sql(f"SELECT (('0x' || right(bucket, 15))::BIGINT)::VARCHAR AS bucket, metric FROM ({_SUMS_SQL})"))
 def csv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results written as CSV with decimal buckets, and read back."""
-    path = _folder(spark, "csv")
+    path = new_folder(spark, "csv")
     write_summary(_sums(spark, sf_dir).withColumnRenamed("unnoised_metric", "metric"), path, "csv")
     return spark.read.option("header", True).schema("bucket string, metric long").csv(path)
 
@@ -391,7 +473,7 @@ def csv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("text_domain", "SELECT upper(hex(encode(k))) AS bucket, coalesce(n, 0)::BIGINT AS metric FROM (SELECT DISTINCT event_type || (user_id % 7) AS k FROM events) LEFT JOIN (SELECT event_type || (user_id % 10) AS k, count(*) AS n FROM events GROUP BY 1) USING (k)")
 def text_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A domain of text keys, one a line, joined with sums by text key."""
-    path, e = _folder(spark, "keys"), table(spark, sf_dir, "events")
+    path, e = new_folder(spark, "keys"), table(spark, sf_dir, "events")
     e.select(F.concat("event_type", F.col("user_id") % 7).alias("value")).distinct().write.text(path)
     keys = e.select(buckets.norm_bucket(buckets.bucket_from_string(F.concat("event_type", F.col("user_id") % 10))).alias("bucket"), F.lit(1).cast("bigint").alias("value"))
     out = release.join_domain(histogram.histogram(keys), read_domain(spark, path, "text"))

@@ -36,6 +36,7 @@ def read_reports(spark: SparkSession, paths: str | list[str], fmt: str = "parque
 def read_domain(spark: SparkSession, paths: str | list[str], fmt: str = "parquet") -> DataFrame:
     """Distinct 16-byte buckets. ``text``: one key a line, ISO-8859-1, at most 16 bytes; longer keys fail the read."""
     if fmt == "text":
+        _load(spark, paths, "text", "value string")  # no shards at all fail
         lines = spark.read.option("encoding", "ISO-8859-1").option("sep", "\x01").option("quote", "\x02").option("escape", "\x02").option("mode", "PERMISSIVE").schema("key string").csv([paths] if isinstance(paths, str) else list(paths))
         raw = lines.filter(F.col("key").isNotNull() & (F.col("key") != "")).select(F.encode("key", "ISO-8859-1").alias("bucket"))
     else:

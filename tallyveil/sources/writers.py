@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +16,26 @@ ROW_BYTES, HEADER_BYTES = 20, 335
 DEFAULT_SHARD_BYTES, MIN_SHARD_BYTES, MAX_SHARD_BYTES = 100_000_000, 355, 5_000_000_000
 
 
+def json_arrays(df: DataFrame) -> DataFrame:
+    """Rows as JSON text, a line each, so that each partition is one JSON array."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            rows = batch["value"].to_pylist()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([f"{lead if i == 0 else ','}{row}" for i, row in enumerate(rows)], pa.string())], ["value"])
+                lead = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"], pa.string())], ["value"])
+
+    return df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(lines, "value string")
+
+
 def _written(df: DataFrame, path: str, fmt: str, hex_buckets: bool = False) -> None:
     if fmt == "json":
         df.withColumn("bucket", bucket_to_string("bucket")).write.json(path)
+    elif fmt == "json_array":
+        json_arrays(df.withColumn("bucket", bucket_to_string("bucket"))).write.text(path)
     elif fmt == "csv":
         text = F.concat(F.lit("0x"), F.regexp_replace(bucket_hex("bucket"), "^0+(?=.)", "")) if hex_buckets else bucket_decimal("bucket")
         df.withColumn("bucket", text).write.option("header", True).csv(path)
@@ -23,7 +44,8 @@ def _written(df: DataFrame, path: str, fmt: str, hex_buckets: bool = False) -> N
 
 
 def write_summary(results: DataFrame, path: str, fmt: str = "parquet", hex_buckets: bool = False) -> None:
-    """bucket and metric; buckets without leading zero bytes. ``json``: Latin-1 text; ``csv``: decimal, or hex."""
+    """bucket and metric; buckets without leading zero bytes. ``json``: Latin-1 text, a row a line;
+    ``json_array``: each file is one array; ``csv``: decimal, or hex."""
     _written(results.select(strip_bucket("bucket").alias("bucket"), "metric"), path, fmt, hex_buckets)
 
 
@@ -54,10 +76,28 @@ def shard_names(base: str, n: int) -> list[str]:
     return [f"{base}-{i:0{width}d}-of-{n}" for i in range(1, n + 1)]
 
 
-def write_sharded(results: DataFrame, path: str, shard_bytes: int = DEFAULT_SHARD_BYTES, fmt: str = "parquet") -> None:
-    """The summary in files of at most ``shard_bytes``, by the fixed size of a row."""
-    out = results.select(strip_bucket("bucket").alias("bucket"), "metric")
-    out.write.option("maxRecordsPerFile", records_per_shard(shard_bytes)).format(fmt).save(path)
+def write_sharded(results: DataFrame, path: str, shard_bytes: int = DEFAULT_SHARD_BYTES, fmt: str = "parquet", debug: bool = False) -> list[str]:
+    """The summary (with ``debug`` the debug report, in its own folder) in files named ``<name>-<i>-of-<n>``.
+
+    Their number follows from the fixed size of a row and the number of rows. Files are written beside the place
+    that they are then renamed to; names that are there already are an error. ``results`` should be a written table.
+    """
+    out = debug_columns(results) if debug else results.select("bucket", "metric")
+    out = out.withColumn("bucket", strip_bucket("bucket"))
+    path = (debug_path(path) if debug else path).rstrip("/")
+    n = shard_count(out.count(), records_per_shard(shard_bytes))
+    staging = f"{path}/_staging-{uuid.uuid4().hex}"
+    out.repartition(n).write.format(fmt).save(staging)
+    jvm, conf = out.sparkSession._jvm, out.sparkSession._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(conf)
+    parts = sorted(x.getPath().getName() for x in fs.listStatus(at(staging)) if x.getPath().getName().startswith("part-"))
+    names = [f"{name}.{fmt}" for name in shard_names(path.rpartition("/")[2], len(parts))]
+    for part, name in zip(parts, names, strict=True):
+        if not fs.rename(at(f"{staging}/{part}"), at(f"{path}/{name}")):
+            raise FileExistsError(f"{path}/{name}")
+    fs.delete(at(staging), True)
+    return names
 
 
 def write_exhausted_info(info: DataFrame, path: str) -> None:
@@ -68,13 +108,14 @@ def write_exhausted_info(info: DataFrame, path: str) -> None:
 
 
 def export_budget_units(units: DataFrame, path: str, per_file: bool = False, dry_run: bool = False) -> None:
-    """Budget units as JSON: a folder for each ``source_file``, or all together; a dry run writes nothing."""
+    """Budget units as JSON: a folder for each ``source_file``, a unit a line, or all together as arrays, one a file; a
+    dry run writes nothing."""
     if dry_run:
         return
     if per_file:
         units.withColumn("source_file", F.element_at(F.split("source_file", "/"), -1)).distinct().repartition("source_file").write.partitionBy("source_file").json(path)
     else:
-        units.drop("source_file").distinct().write.json(path)
+        json_arrays(units.drop("source_file").distinct()).write.text(path)
 
 
 def write_reports(reports: DataFrame, path: str, fmt: str = "parquet") -> None:

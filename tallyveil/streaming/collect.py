@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..errors import AggregationError
 from ..functions.shared_info import report_hour
 from ..operators import budget
 from ..operators.histogram import canonical_uuid, is_uuid
@@ -31,8 +32,9 @@ def close_hours(stream: DataFrame, wait: str, time: str = "scheduled_report_time
 
 
 def dedupe_stream(stream: DataFrame, wait: str, report_id: str = "report_id", time: str = "scheduled_report_time") -> DataFrame:
-    """The first report of each id within ``wait``. Run it after validation, or an invalid copy may hide a valid one."""
-    key = F.when(is_uuid(F.col(report_id)), canonical_uuid(F.col(report_id))).otherwise(F.col(report_id))
+    """The first report of each id within ``wait``; reports without an id all stay. Run it after validation, or an
+    invalid copy may hide a valid one."""
+    key = F.when(is_uuid(F.col(report_id)), canonical_uuid(F.col(report_id))).otherwise(F.coalesce(F.col(report_id), F.concat(F.lit("none-"), F.uuid())))
     return stream.withColumn("_key", key).withWatermark(time, wait).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
@@ -65,12 +67,21 @@ def running_histogram(contributions: DataFrame, wait: str, time: str = "schedule
     return rows.groupBy(F.window(time, "1 hour"), "bucket").agg(F.sum("value").alias("unnoised_metric")).select(F.col("window.start").alias("hour"), "bucket", "unnoised_metric")
 
 
-def consume_in_batch(path: str, ids: list[int], on_lacking: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: consumes the batch's budget under its id, so a repeated micro-batch consumes nothing more."""
+def consume_in_batch(path: str, ids: list[int], stream: str, on_lacking: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: consumes the budget of a micro-batch, all or nothing.
+
+    ``stream`` names the stream together with its checkpoint: ids of micro-batches begin anew with each checkpoint,
+    so a stream that is begun again needs a name of its own. A repeated micro-batch of one stream consumes nothing
+    more. ``on_lacking`` gets the units that lack budget; without it, a micro-batch that lacks budget fails.
+    """
+    if not stream:
+        raise ValueError("the stream needs a name")
 
     def consume(batch: DataFrame, batch_id: int) -> None:
-        lacking = budget.consume_budget(budget.budget_units(batch, ids), path, f"stream-{batch_id}")
-        if on_lacking and lacking.take(1):
+        lacking = budget.consume_budget(budget.budget_units(batch, ids), path, f"stream-{stream}-{batch_id}")
+        if lacking.take(1):
+            if on_lacking is None:
+                raise AggregationError("PRIVACY_BUDGET_EXHAUSTED", f"micro-batch {batch_id} of {stream} lacks privacy budget")
             on_lacking(lacking, batch_id)
 
     return consume

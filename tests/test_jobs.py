@@ -1,3 +1,6 @@
+import hashlib
+import json
+import math
 from datetime import UTC, datetime
 from decimal import Decimal
 
@@ -5,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyveil.errors import AggregationError
-from tallyveil.functions import payload
+from tallyveil.functions import exact_noise, payload
 from tallyveil.operators import budget, histogram, release, tools, validate
 from tallyveil.plans import job as jobs
 from tallyveil.sources import readers, writers
@@ -137,12 +140,18 @@ def test_sinks(spark, tmp_path):
     writers.write_summary(df.filter("metric = 3"), str(tmp_path / "json"), "json")
     assert spark.read.json(str(tmp_path / "json")).first().bucket == "é"
     writers.write_sharded(df.coalesce(1), str(tmp_path / "shards"), 355)
-    assert len(list((tmp_path / "shards").glob("part-*.parquet"))) == 3
+    assert sorted(x.name for x in (tmp_path / "shards").glob("*.parquet")) == [f"shards-{i}-of-3.parquet" for i in (1, 2, 3)]
+    assert readers.read_summary(spark, str(tmp_path / "shards")).count() == 3 and not list((tmp_path / "shards").glob("_staging*"))
+    writers.write_summary(df.repartition(2), str(tmp_path / "array"), "json_array")
+    arrays = [json.loads(x.read_text()) for x in (tmp_path / "array").glob("part-*.txt")]
+    assert sorted(r["metric"] for a in arrays for r in a) == [1, 2, 3]
     tools.shard_table(spark.range(100), 7, str(tmp_path / "seven"))
     assert len(list((tmp_path / "seven").glob("part-*.parquet"))) == 7
     units = spark.createDataFrame([("k", "o", "s3/a.parquet"), ("k", "o", "s3/b.parquet")], "privacy_budget_key string, reporting_origin string, source_file string")
     writers.export_budget_units(units, str(tmp_path / "units"), per_file=True)
     assert {p.name for p in (tmp_path / "units").glob("source_file=*")} == {"source_file=a.parquet", "source_file=b.parquet"}
+    writers.export_budget_units(units, str(tmp_path / "all"))
+    assert [r for x in (tmp_path / "all").glob("part-*.txt") for r in json.loads(x.read_text())] == [{"privacy_budget_key": "k", "reporting_origin": "o"}]
     writers.export_budget_units(units, str(tmp_path / "dry"), dry_run=True)
     assert not (tmp_path / "dry").exists()
     info = spark.createDataFrame([("x", NOW)], "version string, scheduled_report_time timestamp")
@@ -202,8 +211,90 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     batch = {(r.hour, bytes(r.bucket), r.unnoised_metric) for r in collect.running_histogram(df, "1 hour", complete=True).collect()}
     assert {(r.hour, bytes(r.bucket), r.unnoised_metric) for r in spark.table("running").collect()} == batch
-    consume = collect.consume_in_batch(str(tmp_path / "ledger"), [0])
-    reports = frame(spark, [report(1, []), report(2, [])])
-    consume(reports, 0)
-    consume(reports, 0)
-    assert budget.read_ledger(spark, str(tmp_path / "ledger")).count() == 1
+
+
+def test_streams_keep_reports_without_an_id(spark, tmp_path):
+    hour = datetime(2024, 1, 1, tzinfo=UTC)
+    spark.createDataFrame([(None, hour), (None, hour), ("x", hour), ("x", hour)], "report_id string, scheduled_report_time timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("report_id string, scheduled_report_time timestamp").parquet(str(tmp_path / "in"))
+    collect.write_hourly(collect.batch_by_hour(collect.dedupe_stream(stream, "1 hour")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert sorted(str(r.report_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["None", "None", "x"]
+
+
+def test_streams_of_one_ledger_have_names(spark, tmp_path):
+    ledger, lacking = str(tmp_path / "ledger"), []
+    a, other = frame(spark, [report(1, []), report(2, [])]), frame(spark, [report(3, [], origin="https://b.foo.com")])
+    first = collect.consume_in_batch(ledger, [0], "first", lambda units, batch_id: lacking.append((batch_id, units.count())))
+    first(a, 0)
+    first(a, 0)  # the same micro-batch, after a restart
+    assert budget.read_ledger(spark, ledger).count() == 1 and lacking == []
+    second = collect.consume_in_batch(ledger, [0], "second", lambda units, batch_id: lacking.append((batch_id, units.count())))
+    second(other, 0)
+    assert budget.read_ledger(spark, ledger).count() == 2 and lacking == []
+    second(a, 1)
+    assert budget.read_ledger(spark, ledger).count() == 2 and lacking == [(1, 1)]
+    with pytest.raises(AggregationError) as e:
+        collect.consume_in_batch(ledger, [0], "third")(a, 0)
+    assert e.value.code == "PRIVACY_BUDGET_EXHAUSTED"
+    with pytest.raises(ValueError):
+        collect.consume_in_batch(ledger, [0], "")
+
+
+def test_debug_runs_may_check_budget_and_never_use_it(spark, tmp_path):
+    ledger, domain = str(tmp_path / "ledger"), spark.createDataFrame([(b(1),)], "bucket binary")
+    rows = frame(spark, [report(1, [(1, 5, 0)], debug="enabled")])
+    code = lambda out: out.result_info.first().return_code
+    debug = {"debug_run": True, "ledger": ledger, "budget": "ledger", "noise": "none"}
+    assert code(jobs.run_aggregation(spark, job(**debug, check_budget_in_debug_run=True), rows, domain)) == "SUCCESS"
+    assert budget.read_ledger(spark, ledger).count() == 0
+    budget.consume_budget(budget.budget_units(rows, [0]), ledger, "real")
+    out = jobs.run_aggregation(spark, job(**debug, check_budget_in_debug_run=True), rows, domain)
+    assert code(out) == "DEBUG_SUCCESS_WITH_PRIVACY_BUDGET_EXHAUSTED" and out.result_info.first().return_message.endswith("due to privacy budget exhaustion") and summary(out.summary) == {1: 5}
+    assert code(jobs.run_aggregation(spark, job(**debug), rows, domain)) == "SUCCESS" and budget.read_ledger(spark, ledger).count() == 1
+    (tmp_path / "broken" / "commits").mkdir(parents=True)
+    (tmp_path / "broken" / "units").mkdir()
+    (tmp_path / "broken" / "commits" / "part-0.parquet").write_text("no parquet")
+    broken = {"ledger": str(tmp_path / "broken"), "budget": "ledger", "noise": "none"}
+    assert code(jobs.run_aggregation(spark, job(**broken), rows, domain)) == "PRIVACY_BUDGET_ERROR"
+    assert code(jobs.run_aggregation(spark, job(**broken, debug_run=True, check_budget_in_debug_run=True), rows, domain)) == "DEBUG_SUCCESS_WITH_PRIVACY_BUDGET_ERROR"
+
+
+def test_sites_need_their_suffixes(spark, tmp_path):
+    rows, domain = frame(spark, [report(1, [(1, 5, 0)], origin="https://a.shop.example")]), spark.createDataFrame([(b(1),)], "bucket binary")
+    given = {"attribution_report_to": None, "reporting_site": "https://shop.example", "noise": "none", "report_error_threshold_percentage": "100"}
+    assert summary(jobs.run_aggregation(spark, job(**given), rows, domain).summary) == {1: 0}
+    (tmp_path / "suffixes.txt").write_text("// comment\nexample\n*.ck\n")
+    assert summary(jobs.run_aggregation(spark, job(**given, suffixes=str(tmp_path / "suffixes.txt")), rows, domain).summary) == {1: 5}
+
+
+def test_key_fields_by_version(spark):
+    try:
+        budget.register_api("test-api", ["reporting_origin"], since=(0, 1), before=(1, 0))
+        budget.register_api("test-api", ["attribution_destination"], since=(1, 0))
+        with pytest.raises(ValueError):
+            budget.register_api("test-api", ["reporting_origin"], since=(0, 5), before=(2, 0))
+        info = "struct<version:string,api:string,reporting_origin:string,attribution_destination:string,source_registration_time:timestamp>"
+        df = spark.createDataFrame([((v, "test-api", "o", "d", None),) for v in ("0.1", "1.0", "0.0")], f"shared_info {info}")
+        keys = [r[0] for r in df.select(budget.budget_key(F.lit(0).cast("decimal(20,0)"))).collect()]
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        assert keys == [sha("test-api-0.1-o"), sha("test-api-1.0-d-0"), None]
+    finally:
+        budget.APIS.pop("test-api", None)
+
+
+def test_exact_noise_has_its_distribution():
+    n, epsilon, l1 = 200_000, 2.0, 3
+    draws = exact_noise.discrete_laplace(n, epsilon, l1)
+    ratio = math.exp(-epsilon / l1)
+    p = lambda x: (1 - ratio) / (1 + ratio) * ratio ** abs(x)
+    for x in range(-8, 9):
+        assert abs((draws == x).mean() - p(x)) < 5 * math.sqrt(p(x) / n)
+    tail = 2 * sum(p(x) for x in range(12, 200))
+    assert abs((abs(draws) >= 12).mean() - tail) < 5 * math.sqrt(tail / n)
+    for x in range(4):  # the ratio that privacy rests on
+        assert abs((draws == x + 1).sum() / (draws == x).sum() - ratio) < 0.03
+    wide = exact_noise.discrete_laplace(50_000, 0.1, 65536)
+    assert abs(wide.mean()) < 5 * wide.std() / math.sqrt(50_000) and abs(wide.std() / (math.sqrt(2) * 655360) - 1) < 0.05
+    assert len(exact_noise.discrete_laplace(0, 1.0, 1)) == 0
+    with pytest.raises(ValueError):
+        exact_noise.discrete_laplace(1, 1e-9, 1)
