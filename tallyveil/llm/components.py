@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HUB, HUBS = 1 << 20, 100_000
-
+from ..functions.folders import new_folder
 
-def shared_folder(spark) -> str:
-    """The folder that driver and executors share; where none is set, as in tests, a new one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
+HUB, HUBS = 1 << 20, 100_000
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends, a lost executor costs nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +13,9 @@ from .language import predict_languages
 from .licenses import scan_licenses
 from .packing import pack, token_pieces
 from .quality import predict_quality
+from ..functions.folders import new_folder
 from ..functions.sizes import bounded_broadcast
-from .components import saved, shared_folder
+from .components import saved
 from .token_counts import TokenCounts, bpe_count, count_tokens, lettered_word_count, word_count
 from .substring_dedup import substring_dedup
 
@@ -127,7 +126,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.octet_length("text"))
     classes = docs.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = docs.select("doc_id", digest.alias("digest")).join(bounded_broadcast(saved(classes, "classes")), "digest").filter("doc_id > first_id").select("doc_id").distinct()
-    ledger = TokenCounts(spark, f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}")
+    ledger = TokenCounts(spark, new_folder(spark, "token-counts"))
     ledger.apply("load", counts.filter("version != 'words-revised'").withColumn("op", F.lit("insert")))
     deletes = counts.filter("version != 'words-revised'").join(copies, "doc_id", "left_semi").withColumn("op", F.lit("delete"))
     for _ in range(2):
