@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.sizes import bounded_broadcast
 from . import sketch
 from .components import connected_components, saved, small_batches, unused
-from .words import lower_ascii, mix, span_hashes, spans, text_chunks, tidy, window_hashes
+from .words import lower_ascii, mix, span_hashes, spans, text_chunks, tidy, tidy_group, window_hashes
 
 MAX_MATCH = 6
 VERIFY_COST = 8.0  # of one candidate, in list entries
@@ -104,7 +104,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.Table.from_batches(out, pa.schema(list(zip(["doc_id", "n", "a", "b", "tokens"], kinds, strict=True))))
 
     replies = sketch.answers(parts, hashes, layout)
-    every = saved(parts.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(sets, "doc_id long, n long, a long, b long, tokens array<long>"), "sets")
+    every = saved(parts.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(tidy_group(sets), "doc_id long, n long, a long, b long, tokens array<long>"), "sets")
     key = F.coalesce("doc_id", F.lit(LAST))
     # Equal sets: one representative, found by 128 bits of digest and the size; map-side minima keep large classes small.
     classes = every.filter("tokens IS NOT NULL").groupBy("n", "a", "b").agg(F.min(key).alias("rep"))

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import mix, pressed, tidy, unpressed
+from .words import mix, pressed, tidy, tidy_group, unpressed
 
 PART_BYTES = 6 << 20  # text of a part; a task holds one part at a time
-BLOCK_HASHES = 1 << 22  # hashes of a block
+BLOCK_HASHES = 1 << 21  # hashes of a block
 CODE_BITS = 27  # of a hash inside its block
 CELLS = 4  # of a hash in each row of the table
 MAX_PARTITIONS = 8192  # shuffle partitions that parts or blocks are dealt to; each then holds many, one after another
@@ -120,14 +120,15 @@ def answers(parts: DataFrame, hashes: Callable[[pa.Table], Iterator[np.ndarray]]
 
     def merged(block: pa.Table) -> pa.Table:
         pieces = [np.cumsum(unpressed(gaps.as_buffer(), n, np.uint32), dtype=np.uint32) for n, gaps in zip(block["n"].to_pylist(), block["gaps"], strict=True)]
-        codes = np.concatenate(pieces)
-        flags = np.ones(len(codes), bool)
-        bits = max(1, math.ceil(math.log2(CELLS * len(codes))))
+        n_codes = sum(map(len, pieces))
+        flags = np.ones(n_codes, bool)
+        bits = max(1, math.ceil(math.log2(CELLS * n_codes)))
         for seed in _SEEDS:  # a row of the table: how often each cell is met, once or more than once
-            cells = (mix(codes ^ np.uint64(seed)) >> np.uint64(64 - bits)).astype(np.uint32)
+            cells = np.concatenate([(mix(x ^ np.uint64(seed)) >> np.uint64(64 - bits)).astype(np.uint32) for x in pieces])
             ordered = np.sort(cells)
             twice = np.zeros(1 << bits, bool)
             twice[ordered[1:][ordered[1:] == ordered[:-1]]] = True
+            del ordered
             flags &= twice[cells]
         out = []
         for part, piece in zip(block["part"].to_pylist(), np.split(flags, np.cumsum([len(x) for x in pieces])[:-1]), strict=True):
@@ -135,9 +136,9 @@ def answers(parts: DataFrame, hashes: Callable[[pa.Table], Iterator[np.ndarray]]
                 out.append((part, pressed(np.packbits(piece))))
         return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "block": pa.array([block["block"][0].as_py()] * len(out), pa.int32()), "flags": pa.array([x[1] for x in out], pa.binary())})
 
-    pieces = parts.groupBy("part").applyInArrow(partial, "part int, block int, n int, gaps binary")
+    pieces = parts.groupBy("part").applyInArrow(tidy_group(partial), "part int, block int, n int, gaps binary")
     blocks = pieces.repartition(max(1, min(1 << layout.block_bits, MAX_PARTITIONS)), "block")
-    return blocks.groupBy("block").applyInArrow(merged, "part int, block int, flags binary")
+    return blocks.groupBy("block").applyInArrow(tidy_group(merged), "part int, block int, flags binary")
 
 
 def repeated(hashes: np.ndarray, replies: pa.Table, layout: Layout) -> np.ndarray:

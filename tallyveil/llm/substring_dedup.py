@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .components import small_batches
-from .words import mix, pressed, span_hashes, spans, text_chunks, tidy, unpressed, window_hashes
+from .words import mix, pressed, span_hashes, spans, text_chunks, tidy_group, unpressed, window_hashes
 
 WINDOW = 13
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
@@ -143,8 +143,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return _table(out)
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left):
-            return None
         docs_ = sketch.opened(left, _in_order)
         runs = [_decoded(x, _RUN_KINDS) for x in right.to_pylist()]
         row, pos, length = (np.concatenate([x[k] for x in runs]) if runs else np.zeros(0, np.uint32) for k in _RUN_KINDS)
@@ -167,10 +165,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"doc_id": docs_["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "carried": docs_["carried"].cast(_nullable(docs_["carried"].type))})
 
     replies = sketch.answers(parts, hashes, layout)
-    windows = parts.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(candidates, _SCHEMA)
-    removed = windows.repartition(min(1 << bucket_bits, sketch.MAX_PARTITIONS), "bucket").groupBy("bucket").applyInArrow(grouped, _SCHEMA)
+    windows = parts.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(tidy_group(candidates), _SCHEMA)
+    removed = windows.repartition(min(1 << bucket_bits, sketch.MAX_PARTITIONS), "bucket").groupBy("bucket").applyInArrow(tidy_group(grouped), _SCHEMA)
     kind = docs.schema["carried"].dataType.simpleString()
-    out = parts.groupBy("part").cogroup(removed.groupBy("part")).applyInArrow(joined, f"doc_id long, n_words long, n_removed long, kept string, carried {kind}")
+    out = parts.groupBy("part").cogroup(removed.groupBy("part")).applyInArrow(tidy_group(joined), f"doc_id long, n_words long, n_removed long, kept string, carried {kind}")
     return out.select("doc_id", "n_words", "n_removed", "kept", *(F.col("carried").getField(c).alias(c) for c in carry))
 
 

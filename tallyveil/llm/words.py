@@ -136,3 +136,23 @@ def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
             trimmed()
 
     return run
+
+
+def tidy_group(task: Callable[..., pa.Table]):
+    """As ``tidy``, for a function of a group of rows, or of one of each of two tables."""
+    if task.__code__.co_argcount == 2:
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            try:
+                return task(left, right)
+            finally:
+                trimmed()
+    else:
+
+        def run(rows: pa.Table) -> pa.Table:
+            try:
+                return task(rows)
+            finally:
+                trimmed()
+
+    return run
