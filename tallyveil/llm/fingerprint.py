@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is replaced. The table is written once, with its digests, to the shared folder.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = saved(docs.drop("fingerprint").withColumn("fingerprint", digest(canonical(text))), "fingerprints")
+    rows = saved(docs.drop("fingerprint").withColumn("fingerprint", digest(canonical(text))), "fingerprints", "zstd")
     numbers = _numbers(rows.select(F.col("fingerprint").alias("digest"), text.alias("text")))
     return rows if numbers is None else _numbered(rows, numbers, "fingerprint", canonical(text))
 
@@ -106,7 +106,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     n_bytes = text_bytes(base, "text")
-    base = saved(spread(base).withColumn("digest", digest(canonical(F.col("text")))), "digests")
+    base = saved(spread(base).withColumn("digest", digest(canonical(F.col("text")))), "digests", "zstd")
     numbers = _numbers(base.select("digest", "text"))
     rows = _with_next(base, n_bytes)
     size = F.char_length("text")
