@@ -13,7 +13,7 @@ from ..functions.folders import new_folder
 from ..operators import budget, errors, histogram, release, tools, validate
 from ..schemas import UNIT
 from ..sources.readers import read_debug, read_domain, read_summary
-from ..sources.writers import records_per_shard, write_domain, write_reports, write_sharded, write_summary
+from ..sources.writers import export_budget_units, records_per_shard, write_domain, write_reports, write_sharded, write_summary
 from ..streaming import collect
 from .derived import domain, key_sql, reports, table, with_sql
 from .job import AggregationJob, run_aggregation
@@ -478,3 +478,83 @@ def text_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = e.select(buckets.norm_bucket(buckets.bucket_from_string(F.concat("event_type", F.col("user_id") % 10))).alias("bucket"), F.lit(1).cast("bigint").alias("value"))
     out = release.join_domain(histogram.histogram(keys), read_domain(spark, path, "text"))
     return out.select(F.hex(buckets.strip_bucket("bucket")).alias("bucket"), F.col("unnoised_metric").alias("metric"))
+
+
+@query("json_results", with_sql(_SUMS_SQL))
+def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as JSON arrays, buckets as Latin-1 text, and read back."""
+    path = new_folder(spark, "json")
+    write_summary(_sums(spark, sf_dir).withColumnRenamed("unnoised_metric", "metric"), path, "json_array")
+    back = spark.read.option("multiLine", True).schema("bucket string, metric long").json(path)
+    return _hex(back.withColumn("bucket", buckets.norm_bucket(F.encode("bucket", "ISO-8859-1"))))
+
+
+@query("resharded_files", "SELECT count(*) AS n_rows, sum(l_partkey)::BIGINT AS total, 5::BIGINT AS n_files FROM lineitem")
+def resharded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written again as five files."""
+    path = new_folder(spark, "resharded")
+    tools.shard_table(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), 5, path)
+    back = spark.read.parquet(path).select("l_partkey", F.col("_metadata.file_name").alias("name"))
+    return back.agg(F.count("*").alias("n_rows"), F.sum("l_partkey").cast("bigint").alias("total"), F.count_distinct("name").alias("n_files"))
+
+
+@query("exported_units", with_sql(_UNITS_SQL))
+def exported_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budget units exported as JSON arrays and read back."""
+    path = new_folder(spark, "units")
+    export_budget_units(budget.budget_units(_known(spark, sf_dir), [0, 1]), path)
+    back = spark.read.option("multiLine", True).schema("privacy_budget_key string, reporting_window timestamp, reporting_origin string").json(path)
+    return back.select("privacy_budget_key", _hour(), "reporting_origin")
+
+
+@query("default_ids", with_sql("SELECT CASE WHEN event_id % 2 = 0 THEN 0 ELSE id END AS id, count(*) AS n, sum(value)::BIGINT AS total FROM reports WHERE NOT (bucket = repeat('0', 32) AND value = 0) GROUP BY 1"))
+def default_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributions without a filtering id have id 0."""
+    absent = F.transform("data", lambda f: f.withField("id", F.when(F.col("event_id") % 2 != 0, f["id"])))
+    rows = histogram.explode_contributions(reports(spark, sf_dir).withColumn("data", absent))
+    return rows.groupBy(F.col("id").cast("int").alias("id")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("sums_by_keys", with_sql(f"SELECT api, {_HOUR_SQL}, sum(value)::BIGINT AS metric FROM reports WHERE id IN (0, 1, 2) AND NOT (bucket = repeat('0', 32) AND value = 0) GROUP BY 1, 2"))
+def sums_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums by api and hour in place of buckets."""
+    rows = reports(spark, sf_dir).withColumns({"api": F.col("shared_info.api"), "hour": _hour("shared_info.scheduled_report_time")})
+    sums = histogram.histogram(histogram.explode_contributions(rows, IDS, keep=("api", "hour")), ("api", "hour"))
+    return sums.withColumnRenamed("unnoised_metric", "metric")
+
+
+@query(
+    "own_noise",
+    with_sql(f"SELECT coalesce(d.bucket, s.bucket) AS bucket, coalesce(metric, 0)::BIGINT AS unnoised_metric, coalesce(metric, 0)::BIGINT % 7 - 3 AS noise, concat_ws(',', CASE WHEN d.bucket IS NOT NULL THEN 'in_domain' END, CASE WHEN s.bucket IS NOT NULL THEN 'in_reports' END) AS annotations FROM domain d FULL JOIN ({_SUMS_SQL}) s ON d.bucket = s.bucket"),
+)
+def own_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A debug report with a noise function of the caller's."""
+    noised = release.add_noise(release.debug_report(_sums(spark, sf_dir), domain(spark, sf_dir)), PARAMS, lambda m: m + m % 7 - 3)
+    return _hex(release.debug_columns(noised), "noise", F.concat_ws(",", "annotations").alias("annotations"), metric="unnoised_metric").withColumnRenamed("metric", "unnoised_metric")
+
+
+@query("closed_hours", with_sql("SELECT strftime(h, '%Y-%m-%d %H') AS hour, n_reports FROM (SELECT date_trunc('hour', ts) AS h, count(*) AS n_reports FROM reports GROUP BY 1) WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM reports) - INTERVAL 48 HOUR"))
+def closed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of a stream that its watermark has passed, each given out once."""
+    path = new_folder(spark, "closed")
+    _flat(spark, sf_dir).select("scheduled_report_time").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("scheduled_report_time timestamp").parquet(f"{path}/in")
+    closed = collect.close_hours(stream, "48 hours").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+    closed.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("hour timestamp, n_reports long").parquet(f"{path}/out").select(_hour("hour"), "n_reports")
+
+
+_BAD_SQL = "(origin <> 'https://www.origin1.com' OR api = 'unknown-api' OR ts <= TIMESTAMP '2024-01-11')"
+
+
+@query("job_result", with_sql(f"""SELECT run, CASE run WHEN 'strict' THEN 'REPORTS_WITH_ERRORS_EXCEEDED_THRESHOLD' ELSE 'SUCCESS_WITH_ERRORS' END AS return_code, count(*) FILTER {_BAD_SQL.replace("(", "(WHERE ", 1)} AS n_errors
+    FROM reports, (VALUES ('first'), ('again'), ('strict')) r(run) GROUP BY run"""))
+def job_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What jobs return: two runs of one batch with unlimited budget succeed, one that allows 1 % of errors stops."""
+    path = new_folder(spark, "results")
+    job, out = _written_job(spark, sf_dir, path, budget="unlimited"), None
+    for name, more in (("first", {}), ("again", {}), ("strict", {"report_error_threshold_percentage": "1"})):
+        info = run_aggregation(spark, replace(job, output=f"{path}/{name}", **more)).result_info
+        row = info.select(F.lit(name).alias("run"), "return_code", "n_errors")
+        out = row if out is None else out.unionByName(row)
+    return out
