@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back
 from .decontamination import benchmark_matches
+from .fill_in_middle import fill_in_middle, restored
 from .fingerprint import edited_fingerprints
 from .jaccard import jaccard_join
 from .language import predict_languages
@@ -133,3 +134,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         ledger.apply("copies", deletes)
     ledger.apply("revised", counts.filter("version = 'words-revised'").withColumn("version", F.lit("words")).withColumn("op", F.lit("revise")))
     return ledger.totals()
+
+
+_DRAW_SQL = "('0x' || substr(d, {0}, 8))::BIGINT"
+
+
+@query(
+    "op13_fill_in_middle",
+    f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS d FROM documents),
+    h AS (SELECT *, {_DRAW_SQL.format(1)} % (n + 1) AS a, {_DRAW_SQL.format(9)} % (n + 1) AS b, {_DRAW_SQL.format(17)} % 100 AS c, {_DRAW_SQL.format(25)} % 100 AS e FROM d),
+    f AS (SELECT *, least(a, b) AS p, greatest(a, b) AS q, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain' WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form FROM h)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN p END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END::BIGINT AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || t[1:p] || '<S>' || t[q + 1:] || '<M>' || t[p + 1:q] ELSE '<S>' || t[q + 1:] || '<P>' || t[1:p] || '<M>' || t[p + 1:q] END) AS output_sha256,
+        sha256(t) AS restored_sha256
+    FROM f
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = restored(fill_in_middle(table(spark, sf_dir, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return out.withColumnRenamed("text", "restored").select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
