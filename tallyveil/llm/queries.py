@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import concatenation
 from .chat import format_conversations, read_back
 from .decontamination import benchmark_matches
 from .fill_in_middle import fill_in_middle, restored
@@ -136,6 +137,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+@query("op12_concatenate")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concatenation.pieces(table(spark, sf_dir, "documents"))
+
+
 _DRAW_SQL = "('0x' || substr(d, {0}, 8))::BIGINT"
 
 

@@ -10,6 +10,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
+from tallyveil.llm import concatenation
 from tallyveil.llm import fill_in_middle as fim
 from tallyveil.llm import queries
 
@@ -61,3 +62,82 @@ def test_fill_in_middle_matches_sql(spark, duck):
     from conftest import same_rows
 
     same_rows(queries.QUERIES["op13_fill_in_middle"](spark, DATA).toPandas(), duck.sql(queries.ORACLES["op13_fill_in_middle"]).df())
+
+
+def coded(texts):
+    tokenizer = concatenation.ByteTokens(ranks=None).tokenizer
+    return [[*e.ids, 1] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def assert_concatenated(out, texts, length):
+    """Each document's ids lie in one piece each; sequences are gapless, full, and the last ones powers of two."""
+    want = {}
+    for (i, _), ids in zip(texts, coded([t for _, t in texts]), strict=True):
+        want.setdefault(i, []).append(ids)
+    by_doc, by_sequence = {}, {}
+    for x in out:
+        by_doc.setdefault(x.doc_id, []).append(x)
+        by_sequence.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    assert set(by_doc) == set(want)
+    for i, rows in by_doc.items():
+        expected = []
+        for ids in want[i]:  # rows of one id are each cut: compare what starts, ends and sums do not depend on
+            expected.append(len(ids))
+        assert sum(x.length for x in rows) == sum(expected)
+        assert sorted(x.doc_tokens for x in rows if x.start == 0) == sorted(expected)
+        for x in rows:
+            assert any(len(ids) == x.doc_tokens and zlib.crc32(np.array(ids[x.start : x.start + x.length], "<u4").tobytes()) == x.ids_crc32 for ids in want[i])
+    total, sizes = sum(len(ids) for many in want.values() for ids in many), []
+    for parts in by_sequence.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]]
+        sizes.append(int(ends[-1]))
+    assert sum(sizes) == total and sizes.count(length) >= total // length
+    rest = [n for n in sizes if n != length]
+    assert len(rest) == bin(total % length).count("1") and all(n & (n - 1) == 0 for n in rest)
+
+
+@pytest.mark.parametrize("length", [16, 2048])
+def test_concatenate(spark, length):
+    texts = ["", None, "a", "one two three", "x" * 5000, " " * 4000, "<|endoftext|> and <|endoftext|>", "日本語 🙂 é", "\u2028\x85\u200d", "word " * 9000, "it's we'll I'D '' \n\n x"]
+    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(None, "no id", None), (None, None, None), (3, "one two three", "en"), (3, "one two three", "en"), (4, "another text", "fr")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    for clash in ("part", "place", "n", "ids", "start"):
+        docs = docs.withColumn(clash, F.lit("extra"))
+    assert_concatenated(concatenation.pieces(docs, length).collect(), [(i, t) for i, t, _ in rows], length)
+    assert concatenation.pieces(docs.limit(0), length).count() == 0 and concatenation.sequences(docs.limit(0), length).count() == 0
+
+
+@pytest.mark.parametrize("length", [16, 2048])
+def test_sequences_hold_what_pieces_say(spark, length):
+    rows = [(k, "word " * (k * 7 % 60) + str(k), "en") for k in range(300)] + [(1000, "long text " * 3000, "en")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6).sortWithinPartitions("doc_id")
+    every = [i for ids in coded([t for _, t, _ in rows]) for i in ids]
+    out = sorted(concatenation.sequences(docs, length).collect())
+    assert sorted(i for x in out for i in x.ids) == sorted(every) and all(x.n_tokens == len(x.ids) for x in out)
+    assert [x.sequence_id for x in out] == list(range(len(out))) and [x.n_tokens for x in out[: len(every) // length]] == [length] * (len(every) // length)
+    row = [i for x in out for i in x.ids]
+    ends = [k for k, i in enumerate(row) if i == 1]  # the texts between end ids, in whatever order of partitions
+    found = sorted(tuple(row[a + 1 : b]) for a, b in itertools.pairwise([-1, *ends]))
+    assert found == sorted(tuple(ids[:-1]) for ids in coded([t for _, t, _ in rows]))
+
+
+def test_blocks_of_partitions_place_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(concatenation, "BLOCK", 2)
+    rows = spark.createDataFrame([(p, 10 * j, 10 * p + j, 10, None) for p in (0, 1, 3, 4, 7) for j in range(3)], "part int, local long, doc_id long, n long, ids binary")
+    out, total = concatenation.placed(rows)
+    assert total == 150 and sorted(r.place for r in out.collect()) == list(range(0, 150, 10))
+
+
+def test_ranks_give_the_tokenizers_ids():
+    """Every code point beside letters, digits, spaces and signs; a tenth of them here, drawn by their number."""
+    tokens = concatenation.ByteTokens()
+    points = [c for c in range(0, 0x110000, 10) if not 0xD800 <= c <= 0xDFFF] + list(range(1, 0x3000))
+    for k in range(0, len(points), 512):
+        text = "".join(f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)} .{chr(c)}, " for c in points[k : k + 512])
+        assert tokens.fast.encode(text, allowed_special="all") == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_concatenated_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    assert_concatenated(queries.QUERIES["op12_concatenate"](spark, DATA).collect(), [tuple(r) for r in docs], 2048)
