@@ -18,6 +18,7 @@ from .quality import predict_quality
 from ..functions.folders import new_folder
 from ..functions.sizes import bounded_broadcast
 from .components import saved
+from .structure_repair import Repair
 from .token_counts import TokenCounts, bpe_count, count_tokens, lettered_word_count, word_count
 from .substring_dedup import substring_dedup
 
@@ -137,6 +138,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """``conversations`` with faults by checksum of id and turn: rows dropped, emptied, cut short, repeated or given to
+    the user. Null roles and texts, and nulls in the checksum's text, are one space."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), fate.alias("fate")).filter("fate <> 0")
+    changed = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.sequence(F.lit(1), F.when(F.col("fate") == 3, 2).otherwise(1))
+    return rows.select("conv_id", "turn", F.when(F.col("fate") == 4, "user").otherwise(F.col("role")).alias("role"), changed.alias("text"), F.explode(copies)).drop("col")
+
+
+@query("op11_structure_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    repair = Repair(damaged(turns))
+    known = repair.conversations().withColumnRenamed("conv_id", "_conv")
+    digests = repair.digests().withColumnRenamed("conv_id", "_digest_conv")
+    every = turns.select("conv_id").distinct()
+    out = every.join(known, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("_digest_conv")), "left")
+    numbers = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 @query("op12_concatenate")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concatenation.pieces(table(spark, sf_dir, "documents"))

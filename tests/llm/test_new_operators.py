@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyveil.llm import concatenation
 from tallyveil.llm import fill_in_middle as fim
-from tallyveil.llm import queries
+from tallyveil.llm import queries, structure_repair
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -141,3 +141,175 @@ def test_ranks_give_the_tokenizers_ids():
 def test_concatenated_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
     assert_concatenated(queries.QUERIES["op12_concatenate"](spark, DATA).collect(), [tuple(r) for r in docs], 2048)
+
+
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def brute_repair(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, repaired text) of one conversation's (turn, role, text)
+    in order: dynamic programming over rows and the repaired roles so far, whole strings compared."""
+    turns = {t for t, *_ in rows if t is not None}
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    seen, found = set(), []
+    for _, role, text in rows:
+        bare = text.strip(SPACE)
+        found.append("b" if not bare else "d" if (role, text) in seen else "t" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(rows))
+
+    def grammar(letters):  # the states that a prefix of an accepted text can be in
+        return re.fullmatch(r"s?(ua)*u?", letters) is not None
+
+    # state: the last letters of the repaired roles say all that the grammar needs
+    short = lambda letters: letters[-1:]
+    now = {"": (0, "", ())}
+
+    def better(states, key, weight):
+        if key not in states or weight[:2] < states[key][:2]:
+            states[key] = weight
+
+    def inserted(states):
+        for _ in range(4):
+            for key, (cost, audit, out) in list(states.items()):
+                for role in ("user", "assistant"):
+                    letters = "".join(r[:1] for r, _ in out) + role[0]
+                    if grammar(letters):
+                        better(states, short(letters), (cost + 5, audit + "I", (*out, (role, ""))))
+        return states
+
+    now = inserted(now)
+    for (_, role, text), fault in zip(rows, found, strict=True):
+        after = {}
+        for key, (cost, audit, out) in now.items():
+            better(after, key, (cost + 2, audit + "D", out))
+            if fault in ("b", "d"):
+                continue
+            more = 5 if fault == "t" else 0
+            for new, price, letter in [(role, 0, "K"), ("user", 1, "R"), ("assistant", 1, "R")]:
+                letters = "".join(r[:1] for r, _ in out) + new[:1]
+                if new[:1] and grammar(letters):
+                    better(after, short(letters), (cost + price + more, audit + letter, (*out, (new, text))))
+        now = inserted(after)
+    cost, audit, out = min((now[k] for k in ("", "a") if k in now), key=lambda x: x[:2])
+    return gaps, found.count("b"), found.count("d"), found.count("t"), illegal, cost, audit, "\n".join(f"{r}:{t}" for r, t in out)
+
+
+def exhaustive(rows):
+    """The least (cost, audit) over all edits of a few rows, by trying them all."""
+    found, seen = [], set()
+    for role, text in rows:
+        bare = text.strip(SPACE)
+        found.append("b" if not bare else "d" if (role, text) in seen else "t" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    best = (2 * len(rows), "D" * len(rows))
+
+    def go(k, letters, cost, audit):
+        nonlocal best
+        if cost > best[0]:
+            return
+        if k == len(rows) and re.fullmatch(r"(s?(ua)+)?", letters):
+            best = min(best, (cost, audit))
+        for role in "ua":
+            if cost + 5 <= best[0] and re.fullmatch(r"s?(ua)*u?", letters + role):
+                go(k, letters + role, cost + 5, audit + "I")
+        if k < len(rows):
+            go(k + 1, letters, cost + 2, audit + "D")
+            if found[k] not in ("b", "d"):
+                more = 5 * (found[k] == "t")
+                for letter, price, name in [(rows[k][0][:1], 0, "K"), ("u", 1, "R"), ("a", 1, "R")]:
+                    if letter and re.fullmatch(r"s?(ua)*u?", letters + letter):
+                        go(k + 1, letters + letter, cost + price + more, audit + name)
+
+    go(0, "", 0, "")
+    return best
+
+
+def test_brute_force_is_the_least_of_all_edits():
+    import random
+
+    r = random.Random(5)
+    for _ in range(150):
+        rows = [(r.choice(["user", "assistant", "system", "tool", ""]), r.choice(["a.", "b.", "c", "", "d!"])) for _ in range(r.randint(0, 6))]
+        assert exhaustive(rows) == brute_repair([(k, *x) for k, x in enumerate(rows)])[5:7]
+
+
+def assert_repaired(out, conversations):
+    got = {x.conv_id: x for x in out}
+    assert len(got) == len(out) and set(got) == set(conversations)
+    for c, rows in conversations.items():
+        want, x = brute_repair(rows), got[c]
+        assert (x.gaps, x.blank, x.duplicate, x.truncated, x.illegal, x.cost, x.audit) == want[:7], c
+        if hasattr(x, "repaired_sha256"):
+            assert x.repaired_sha256 == hashlib.sha256(want[7].encode()).hexdigest(), c
+
+
+def order(row):
+    turn, role, text = row
+    return (turn is not None, turn or 0, role.encode(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def random_conversations(seed, sizes):
+    import random
+
+    r = random.Random(seed)
+    texts = ["Yes.", "No!", "why?", "cut", "", " ", "\u00a0", "Ends. \n", "long " * 40 + "end.", "é.", "x\ty", "."]
+    rows = []
+    for c, n in enumerate(sizes):
+        for k in range(n):
+            role = ("user", "assistant")[k % 2] if r.random() < 0.7 else r.choice(["system", "user", "assistant", "tool", None, ""])
+            rows.append((c, r.choice([k, k, k, r.randrange(n), None]), role, r.choice([*texts, f"unique {r.random()}.", f"unique {r.random()}."]) if r.random() < 0.95 else None))
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 32])
+def test_repair(spark, monkeypatch, chunk):
+    monkeypatch.setattr(structure_repair, "CHUNK", chunk)
+    rows = random_conversations(chunk, [0, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 150, *[5] * 40])
+    rows += [(None, 0, "user", "a."), (None, 1, "assistant", "b."), (99, None, None, None), (98, 5, "user", "same."), *[(98, 6, "user", "same.")] * 30, (98, 7, "assistant", "x" * 200_000 + ".")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    for clash in ("conv", "part", "at", "fault", "copy"):
+        turns = turns.withColumn(clash, F.lit("extra"))
+    conversations = {}
+    for c, t, role, text in rows:
+        conversations.setdefault(c, []).append((t, " " if role is None else role, " " if text is None else text))
+    for c in conversations:
+        conversations[c].sort(key=order)
+    repair = structure_repair.Repair(turns)
+    assert_repaired(repair.conversations().collect(), conversations)
+    digests = {x.conv_id: x.repaired_sha256 for x in repair.digests().collect()}
+    repaired = {}
+    for x in sorted(repair.rows().collect(), key=lambda x: (str(x.conv_id), x.part, x.at, x.k)):
+        repaired.setdefault(x.conv_id, []).append(f"{x.role}:{x.text}")
+    for c, found in conversations.items():
+        want = brute_repair(found)[7]
+        assert "\n".join(repaired.get(c, [])) == want
+        assert digests.get(c, hashlib.sha256(b"").hexdigest()) == hashlib.sha256(want.encode()).hexdigest()
+    none = structure_repair.Repair(turns.limit(0))
+    assert none.conversations().count() == none.rows().count() == none.digests().count() == 0
+
+
+def test_a_hot_conversation_is_cut_over_many_parts(spark):
+    rows = random_conversations(9, [600, 3, 3])
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        repair = structure_repair.Repair(turns)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert repair.runs.filter("conv = 0").select("part").distinct().count() > 1
+    conversations = {}
+    for c, t, role, text in rows:
+        conversations.setdefault(c, []).append((t, " " if role is None else role, " " if text is None else text))
+    for c in conversations:
+        conversations[c].sort(key=order)
+    assert_repaired(repair.conversations().collect(), conversations)
+
+
+def test_structure_repair_of_the_table(spark):
+    conversations = {}
+    for x in sorted(spark.read.parquet(f"{DATA}/conversations.parquet").collect(), key=lambda x: (x.conv_id, x.turn)):
+        fate, rows = zlib.crc32(f"{x.conv_id}:{x.turn}".encode()) % 20, conversations.setdefault(x.conv_id, [])
+        row = (x.turn, "user" if fate == 4 else x.role, "" if fate == 1 else re.sub("[.!?]", "", x.text) if fate == 2 else x.text)
+        rows += [row] * (0 if fate == 0 else 2 if fate == 3 else 1)
+    assert_repaired(queries.QUERIES["op11_structure_repair"](spark, DATA).collect(), conversations)
