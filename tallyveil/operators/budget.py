@@ -1,4 +1,4 @@
-"""Privacy-budget keys, units and the ledger."""
+"""Privacy-budget keys and units."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folders import new_folder
 from ..functions.shared_info import iso_instant, report_hour, version_at, version_struct
-from ..functions.sizes import bounded_broadcast
-from ..schemas import LEDGER, UNIT
+from ..schemas import UNIT
+from .ledger import LIMIT, Ledger, distinct_units
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,6 @@ APIS: dict[str, list[KeyFields]] = {
     "shared-storage": [KeyFields(("reporting_origin",))],
 }
 OPTIONAL = {"source_registration_time"}
-LIMIT = 1
 
 
 def register_api(name: str, fields: list[str], since: tuple[int, int] = (0, 0), before: tuple[int, int] | None = None) -> None:
@@ -139,36 +139,26 @@ def lacking_budget(units: DataFrame, ledger: DataFrame, limit: int | None = None
     return out if limit is None else out.orderBy(*UNIT).limit(limit)
 
 
-def _exists(spark, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+def read_ledger(spark, path: str) -> DataFrame:
+    """Budget used so far. Only committed batches count; a path without any is an empty ledger."""
+    return Ledger(spark, path).used()
 
 
-def read_ledger(spark, path: str) -> DataFrame:
-    """Budget used so far. Only batches with a commit count; a path without any is an empty ledger."""
-    if not (_exists(spark, f"{path}/commits") and _exists(spark, f"{path}/units")):
-        return spark.createDataFrame([], LEDGER)
-    commits = spark.read.schema("batch string").parquet(f"{path}/commits").distinct()
-    used = spark.read.schema(f"{LEDGER}, batch string").option("basePath", f"{path}/units").parquet(f"{path}/units")
-    return used.join(bounded_broadcast(commits), "batch", "left_semi").select(*UNIT, "used")
+def written_units(units: DataFrame) -> DataFrame:
+    """Distinct units, written once for the several passes that a ledger makes over them."""
+    path = new_folder(units.sparkSession, "units")
+    distinct_units(units).write.parquet(path)
+    return units.sparkSession.read.schema(units.select(*UNIT).schema).parquet(path)
 
 
 def consume_budget(units: DataFrame, path: str, batch: str | None = None, limit: int | None = None) -> DataFrame:
     """All or nothing: if any unit lacks budget it returns those and writes nothing; else all units are used up.
 
-    Units are written first and count from the commit of ``batch`` on, so a batch that is consumed again has no
-    further effect. One writer at a time.
+    A batch that is consumed again for the same units, as a retried micro-batch, has no further effect; for other units
+    it is refused. Any number of writers may use one ledger.
     """
-    spark, batch = units.sparkSession, batch or uuid.uuid4().hex
-    commits, none = f"{path}/commits", units.limit(0)
-    if _exists(spark, commits) and spark.read.schema("batch string").parquet(commits).filter(F.col("batch") == batch).take(1):
-        return none
-    lacking = lacking_budget(units, read_ledger(spark, path), limit)
-    if lacking.take(1):
-        return lacking
-    units.select(*UNIT, F.lit(1).alias("used")).write.mode("overwrite").parquet(f"{path}/units/batch={batch}")
-    spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(commits)
-    return none
+    receipt = Ledger(units.sparkSession, path).consume(written_units(units), batch or uuid.uuid4().hex, limit)
+    return units.select(*UNIT).limit(0) if receipt.lacking is None else receipt.lacking
 
 
 def inputs_of(units: DataFrame, inputs: DataFrame) -> DataFrame:

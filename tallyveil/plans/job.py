@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -14,11 +17,11 @@ from pyspark.sql import functions as F
 
 from ..errors import AggregationError
 from ..functions.buckets import id_list, percentage
-from ..functions.folders import new_folder
 from ..functions.origins import public_suffixes
 from ..functions.payload import decode_payload
 from ..functions.shared_info import parse_shared_info
 from ..operators import budget, errors, histogram, release, validate
+from ..operators.ledger import Ledger
 from ..sources.readers import read_domain, read_reports
 from ..sources.writers import write_exhausted_info, write_sharded
 
@@ -123,21 +126,59 @@ def _suffixes(spark: SparkSession, job: AggregationJob) -> DataFrame | None:
     return public_suffixes(spark, job.suffixes) if isinstance(job.suffixes, str) else job.suffixes
 
 
-def _budget(spark: SparkSession, job: AggregationJob, reports: DataFrame) -> tuple[DataFrame | None, DataFrame | None, str]:
-    """(units, those that lack budget, return code); consumes budget unless it is a debug run."""
+def _request(job: AggregationJob, params: release.PrivacyParams) -> str:
+    """What a batch's release was asked for, as a digest."""
+    parts = [job.attribution_report_to, job.reporting_site, job.filtering_ids, job.domain, job.domain_optional, job.skip_threshold, params.epsilon, params.l1, params.delta]
+    return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
+
+
+@dataclass
+class _Settled:
+    """The release and its budget: what is published, or why it may not be."""
+
+    noised: DataFrame | None
+    code: str = "SUCCESS"
+    units: DataFrame | None = None
+    lacking: DataFrame | None = None
+    message: str | None = None
+
+
+def _settle(spark: SparkSession, job: AggregationJob, reports: DataFrame, noised: DataFrame, batch: str, request: str) -> _Settled:
+    """Write the noised table once and use up its budget, unless it is a debug run.
+
+    A ledger's commit points to the noised table. A batch that is committed already is answered with the table of that
+    time: nothing is drawn anew, so a rerun reveals nothing more and needs no further budget.
+    """
     if job.debug_run and not job.check_budget_in_debug_run:
-        return None, None, "SUCCESS"
-    units = release.released(budget.budget_units(reports, job.filtering_ids), new_folder(spark, "units"))
+        return _Settled(release.released(noised))
+    units = budget.written_units(budget.budget_units(reports, job.filtering_ids))
     if job.budget != "ledger" or not job.ledger:
-        return units, None, "SUCCESS"
+        return _Settled(release.released(noised), units=units)
+    failed: list[Exception] = []
+
+    def write(path: str) -> None:
+        try:
+            release.released(noised, path)
+        except SPARK_ERRORS as e:
+            failed.append(e)
+            raise
+
+    ledger = Ledger(spark, job.ledger)
     try:
         if job.debug_run:
-            lacking = budget.lacking_budget(units, budget.read_ledger(spark, job.ledger))
-        else:
-            lacking = budget.consume_budget(units, job.ledger, job.batch)
-        return units, lacking, "PRIVACY_BUDGET_EXHAUSTED" if lacking.take(1) else "SUCCESS"
+            lacking = ledger.lacking(units)
+            code = "PRIVACY_BUDGET_EXHAUSTED" if lacking.take(1) else "SUCCESS"
+            return _Settled(release.released(noised), code, units, lacking)
+        receipt = ledger.consume(units, batch, release=write, request=request)
+    except AggregationError as e:
+        return _Settled(None, e.code, units, message=str(e))
     except SPARK_ERRORS:
-        return units, None, "PRIVACY_BUDGET_ERROR"
+        if failed:
+            raise
+        return _Settled(release.released(noised) if job.debug_run else None, "PRIVACY_BUDGET_ERROR", units)
+    if receipt.lacking is not None:
+        return _Settled(None, "PRIVACY_BUDGET_EXHAUSTED", units, receipt.lacking)
+    return _Settled(spark.read.parquet(receipt.release), units=units, lacking=units.limit(0))
 
 
 def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame | None = None, domain: DataFrame | None = None) -> Outcome:
@@ -145,8 +186,9 @@ def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame
 
     Parsed and validated reports are persisted, and so are the deduplicated ones (several consumers read them, and a
     lost executor only recomputes its part). The noised result is written once and both outputs derive from it. Budget
-    is consumed after the release is staged and before it is published; if it is lacking, the inputs behind it are
-    written in place of results. A debug run consumes none, and checks it only if asked to.
+    is used up by a commit that points to the written result, before that is published; if it is lacking, the inputs
+    behind it are written in place of results. A batch that was committed before is published again from the result of
+    that time; its name is refused to other units and requests. A debug run uses no budget, and checks it only if asked to.
     """
     job.validate()
     params = job.params.with_debug_epsilon(job.debug_privacy_epsilon)
@@ -176,14 +218,15 @@ def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame
             noised = release.add_noise(release.debug_report(sums, domain), params, job.noise, job.seed)
         else:
             noised = release.add_noise(release.join_domain(sums, domain), params, job.noise, job.seed)
-        noised = release.released(noised)
         errors_now = spark.createDataFrame(summary_of_errors.collect(), summary_of_errors.schema)  # a row a category
-        units, lacking, code = _budget(spark, job, unique)
+        batch = job.batch or uuid.uuid4().hex
+        settled = _settle(spark, job, unique, noised, batch, _request(job, params))
+        units, lacking, code = settled.units, settled.lacking, settled.code
         if code != "SUCCESS" and not job.debug_run:
             if lacking is not None and job.output:
                 write_exhausted_info(budget.exhausted_info(lacking, budget.unit_inputs(unique, job.filtering_ids)), f"{job.output.rstrip('/')}-privacy-budget-exhausted")
-            return Outcome(None, None, errors_now, units, lacking, result_info(spark, code, bad, BUDGET_MESSAGES[code]))
-        code = DEBUG_EQUIVALENT.get(code, code)
+            return Outcome(None, None, errors_now, units, lacking, result_info(spark, code, bad, settled.message or BUDGET_MESSAGES[code]))
+        noised, code = settled.noised, DEBUG_EQUIVALENT.get(code, code)
     finally:
         checked.unpersist()
         if unique is not None:
@@ -197,5 +240,5 @@ def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame
             if debug is not None:
                 write_sharded(debug, job.output, job.shard_bytes, debug=True)
         except (*SPARK_ERRORS, FileExistsError) as e:
-            raise AggregationError("RESULT_WRITE_ERROR", str(e)) from e
+            raise AggregationError("RESULT_WRITE_ERROR", f"batch {batch} is not published; run it again under this name: {e}") from e
     return Outcome(summary.select("bucket", "metric", "unnoised_metric"), debug, errors_now, units, lacking, result_info(spark, code, bad))

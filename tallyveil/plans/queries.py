@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import buckets, origins, payload, shared_info
 from ..functions.folders import new_folder
 from ..operators import budget, errors, histogram, release, tools, validate
+from ..operators.ledger import Ledger
 from ..schemas import UNIT
 from ..sources.readers import read_debug, read_domain, read_summary
 from ..sources.writers import export_budget_units, records_per_shard, write_domain, write_reports, write_sharded, write_summary
@@ -329,12 +330,6 @@ def union_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hex(release.union_results(release.keys_in(sums, keys), release.report_only(sums, keys), PARAMS, PARAMS), metric="unnoised_metric")
 
 
-@query("shard_plan", f"SELECT count(*) AS n_rows, greatest(count(*) // {records_per_shard(20_335)}, 1)::BIGINT AS n_shards FROM (SELECT DISTINCT l_partkey FROM lineitem)")
-def shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count_distinct("l_partkey")
-    return table(spark, sf_dir, "lineitem").agg(n.alias("n_rows"), F.greatest(F.floor(n / records_per_shard(20_335)), F.lit(1)).cast("bigint").alias("n_shards"))
-
-
 _N_SHARDS = f"greatest(count(*) // {records_per_shard(20_335)}, 1)::BIGINT"
 
 
@@ -439,6 +434,55 @@ def exhausted_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return info.select("api", "version", "reporting_origin", "attribution_destination", "filtering_id", _hour(F.timestamp_seconds("scheduled_report_time"))).distinct()
 
 
+_REAL_SQL = "origin = 'https://www.origin1.com' AND api <> 'unknown-api' AND ts > TIMESTAMP '2024-01-11'"
+_JOB_UNITS_SQL = f"SELECT DISTINCT {key_sql()} AS k, date_trunc('hour', ts) AS h FROM reports, (VALUES (0), (1)) f(fid) WHERE {_REAL_SQL}"
+
+
+@query("rerun_job", with_sql(f"SELECT (SELECT count(*) FROM domain) AS n_buckets, 0::BIGINT AS n_differ, true AS is_noised, count(*) AS n_units, 1::BIGINT AS most_used, 'SUCCESS_WITH_ERRORS' AS return_code FROM ({_JOB_UNITS_SQL})"))
+def rerun_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch run twice with secure noise: the second run publishes the first one's result and uses no more budget."""
+    path = new_folder(spark, "rerun")
+    job = _written_job(spark, sf_dir, path, batch="day", noise="secure")
+    first = run_aggregation(spark, job)
+    again = run_aggregation(spark, replace(job, output=f"{path}/again"))
+    diff = tools.diff_results(read_summary(spark, f"{path}/out"), read_summary(spark, f"{path}/again")).agg(F.count("*").alias("n_differ"))
+    rows = first.summary.agg(F.count("*").alias("n_buckets"), F.coalesce(F.bool_or(F.col("metric") != F.col("unnoised_metric")), F.lit(False)).alias("is_noised"))
+    used = budget.read_ledger(spark, f"{path}/ledger").groupBy(*UNIT).agg(F.sum("used").alias("n")).agg(F.count("*").alias("n_units"), F.max("n").alias("most_used"))
+    return rows.crossJoin(diff).crossJoin(used).crossJoin(again.result_info.select("return_code"))  # a row each
+
+
+@query("shared_batch_name", with_sql(f"SELECT 'PRIVACY_BUDGET_ERROR' AS return_code, count(*) AS n_units FROM ({_JOB_UNITS_SQL})"))
+def shared_batch_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another origin's job under a batch name that is taken: refused, and the ledger stays as it was."""
+    path = new_folder(spark, "shared")
+    job = _written_job(spark, sf_dir, path, batch="day")
+    run_aggregation(spark, job)
+    other = run_aggregation(spark, replace(job, attribution_report_to="https://www.origin2.com", output=f"{path}/other"))
+    return other.result_info.select("return_code").crossJoin(budget.read_ledger(spark, f"{path}/ledger").agg(F.count("*").alias("n_units")))
+
+
+@query("folded_ledger", with_sql(f"""SELECT privacy_budget_key, hour, reporting_origin, is_lacking FROM (
+        SELECT DISTINCT {key_sql(fid='0')} AS privacy_budget_key, {_HOUR_SQL}, origin AS reporting_origin, event_id % 4 = 0 AS is_lacking, date_trunc('hour', ts) AS h
+        FROM reports WHERE api <> 'unknown-api' AND event_id % 4 < 2 AND ts >= TIMESTAMP '2024-01-05') WHERE is_lacking
+    UNION ALL SELECT DISTINCT {key_sql(fid='0')}, {_HOUR_SQL}, origin, false FROM reports
+        WHERE api <> 'unknown-api' AND event_id % 4 < 2 AND ts >= TIMESTAMP '2024-01-05'"""))
+def folded_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger of two batches folded into a snapshot that ends days before 5 January: its units (not lacking), and those
+    of the first batch that are asked for again."""
+    path = new_folder(spark, "folded")
+    rows = reports(spark, sf_dir).filter("shared_info.api != 'unknown-api'")
+    first = budget.written_units(budget.budget_units(rows.filter("event_id % 4 = 0"), [0]))
+    second = budget.budget_units(rows.filter("event_id % 4 = 1"), [0]).join(first, UNIT, "left_anti")
+    ledger = Ledger(spark, path)
+    ledger.consume(first, "first")
+    ledger.consume(budget.written_units(second), "second")
+    ledger.compact(datetime(2024, 4, 6, tzinfo=UTC))
+    ledger.vacuum()
+    kept = first.filter(F.col("reporting_window") >= F.lit(datetime(2024, 1, 5, tzinfo=UTC)))
+    out = ledger.lacking(kept).withColumn("is_lacking", F.lit(True)).unionByName(ledger.used().select(*UNIT, F.lit(False).alias("is_lacking")))
+    return out.select("privacy_budget_key", _hour(), "reporting_origin", "is_lacking")
+
+
 @query("streamed_budget", with_sql(f"SELECT DISTINCT {key_sql(fid='0')} AS privacy_budget_key, {_HOUR_SQL}, origin AS reporting_origin, 1::BIGINT AS used FROM reports WHERE api <> 'unknown-api' AND event_id % 4 < 2"))
 def streamed_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two streams use up budget of one ledger: what the second lacks is not used twice, and what neither has before

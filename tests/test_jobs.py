@@ -253,7 +253,7 @@ def test_debug_runs_may_check_budget_and_never_use_it(spark, tmp_path):
     assert code(jobs.run_aggregation(spark, job(**debug), rows, domain)) == "SUCCESS" and budget.read_ledger(spark, ledger).count() == 1
     (tmp_path / "broken" / "commits").mkdir(parents=True)
     (tmp_path / "broken" / "units").mkdir()
-    (tmp_path / "broken" / "commits" / "part-0.parquet").write_text("no parquet")
+    (tmp_path / "broken" / "commits" / "00000000000000000001.json").write_text("no json")
     broken = {"ledger": str(tmp_path / "broken"), "budget": "ledger", "noise": "none"}
     assert code(jobs.run_aggregation(spark, job(**broken), rows, domain)) == "PRIVACY_BUDGET_ERROR"
     assert code(jobs.run_aggregation(spark, job(**broken, debug_run=True, check_budget_in_debug_run=True), rows, domain)) == "DEBUG_SUCCESS_WITH_PRIVACY_BUDGET_ERROR"
