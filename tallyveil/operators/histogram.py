@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.buckets import norm_bucket
+from ..functions.names import unused
 from ..functions.sizes import bounded_broadcast
 
 _UUID = r"^[0-9A-Fa-f]{1,8}-[0-9A-Fa-f]{1,4}-[0-9A-Fa-f]{1,4}-[0-9A-Fa-f]{1,4}-[0-9A-Fa-f]{1,12}$"
@@ -30,12 +31,13 @@ def dedupe_reports(reports: DataFrame, report_id: str = "report_id", order: Iter
     Ids are compared as UUIDs. With no order any one of equal ids stays (a plain hash aggregate).
     """
     key = F.when(is_uuid(F.col(report_id)), canonical_uuid(F.col(report_id))).otherwise(F.col(report_id))
-    known = reports.filter(F.col(report_id).isNotNull()).withColumn("_key", key)
+    one, rank = unused(reports, "report_key"), unused(reports, "report_rank")
+    known = reports.filter(F.col(report_id).isNotNull()).withColumn(one, key)
     order = list(order)
     if order:
-        first = known.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).filter("_rank = 1").drop("_rank", "_key")
+        first = known.withColumn(rank, F.row_number().over(Window.partitionBy(one).orderBy(*order))).filter(F.col(rank) == 1).drop(rank, one)
     else:
-        first = known.dropDuplicates(["_key"]).drop("_key")
+        first = known.dropDuplicates([one]).drop(one)
     return first.unionByName(reports.filter(F.col(report_id).isNull()))
 
 

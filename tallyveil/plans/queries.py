@@ -230,6 +230,43 @@ def origin_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origins.with_site(good.unionByName(bad), origins.suffix_table(spark), "origin").select("origin", "site")
 
 
+# Rules of all three kinds; those of other scripts are given to SQL in both their forms.
+_RULES = {"plain": ["com", "jp", "co.jp", "uk", "co.uk", "cn", "公司.cn"], "wildcard": ["ck", "kawasaki.jp"], "exception": ["www.ck", "city.kawasaki.jp"]}
+_RULES_SQL = ", ".join(f"('{r}', '{kind}')" for kind, rules in _RULES.items() for r in rules) + ", ('xn--55qx5d.cn', 'plain')"
+_TAILS = ["a.b.kawasaki.jp", "b.kawasaki.jp", "kawasaki.jp", "x.city.kawasaki.jp", "city.kawasaki.jp", "foo.bar.ck", "bar.ck", "www.ck", "a.www.ck", "a.co.uk", "co.uk", "a.b.com", "a.unknown", "bücher.公司.cn", "xn--bcher-kva.xn--55qx5d.cn"]
+_HOSTS_SQL = f"""SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN '' ELSE 'u' || (user_id % 50) || '.' END || tail AS host
+    FROM events JOIN (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(_TAILS))}) t(i, tail) ON event_id % {len(_TAILS)} = i"""
+_SUFFIX_SQL = f"""WITH hosts AS ({_HOSTS_SQL}), rules(rule, kind) AS (VALUES {_RULES_SQL}),
+    found AS (SELECT host, kind = 'exception' AS wins, len(string_split(rule, '.')) + CASE kind WHEN 'wildcard' THEN 1 WHEN 'exception' THEN -1 ELSE 0 END AS n
+        FROM hosts JOIN rules ON ends_with(host, '.' || rule) OR (host = rule AND kind <> 'wildcard')),
+    best AS (SELECT host, (arg_max(n, (wins::INT, n))) AS n FROM found GROUP BY host)"""
+
+
+def _suffix_hosts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Hosts that ask for every kind of rule, and the rules, read from a file."""
+    path = new_folder(spark, "rules")
+    marks = {"plain": "", "wildcard": "*.", "exception": "!"}
+    lines = [f"{marks[kind]}{r}" for kind, rules in _RULES.items() for r in rules]
+    spark.createDataFrame([(x,) for x in ["// rules", *lines, "", "  // more"]], "value string").coalesce(1).write.text(path)
+    tail = F.element_at(F.array(*map(F.lit, _TAILS)), (F.col("event_id") % len(_TAILS) + 1).cast("int"))
+    host = F.concat(F.when(F.col("event_id") % 2 == 0, "").otherwise(F.concat(F.lit("u"), F.col("user_id") % 50, F.lit("."))), tail)
+    return table(spark, sf_dir, "events").select(host.alias("host")).distinct(), origins.public_suffixes(spark, path)
+
+
+@query("suffix_rules", f"{_SUFFIX_SQL} SELECT 'https://' || host || ':8443/x' AS origin, CASE WHEN len(string_split(host, '.')) > n THEN 'https://' || array_to_string(string_split(host, '.')[-n - 1:], '.') END AS site FROM hosts LEFT JOIN best USING (host)")
+def suffix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites by plain, wildcard and exception rules, of hosts in Latin and in other letters."""
+    hosts, rules = _suffix_hosts(spark, sf_dir)
+    return origins.with_site(hosts.select(F.concat(F.lit("https://"), "host", F.lit(":8443/x")).alias("origin")), rules, "origin").select("origin", "site")
+
+
+@query("bare_domains", f"{_SUFFIX_SQL} SELECT host, n IS NOT NULL AS is_domain FROM hosts LEFT JOIN best USING (host) UNION ALL SELECT 'https://' || host, false FROM hosts")
+def bare_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts are bare domain names that end in a public suffix."""
+    hosts, rules = _suffix_hosts(spark, sf_dir)
+    return origins.with_domain_flag(hosts.unionByName(hosts.select(F.concat(F.lit("https://"), "host").alias("host"))), rules, "host")
+
+
 _NOISELESS_THRESHOLD = PARAMS.threshold()
 
 

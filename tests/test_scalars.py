@@ -81,6 +81,25 @@ SITES = [
 DOMAINS = {"foo.com": True, "foo.co.uk": True, "foo.io": True, "www.foo.com": True, "http://www.foo.com": False, "foo.tldthatdoesntexist": False, "http://foo": False, "foo.com/api/bar": False, "123.456.789.012": False, "2002:0ab3:7a45:3fa3:d025:a8f5:0b6e:5080": False}
 
 
+#: Wildcard and exception rules, other scripts, closing dots, and what is no host.
+RULED = [
+    ("https://a.b.kawasaki.jp", "https://a.b.kawasaki.jp"), ("https://x.a.b.kawasaki.jp", "https://a.b.kawasaki.jp"), ("https://b.kawasaki.jp", None), ("https://kawasaki.jp", "https://kawasaki.jp"),
+    ("https://city.kawasaki.jp", "https://city.kawasaki.jp"), ("https://x.city.kawasaki.jp", "https://city.kawasaki.jp"), ("https://foo.bar.ck", "https://foo.bar.ck"), ("https://bar.ck", None), ("https://ck", None),
+    ("https://www.ck", "https://www.ck"), ("https://a.www.ck", "https://www.ck"), ("https://x.bücher.公司.cn", "https://bücher.公司.cn"), ("https://公司.cn", None), ("https://xn--bcher-kva.xn--55qx5d.cn:443/", "https://xn--bcher-kva.xn--55qx5d.cn"),
+    ("https://user@a.BÜCHER.com:8443/x?y", "https://bücher.com"), ("https://a。foo。com", "https://foo.com"), ("https://a.foo.com.", "https://foo.com"), ("https://[::1]/", None), ("https://a..com", None), ("https://é é.com", None), ("https://1.2.3.4", None),
+]
+
+
+def test_sites_by_wildcards_exceptions_and_other_scripts(spark):
+    df = spark.createDataFrame(RULED, "reporting_origin string, want string").withColumn("origin_key", F.lit("the caller's"))
+    out = origins.with_site(df, origins.suffix_table(spark)).collect()
+    assert [(r.reporting_origin, r.site) for r in out if r.site != r.want] == [] and len(out) == len(RULED)
+    assert {r.origin_key for r in out} == {"the caller's"}
+    hosts = spark.createDataFrame([("www.ck", True), ("bar.ck", True), ("ck", False), ("a.公司.cn", True), ("foo.com.", True), ("-a.com", False)], "reporting_origin string, want boolean")
+    flags = origins.with_domain_flag(hosts.withColumn("origin_good", F.lit(1)), origins.suffix_table(spark)).collect()
+    assert all(r.is_domain == r.want and r.origin_good == 1 for r in flags) and len(flags) == 6
+
+
 def test_sites(spark):
     df = spark.createDataFrame([(o, s) for o, s in SITES], "reporting_origin string, want string")
     assert all(r.site == r.want for r in origins.with_site(df, origins.suffix_table(spark)).collect())
