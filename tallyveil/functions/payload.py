@@ -1,17 +1,30 @@
-"""Cleartext payloads: CBOR maps ``{operation, data: [{bucket, value, id}]}`` with byte-string members."""
+"""Cleartext payloads: CBOR maps ``{operation, data: [{bucket, value, id}]}`` with byte-string members.
+
+Payloads of one client program differ in little more than the bytes of their members. So one payload of each length is
+parsed, and all others of that length whose remaining bytes are the same have their members at the same places: numpy
+takes them from all these payloads at once. Payloads that are like no parsed one are parsed themselves.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-
 PARSING_ERROR = "REPORT_PARSING_ERROR"
 FACTS_TYPE = T.ArrayType(T.StructType([T.StructField("bucket", T.BinaryType()), T.StructField("value", T.LongType()), T.StructField("id", T.DecimalType(20, 0))]))
 _LIMITS = {"bucket": 16, "value": 4, "id": 8}
+_FACT = pa.struct([("bucket", pa.binary()), ("value", pa.int64()), ("id", pa.decimal128(20, 0))])
+LAYOUTS = 16  # parsed for one length; payloads of still other ones are parsed one by one
+
+
+class _Blob(bytes):
+    """A byte string of a payload that knows where it stands."""
+
+    at: int
 
 
 def _item(data: bytes, at: int) -> tuple[object, int]:
@@ -29,7 +42,11 @@ def _item(data: bytes, at: int) -> tuple[object, int]:
         if at + size > len(data):
             raise ValueError("cut short")
         part = data[at : at + size]
-        return (part if kind == 2 else part.decode()), at + size
+        if kind == 3:
+            return part.decode(), at + size
+        blob = _Blob(part)
+        blob.at = at
+        return blob, at + size
     if kind == 4:
         items = []
         for _ in range(size):
@@ -47,10 +64,8 @@ def _item(data: bytes, at: int) -> tuple[object, int]:
     return (size if kind == 0 else -1 - size if kind == 1 else None), at
 
 
-def _facts(payload: bytes | None) -> tuple[str | None, list | None]:
-    """(operation, facts), or (None, None) for anything that is no such payload."""
-    from decimal import Decimal
-
+def _facts(payload: bytes | None) -> tuple[str, list[tuple[_Blob, _Blob, _Blob | None]]] | None:
+    """(operation, facts as bucket, value and id), or None for anything that is no such payload."""
     try:
         top, end = _item(payload or b"", 0)
         facts = []
@@ -58,29 +73,111 @@ def _facts(payload: bytes | None) -> tuple[str | None, list | None]:
             values = {k: fact.get(k) for k in _LIMITS}
             if not isinstance(values["bucket"], bytes) or not isinstance(values["value"], bytes) or any(v is not None and len(v) > _LIMITS[k] for k, v in values.items()):
                 raise ValueError("not a fact")
-            number = None if values["id"] is None else Decimal(int.from_bytes(values["id"], "big"))
-            facts.append({"bucket": values["bucket"].rjust(16, b"\0"), "value": int.from_bytes(values["value"], "big"), "id": number})
+            if values["id"] is not None and not isinstance(values["id"], bytes):
+                raise ValueError("not a fact")
+            facts.append((values["bucket"], values["value"], values["id"]))
         if end != len(payload) or not isinstance(top["operation"], str):
             raise ValueError("not a payload")
         return top["operation"], facts
     except (IndexError, KeyError, TypeError, ValueError, AttributeError, RecursionError):
-        return None, None
+        return None
+
+
+def _number(digits: np.ndarray) -> np.ndarray:
+    """Big-endian bytes along the last axis as unsigned numbers."""
+    out = np.zeros(digits.shape[:-1], np.uint64)
+    for k in range(digits.shape[-1]):
+        out = (out << np.uint64(8)) | digits[..., k]
+    return out
+
+
+class _Facts:
+    """Facts of the rows of a batch, put in place layout by layout."""
+
+    def __init__(self, n: int):
+        self.operation = np.full(n, None, object)
+        self.counts = np.zeros(n, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, rows: np.ndarray, payloads: np.ndarray, operation: str, facts: list) -> None:
+        """``payloads``: the rows' bytes, all of one layout; ``facts``: where it has its members."""
+        n, shape = len(facts), (len(rows), len(facts))
+        self.operation[rows], self.counts[rows] = operation, n
+        buckets, values, ids = np.zeros((*shape, 16), np.uint8), np.zeros(shape, np.int64), np.zeros(shape, np.uint64)
+        known = np.array([i is not None for *_, i in facts], bool)
+        for k, (bucket, value, number) in enumerate(facts):
+            if bucket:
+                buckets[:, k, 16 - len(bucket) :] = payloads[:, bucket.at : bucket.at + len(bucket)]
+            if value:
+                values[:, k] = _number(payloads[:, value.at : value.at + len(value)])
+            if number:
+                ids[:, k] = _number(payloads[:, number.at : number.at + len(number)])
+        self.parts.append((rows, buckets, values, ids, np.broadcast_to(known, shape)))
+
+    def arrays(self) -> tuple[pa.Array, pa.Array]:
+        """Operation and facts, null for rows that were never added."""
+        offsets = np.append(0, np.cumsum(self.counts))
+        total = int(offsets[-1])
+        buckets, values, ids, known = np.zeros((total, 16), np.uint8), np.zeros(total, np.int64), np.zeros((total, 2), np.uint64), np.zeros(total, bool)
+        for rows, b, v, i, k in self.parts:
+            at = (offsets[rows][:, None] + np.arange(b.shape[1])).reshape(-1)
+            buckets[at], values[at], ids[at, 0], known[at] = b.reshape(-1, 16), v.reshape(-1), i.reshape(-1), k.reshape(-1)
+        bucket = pa.Array.from_buffers(pa.binary(), total, [None, pa.py_buffer(np.arange(0, 16 * total + 1, 16, dtype=np.int32)), pa.py_buffer(buckets)])
+        validity = pa.array(known).buffers()[1] if total else None
+        number = pa.Array.from_buffers(pa.decimal128(20, 0), total, [validity, pa.py_buffer(ids)])
+        facts = pa.StructArray.from_arrays([bucket, pa.array(values), number], fields=list(_FACT))
+        missing = np.array([o is None for o in self.operation], bool)
+        return pa.array(self.operation, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), facts, mask=pa.array(missing))
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Data, start and length of each value of a binary column; null is empty."""
+    column = column.fill_null(b"").cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8), ends[:-1], np.diff(ends)
+
+
+def decoded(column: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(operation, facts) of a column of payloads; both are null where a payload is not readable."""
+    data, starts, sizes = _bytes_of(column)
+    out = _Facts(len(column))
+    order = np.argsort(sizes, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else ():
+        size = int(sizes[rows[0]])
+        payloads = data[starts[rows][:, None] + np.arange(size)]
+        for _ in range(LAYOUTS):
+            if not len(rows):
+                break
+            parsed, like = _facts(payloads[0].tobytes()), np.zeros(len(rows), bool)
+            like[0] = True
+            if parsed:
+                fixed = np.ones(size, bool)
+                for blob in (b for fact in parsed[1] for b in fact if b is not None):
+                    fixed[blob.at : blob.at + len(blob)] = False
+                like = (payloads[:, fixed] == payloads[0, fixed]).all(axis=1)
+                out.add(rows[like], payloads[like], *parsed)
+            rows, payloads = rows[~like], payloads[~like]
+        for k in range(len(rows)):
+            parsed = _facts(payloads[k].tobytes())
+            if parsed:
+                out.add(rows[k : k + 1], payloads[k : k + 1], *parsed)
+    return out.arrays()
 
 
 def decode_payload(df: DataFrame, column: str = "payload") -> DataFrame:
     """``column`` (binary) becomes ``operation`` and ``data``; ``payload_errors`` holds REPORT_PARSING_ERROR where it is not readable."""
     names = [c for c in df.columns if c != column]
-    facts = pa.list_(pa.struct([("bucket", pa.binary()), ("value", pa.int64()), ("id", pa.decimal128(20, 0))]))
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [_facts(p) for p in batch[column].to_pylist()]
-            errors = [[] if op is not None else [PARSING_ERROR] for op, _ in both]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array([b[0] for b in both], pa.string()), pa.array([b[1] for b in both], facts), pa.array(errors, pa.list_(pa.string()))], [*names, "operation", "data", "payload_errors"])
+            operation, facts = decoded(batch[column])
+            bad = np.append(0, np.cumsum(np.asarray(operation.is_null()))).astype(np.int32)
+            errors = pa.ListArray.from_arrays(pa.array(bad), pa.array([PARSING_ERROR] * int(bad[-1]), pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), operation, facts, errors], [*names, "operation", "data", "payload_errors"])
 
     schema = T.StructType([df.schema[n] for n in names])
     schema = schema.add("operation", T.StringType()).add("data", FACTS_TYPE).add("payload_errors", T.ArrayType(T.StringType()))
-    return df.mapInArrow(decoded, schema)
+    return df.mapInArrow(read, schema)
 
 
 def _head(kind: int, size: int) -> bytes:
@@ -104,13 +201,54 @@ def _encoded(operation: str | None, data: list | None) -> bytes:
     return _head(5, 2) + text("operation") + text(operation or "") + text("data") + _head(4, len(facts)) + b"".join(facts)
 
 
+def _digits(numbers: np.ndarray, width: int) -> np.ndarray:
+    """Unsigned numbers as ``width`` big-endian bytes along a new last axis."""
+    return np.ascontiguousarray(numbers.astype(">u8")).view(np.uint8).reshape(*numbers.shape, 8)[..., 8 - width :]
+
+
+def encoded(operation: pa.Array, data: pa.Array) -> pa.Array:
+    """Payloads of rows of facts: a payload of each layout is written, and the others of that layout are its copies with
+    their own members."""
+    facts, ends = data.flatten(), np.append(0, np.cumsum(np.asarray(data.value_lengths().fill_null(0), np.int64)))
+    counts, n = np.diff(ends), len(data)
+    bucket_data, at, size = _bytes_of(facts.field("bucket"))
+    values, ids = np.asarray(facts.field("value").fill_null(0), np.int64), facts.field("id").fill_null(0).cast(pa.decimal128(20, 0))
+    low = np.frombuffer(ids.buffers()[1], np.uint64)[2 * ids.offset : 2 * (ids.offset + len(ids))].reshape(-1, 2) if len(ids) else np.zeros((0, 2), np.uint64)
+    known = np.asarray(facts.field("id").is_valid())
+    plain = (size == 16) & (values >= 0) & (values < 1 << 32) & (low[:, 1] == 0) & np.asarray(facts.field("value").is_valid()) & np.asarray(facts.field("bucket").is_valid())
+    each = lambda x: np.add.reduceat(np.append(x, 0).astype(np.int64), np.minimum(ends[:-1], len(x))) * (counts > 0) if n else np.zeros(0, np.int64)
+    with_id = each(known)
+    regular = (each(plain) == counts) & ((with_id == 0) | (with_id == counts))
+    out: list[bytes | None] = [None] * n
+    groups: dict[tuple, list[int]] = {}
+    for row, (name, count, ids_there) in enumerate(zip(operation.to_pylist(), counts.tolist(), with_id.tolist(), strict=True)):
+        if regular[row]:
+            groups.setdefault((name, count, ids_there > 0), []).append(row)
+        else:
+            out[row] = _encoded(name, data[row].as_py())
+    for (name, count, _), rows in groups.items():
+        first = _encoded(name, data[rows[0]].as_py())
+        members = _facts(first)[1]
+        all_rows = np.frombuffer(first, np.uint8)[None, :].repeat(len(rows), axis=0)
+        place = ends[:-1][rows][:, None] + np.arange(count)
+        for k, (bucket, value, number) in enumerate(members):
+            of = place[:, k]
+            all_rows[:, bucket.at : bucket.at + 16] = bucket_data[at[of][:, None] + np.arange(16)]
+            all_rows[:, value.at : value.at + 4] = _digits(values[of].astype(np.uint64), 4)
+            if number is not None:
+                all_rows[:, number.at : number.at + 8] = _digits(low[of, 0], 8)
+        width, joined = len(first), all_rows.tobytes()
+        for k, row in enumerate(rows):
+            out[row] = joined[k * width : (k + 1) * width]
+    return pa.array(out, pa.binary())
+
+
 def encode_payload(df: DataFrame, column: str = "payload") -> DataFrame:
     """``operation`` and ``data`` become ``column`` (binary)."""
     names = [c for c in df.columns if c not in ("operation", "data")]
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [_encoded(o, d) for o, d in zip(batch["operation"].to_pylist(), batch["data"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(blobs, pa.binary())], [*names, column])
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), encoded(batch["operation"], batch["data"])], [*names, column])
 
-    return df.mapInArrow(encoded, T.StructType([df.schema[n] for n in names]).add(column, T.BinaryType()))
+    return df.mapInArrow(write, T.StructType([df.schema[n] for n in names]).add(column, T.BinaryType()))

@@ -174,6 +174,35 @@ def test_sources(spark, tmp_path):
     assert readers.read_reports(spark, [str(tmp_path / "r1"), str(tmp_path / "r2")]).count() == 2
 
 
+def test_columnar_payloads_are_those_of_the_parser():
+    """Payloads of several layouts, cut, changed and random ones: each is what it is when it is parsed alone."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(11)
+    fact = lambda with_id: {"bucket": r.randbytes(16), "value": r.randrange(1 << 32), "id": Decimal(r.randrange(1 << 64)) if with_id else None}
+    rows = [("histogram" if k % 7 else r.choice(["sum", "", None, "é"]), [fact(k % 3 == 0 or j == 4) for j in range(r.choice([0, 1, 1, 2, 5, 30]))]) for k in range(300)] + [("histogram", None)]
+    kind = pa.list_(payload._FACT)
+    made = payload.encoded(pa.array([o for o, _ in rows], pa.string()), pa.array([d for _, d in rows], kind)).to_pylist()
+    assert made == [payload._encoded(o, d) for o, d in rows]
+    reordered = [b"\xa2\x64data\x81\xa3\x62id\x41" + r.randbytes(1) + b"\x65value\x42" + r.randbytes(2) + b"\x66bucket\x43" + r.randbytes(3) + b"\x69operation\x69histogram" for _ in range(40)]
+    odd = [b"\xa2\x64data\x80\x69operation\x61x", b"\xa3\x64data\x80\x69operation\x61x\x61y\xf6", b"\xa2\x64data\x81\xa2\x65value\x40\x66bucket\x40\x69operation\x61x", b"\xa2\x64data\x81\xa3\x62id\x05\x65value\x40\x66bucket\x40\x69operation\x61x", None, b""]
+    every = made + reordered + odd
+    for p in r.sample(made, 120) + reordered:
+        p = bytearray(p)
+        for _ in range(r.randint(1, 3)):
+            p[r.randrange(len(p))] = r.randrange(256)
+        every += [bytes(p), bytes(p[: r.randrange(len(p))])]
+    r.shuffle(every)
+    operation, facts = payload.decoded(pa.array([b"first", *every], pa.binary()).slice(1))
+    for p, o, d in zip(every, operation.to_pylist(), facts.to_pylist(), strict=True):
+        want = payload._facts(p)
+        assert o == (want and want[0])
+        number = lambda x: int.from_bytes(x, "big")
+        assert d == (want and [{"bucket": x.rjust(16, b"\0"), "value": number(v), "id": None if i is None else Decimal(number(i))} for x, v, i in want[1]])
+
+
 def test_payloads(spark):
     good = frame(spark, [report(1, [(2**128 - 1, 2**32 - 1, 2**64 - 1), (0, 0, None)] * 60), report(2, [])]).select("report_id", "operation", "data")
     assert sorted(payload.decode_payload(payload.encode_payload(good)).drop("payload_errors").collect()) == sorted(good.collect())
