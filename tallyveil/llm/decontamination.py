@@ -10,7 +10,8 @@ indexed with each of them both ways, so that a passage has the same template whe
 words is read both word by word and as one name (``_versions``).
 
 Only texts that hold an anchor are read that closely: a run of up to four words of an item's window that are surely
-no slots, the longest of the window. A match holds its windows' anchors, so none is lost.
+no slots and have no digit, the longest of the window. Such words, and their neighbourhood, are the same in a marked and
+in a plain text (marking joins or splits only what has a digit), and a match holds its windows' anchors, so none is lost.
 """
 
 from __future__ import annotations
@@ -127,8 +128,9 @@ def _item_windows(words: Column, width: int) -> Column:
 
 def _anchors(tokens: Column, width: int) -> Column:
     """Structs (n, h, maybe) of all windows of an item: length and hash of the longest run of words that are surely no
-    slots, ANCHOR at most, and whether the window holds a possible name."""
-    sure = F.transform(tokens, lambda w: _kind(w, (_NAME, _MAYBE, _SMALL)).isNull() & ~w.contains(_JOIN))
+    slots and have no digit, ANCHOR at most, and whether the window holds a possible name or another word that is no
+    slot."""
+    sure = F.transform(tokens, lambda w: _kind(w, (_NAME, _MAYBE, _SMALL)).isNull() & ~w.contains(_JOIN) & ~w.rlike(r"\p{Nd}"))
 
     def reach(flags: Column, i: Column, stop: Column) -> Column:  # sure words in a row from i on
         n = F.lit(0)
@@ -142,7 +144,7 @@ def _anchors(tokens: Column, width: int) -> Column:
         part = F.slice(tokens, i + 1, width)
         words = [F.get(tokens, k - best["p"]) for k in range(ANCHOR)]
         h = F.coalesce(*(F.when(best["n"] == k, F.xxhash64(F.lit(k), *words[:k])) for k in range(1, ANCHOR + 1)), F.lit(0))
-        return F.struct(best["n"].alias("n"), h.alias("h"), F.exists(part, lambda w: _first(w).isin(_MAYBE, _SMALL)).alias("maybe"))
+        return F.struct(best["n"].alias("n"), h.alias("h"), F.exists(part, lambda w: _first(w).isin(_MAYBE, _SMALL) | _kind(w).isNull()).alias("maybe"))
 
     return _let(sure, lambda flags: F.transform(_starts(F.size(tokens), width), lambda i: of(flags, i)))
 
@@ -150,8 +152,8 @@ def _anchors(tokens: Column, width: int) -> Column:
 def _anchored(texts: DataFrame, items: DataFrame, sizes: list[int], window: int) -> DataFrame:
     """The texts (doc_id, text_hash, text) that hold an anchor of an item; all of them if an item has none.
 
-    Windows without a sure word count for nothing here: a match of such windows alone is no leak, unless it is a
-    whole item or holds possible names read as words; then every text is looked at.
+    Windows of slots alone count for nothing here: a match of such windows alone is no leak, unless it is a whole item.
+    Where a window without an anchor is a whole item, or holds a word that may be no slot, every text is looked at.
     """
     rows = None
     for size in sizes:

@@ -461,6 +461,30 @@ def test_reparameterised_questions_are_found(spark):
     assert right >= 0.9 * len(want) and not any(d >= 1000 for d in found)
 
 
+def odd_text(r, n):
+    """Words with digits, signs and units inside, numbers in all forms, names, capitals and letters of other scripts."""
+    kinds = ["gpt3.5", "web2.0", "x9", "5kg", "3.5 km", "1,000", "12:30", "twenty-one", "three miles", "Anna", "Bo Li", "B-52", "v1.2.3", "é2à", "½", "Straße", "Ελλάς", "мир", "a/b", "10/12x", "c++", "e-mail", "İstanbul", "٣", "4th", "R2D2", "the", "of", "model", "scored", "higher", "is", "used", "by", "critics", "others", "line", "sum", "paper", "still", "than"]
+    return "".join(r.choice(kinds) + r.choice([" ", " ", " ", " ", ", ", ". ", "\n", "\u00a0", " - "]) for _ in range(n))
+
+
+def test_anchors_lose_nothing(spark, monkeypatch):
+    """Documents are the same with anchors as when every text is read closely: passages verbatim and with other numbers."""
+    r = random.Random(17)
+    items = [odd_text(r, r.randint(4, 30)) for _ in range(60)] + ["the gpt3.5 model scored higher than others", "is web2.0 still used by its critics", "gpt3.5 web2.0 x9 R2D2 v1.2.3 B-52 4th é2à x9 gpt3.5 web2.0"]
+    docs = [odd_text(r, 25) for _ in range(60)]
+    for item in items:
+        docs.append(odd_text(r, 15) + " " + item + " " + odd_text(r, 15))
+        docs.append(odd_text(r, 8) + re.sub(r"\d", lambda m: str((int(m[0]) + 1) % 10), item))
+    table = lambda rows, name: spark.createDataFrame(list(enumerate(rows)), f"{name} long, text string")
+    for part in (items[:30], items[30:60], items[60:62], items[62:]):
+        found = lambda: sorted(map(tuple, decontamination.benchmark_matches(table(docs, "doc_id"), table(part, "item_id")).select("doc_id", "item_id", "kind", "n_words").collect()))  # noqa: B023, E731
+        anchored = found()
+        with monkeypatch.context() as m:
+            m.setattr(decontamination, "_anchored", lambda texts, *_: texts)
+            assert anchored == found()
+        assert len({i for _, i, *_ in anchored}) >= len(part) * 0.9
+
+
 def test_decontamination_reads_long_texts_and_items_without_sure_words(spark):
     r = random.Random(23)
     question = "the train from Boston left at 12 km away and Alice with 35 kg met Alice again near the old 35 bridge"
