@@ -42,6 +42,15 @@ class Receipt:
     repeated: bool = False  # the batch was committed before; no further budget was used
 
 
+@dataclass(frozen=True)
+class Known:
+    number: int
+    n_units: int
+    digest: str
+    request: str
+    release: str | None
+
+
 @dataclass(frozen=True)
 class _Digest:
     n_units: int
@@ -151,16 +160,21 @@ class Ledger:
     def release_path(self, token: str) -> str:
         return f"{self.path}/releases/{token}"
 
+    def find(self, batch: str) -> Known | None:
+        """What a batch was committed for and where its release is; None if it is not known."""
+        row = self.commits().filter(F.col("batch") == batch).first()
+        return row and Known(row.number, row.n_units, row.digest, row.request, self.release_path(row.token) if row.has_release else None)
+
     def committed(self, units: DataFrame, batch: str, request: str = "", digest: _Digest | None = None) -> Receipt | None:
         """The receipt of a batch that is known, None for a new one. A batch that was committed for other units, or for
         another request, is refused: its name is taken."""
-        row = self.commits().filter(F.col("batch") == batch).first()
-        if row is None:
+        known = self.find(batch)
+        if known is None:
             return None
         mine = digest or _digest(units)
-        if (row.n_units, row.digest, row.request) != (mine.n_units, mine.digest, request):
+        if (known.n_units, known.digest, known.request) != (mine.n_units, mine.digest, request):
             raise AggregationError("PRIVACY_BUDGET_ERROR", f"batch {batch} is committed for other units or another request")
-        return Receipt(None, row.number, self.release_path(row.token) if row.has_release else None, True)
+        return Receipt(None, known.number, known.release, True)
 
     def consume(self, units: DataFrame, batch: str, limit: int | None = None, release: Callable[[str], None] | None = None, request: str = "") -> Receipt:
         """All or nothing: use up all of ``units`` (a written table, distinct), or return those that lack budget.

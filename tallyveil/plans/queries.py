@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +12,11 @@ from ..functions import buckets, origins, payload, shared_info
 from ..functions.folders import new_folder
 from ..operators import budget, errors, histogram, release, tools, validate
 from ..operators.ledger import Ledger
-from ..schemas import UNIT
+from ..schemas import FACTS, UNIT
 from ..sources.readers import read_debug, read_domain, read_summary
 from ..sources.writers import export_budget_units, records_per_shard, write_domain, write_reports, write_sharded, write_summary
 from ..streaming import collect
+from ..streaming.close import HourlyRelease
 from .derived import domain, key_sql, reports, table, with_sql
 from .job import AggregationJob, run_aggregation
 
@@ -625,6 +626,40 @@ def closed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("hour timestamp, n_reports long").parquet(f"{path}/out").select(_hour("hour"), "n_reports")
 
 
+_STEPS, _WAIT_HOURS = 4, 24
+_CLOSING_SQL = f"""WITH r AS (SELECT *, date_trunc('hour', ts) AS h, least(floor({_STEPS} * epoch_us(received - lo) / epoch_us(hi - lo + INTERVAL 1 SECOND)), {_STEPS - 1})::INT AS step
+        FROM reports, (SELECT min(received) AS lo, max(received) AS hi FROM reports)),
+    f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY report_id, ts::DATE ORDER BY step, event_id) = 1),
+    clocks AS (SELECT s AS step, max(received) AS clock FROM r, range({_STEPS}) t(s) WHERE r.step <= s GROUP BY s),
+    closing AS (SELECT h, greatest(first_step, min(step)) AS close_step FROM (SELECT h, min(step) AS first_step FROM f GROUP BY h) JOIN clocks ON h + INTERVAL {_WAIT_HOURS + 1} HOUR <= clock GROUP BY h, first_step)"""
+
+
+@query(
+    "released_hours",
+    f"{with_sql('').rstrip()}, {_CLOSING_SQL.removeprefix('WITH ')}" + """
+    SELECT strftime(h, '%Y-%m-%d %H') AS hour, bucket, sum(value)::BIGINT AS metric FROM f JOIN closing USING (h) WHERE step <= close_step AND id IN (0, 1, 2) AND NOT (bucket = repeat('0', 32) AND value = 0) GROUP BY 1, 2
+    UNION ALL SELECT strftime(h, '%Y-%m-%d %H'), 'late', count(*) FROM f JOIN closing USING (h) WHERE step > close_step GROUP BY 1""",
+)
+def released_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of reports in order of receipt, in steps: each hour's sums are released once, 24 hours after its end, and
+    the reports that come later are counted. The stream stops after each step and starts again."""
+    path = new_folder(spark, "hours")
+    rows = reports(spark, sf_dir).select("event_id", "report_id", "received", "data", F.col("shared_info.scheduled_report_time").alias("scheduled_report_time"))
+    lo, hi = rows.agg(F.min("received"), F.max("received")).first()
+    step = F.least(F.floor(_STEPS * (F.unix_micros("received") - F.unix_micros(F.lit(lo))) / (F.unix_micros(F.lit(hi)) - F.unix_micros(F.lit(lo)) + 1_000_000)), F.lit(_STEPS - 1))
+    steps = rows.withColumn("step", step)
+    hours = HourlyRelease(f"{path}/out", timedelta(hours=_WAIT_HOURS), PARAMS, ids=IDS, noise="none", skip_threshold=True)
+    for k in range(_STEPS):
+        # Of equal reports of a step the first by number stays, as in SQL; the class takes any one.
+        first = steps.filter(F.col("step") == k).groupBy("report_id", F.to_date("scheduled_report_time")).agg(F.min_by(F.struct("scheduled_report_time", "data"), "event_id").alias("x"), F.max("received").alias("latest"))
+        first.select("report_id", "x.*", F.col("latest").alias("received")).write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema("report_id string, scheduled_report_time timestamp, data " + FACTS + ", received timestamp").parquet(f"{path}/in")
+        source.writeStream.foreachBatch(hours).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    out = hours.released(spark).select(_hour("hour"), buckets.bucket_hex("bucket").alias("bucket"), "metric")
+    late = hours.late(spark, source.schema).groupBy(_hour("scheduled_report_time")).agg(F.lit("late").alias("bucket"), F.count("*").alias("metric"))
+    return out.unionByName(late)
+
+
 _BAD_SQL = "(origin <> 'https://www.origin1.com' OR api = 'unknown-api' OR ts <= TIMESTAMP '2024-01-11')"
 
 
