@@ -154,9 +154,12 @@ def _calibrated(model: LanguageModel, bags: list[tuple[np.ndarray, np.ndarray]],
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> LanguageModel:
-    """A model from at most ``train_docs`` rows with text and language, about as many of each language."""
+    """A model from at most ``train_docs`` rows with text and language, about as many of each of the ``MAX_CLASSES`` (256)
+    most frequent languages; rarer ones are not learned and so never predicted. Languages share 48 MB of text evenly
+    (``sampling.collected``): a text that does not fit its language's share is left out, whatever stands before it.
+    Null texts, ids and languages are not learned from; no rows give a model without languages."""
     rows = docs.select(F.col(id_col).alias("key"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).filter("key IS NOT NULL AND label IS NOT NULL AND text IS NOT NULL")
-    model = train(collected(bounded_sample(rows, "key", "label", train_docs).select("text", "label")))
+    model = train(collected(*bounded_sample(rows, "key", "label", train_docs)))
     trimmed()
     return model
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyveil.llm import chat, components, decontamination, fingerprint, jaccard, language, licenses, packing, quality, queries, sketch, substring_dedup, token_counts, tokens, words
+from tallyveil.llm import chat, components, decontamination, fingerprint, jaccard, language, licenses, packing, quality, queries, sampling, sketch, substring_dedup, token_counts, tokens, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -561,6 +561,15 @@ def test_rejection_is_bounded_whatever_the_errors():
     assert language.train([("abc", "a"), ("dce", "b"), ("fgh", "c")]).threshold < 0.4
 
 
+def test_samples_share_their_bytes_by_class(spark):
+    """A long text in front takes no other's room, and one class takes none of another's."""
+    rows = [("x" * 900, "a"), *[("a" * 50, "a")] * 30, *[("é" * 25, "b")] * 30, ("y" * 100_000, "b"), (None, "b")]
+    df = spark.createDataFrame(rows, "text string, label string").coalesce(1)
+    got = sampling.collected(df, 2, 1000)
+    assert Counter(label for _, label in got) == {"a": 10, "b": 11} and len(got[0][0]) == 0
+    assert ("x" * 900, "a") in sampling.collected(df, 1, 1000) and sampling.collected(df.limit(0), 0) == []
+
+
 def test_quality(spark, empty):
     r = random.Random(9)
     good = [sentence(r, r.randint(20, 80)).capitalize() + "." for _ in range(150)]
