@@ -299,6 +299,23 @@ def delay_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.delay_profile(rows, "received", "scheduled", exact=True)
 
 
+@query(
+    "delay_by_destination",
+    with_sql("SELECT api, destination, unnest([0.5, 0.9, 0.99])::DOUBLE AS quantile, unnest(quantile_cont(date_diff('microsecond', ts, received) / 3.6e9, [0.5, 0.9, 0.99]))::DOUBLE AS delay_hours FROM reports GROUP BY api, destination"),
+)
+def delay_by_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of the delay by api and destination."""
+    rows = reports(spark, sf_dir).select("received", "shared_info.api", F.col("shared_info.scheduled_report_time").alias("scheduled"), F.col("shared_info.attribution_destination").alias("destination"))
+    return tools.delay_profile(rows, "received", "scheduled", (0.5, 0.9, 0.99), exact=True, by=("api", "destination"))
+
+
+@query("price_quantiles", "SELECT l_returnflag, unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS quantile, unnest(quantile_cont(l_extendedprice::DOUBLE, [0.0, 0.25, 0.5, 0.75, 1.0]))::DOUBLE AS price FROM lineitem GROUP BY l_returnflag")
+def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of a column of mostly distinct values."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("price"))
+    return tools.exact_quantiles(rows, "price", (0.0, 0.25, 0.5, 0.75, 1.0), ("l_returnflag",))
+
+
 @query("batch_conflicts", with_sql(f"SELECT {key_sql(fid='0')} AS privacy_budget_key, {_HOUR_SQL}, origin AS reporting_origin, count(DISTINCT event_id % 3) AS n_batches FROM reports WHERE api <> 'unknown-api' GROUP BY ALL HAVING n_batches > 1"))
 def batch_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reports(spark, sf_dir).filter("shared_info.api != 'unknown-api'").withColumn("batch", F.col("event_id") % 3)

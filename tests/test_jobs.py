@@ -174,6 +174,28 @@ def test_sources(spark, tmp_path):
     assert readers.read_reports(spark, [str(tmp_path / "r1"), str(tmp_path / "r2")]).count() == 2
 
 
+def test_exact_quantiles_by_rank(spark):
+    """Nulls, ties, one value, repeated keys, keys that are null; spread over many partitions."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    rows = [(k, None if r.random() < 0.1 else float(r.choice([r.randrange(50), r.random()]))) for k in (None, "a", "b") for _ in range(400)] + [("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "key0 string, x double").repartition(6)
+    qs = (0.0, 0.1, 0.5, 0.77, 1.0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = {(x.key0, x.quantile): x.x for x in tools.exact_quantiles(df, "x", qs, ("key0",)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    known = {k: [v for key, v in rows if key == k and v is not None] for k in (None, "a", "b", "one")}
+    assert set(got) == {(k, q) for k in known for q in qs}
+    assert all(abs(got[k, q] - np.quantile(v, q)) < 1e-9 for k, v in known.items() for q in qs)
+    assert tools.exact_quantiles(df.limit(0), "x", qs).count() == 0
+    assert {x.quantile: x.x for x in tools.exact_quantiles(df.filter("key0 = 'one'"), "x", qs).collect()} == dict.fromkeys(qs, 5.0)
+
+
 def test_columnar_payloads_are_those_of_the_parser():
     """Payloads of several layouts, cut, changed and random ones: each is what it is when it is parsed alone."""
     import random
