@@ -15,6 +15,7 @@ from ..functions.exact_noise import discrete_laplace
 from ..functions.folders import new_folder
 
 TOLERANCE = 1e-4
+PARAMS = "privacy_params"  # the key of a metric's metadata
 
 
 @dataclass(frozen=True)
@@ -86,12 +87,15 @@ def secure_noise(params: PrivacyParams) -> Column:
 
 
 def add_noise(sums: DataFrame, params: PrivacyParams, noise: str | Callable[[Column], Column] = "secure", seed: int | None = None) -> DataFrame:
-    """Adds ``metric``: the sum plus noise. ``noise``: ``none``, ``secure``, ``prng``, or a function of the sum."""
+    """Adds ``metric``: the sum plus noise. ``noise``: ``none``, ``secure``, ``prng``, or a function of the sum.
+
+    The column says what it was noised with; Parquet files keep that (``params_of``).
+    """
     if callable(noise):
         metric = noise(F.col("unnoised_metric"))
     else:
         metric = F.col("unnoised_metric") + {"none": lambda: F.lit(0), "secure": lambda: secure_noise(params), "prng": lambda: geometric_difference(params, seed)}[noise]()
-    return sums.withColumn("metric", metric.cast("bigint"))
+    return with_params(sums.withColumn("metric", metric.cast("bigint")), params)
 
 
 def released(noised: DataFrame, path: str | None = None) -> DataFrame:
@@ -126,9 +130,32 @@ def optional_domain(sums: DataFrame, domain: DataFrame | None, params: PrivacyPa
     return inside.unionByName(outside if skip_threshold else apply_threshold(outside, params.threshold()))
 
 
-def union_results(a: DataFrame, b: DataFrame, params_a: PrivacyParams, params_b: PrivacyParams) -> DataFrame:
-    """Both results, refused unless their privacy parameters are equal."""
-    if params_a != params_b:
+def with_params(results: DataFrame, params: PrivacyParams) -> DataFrame:
+    """``results`` whose column ``metric`` says that it has noise of these parameters."""
+    return results.withMetadata("metric", {PARAMS: {"epsilon": float(params.epsilon), "l1": int(params.l1), "delta": float(params.delta)}})
+
+
+def params_of(results: DataFrame) -> PrivacyParams | None:
+    """The parameters that ``results`` say they were noised with, None if they say nothing."""
+    said = results.schema["metric"].metadata.get(PARAMS) if "metric" in results.columns else None
+    return PrivacyParams(**said) if said else None
+
+
+def union_results(a: DataFrame, b: DataFrame, params_a: PrivacyParams | None = None, params_b: PrivacyParams | None = None) -> DataFrame:
+    """Both results, refused unless their privacy parameters are equal.
+
+    Results say their parameters themselves, also when they are read from Parquet. Parameters are given for results that
+    say nothing, and have to be those that results say.
+    """
+    found = []
+    for results, given in ((a, params_a), (b, params_b)):
+        said = params_of(results)
+        if said and given and said != given:
+            raise ValueError(f"results have noise of {said}, not of {given}")
+        if not said and not given:
+            raise ValueError("results without known privacy parameters cannot be joined")
+        found.append(said or given)
+    if found[0] != found[1]:
         raise ValueError("results with different privacy parameters cannot be joined")
     return a.unionByName(b)
 

@@ -14,7 +14,7 @@ from ..operators import budget, errors, histogram, release, tools, validate
 from ..operators.ledger import Ledger
 from ..schemas import FACTS, UNIT
 from ..sources.readers import read_debug, read_domain, read_summary
-from ..sources.writers import export_budget_units, records_per_shard, write_domain, write_reports, write_sharded, write_summary
+from ..sources.writers import damaged_shards, export_budget_units, records_per_shard, write_domain, write_reports, write_sharded, write_summary
 from ..streaming import collect
 from ..streaming.close import HourlyRelease
 from .derived import domain, key_sql, reports, table, with_sql
@@ -398,6 +398,25 @@ def sharded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.agg(F.count("*").alias("n_rows"), F.sum("metric").alias("total"), F.count_distinct("name").alias("n_shards"), F.min("name").alias("first_name"))
 
 
+@query("published_union", with_sql("SELECT count(*) AS n_rows, (count(*) * 2)::BIGINT AS n_union, true AS unlike_refused, 0::BIGINT AS n_damaged FROM domain"))
+def published_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results published in shards and read again: those of equal noise are joined, unlike ones refused by what they say
+    of themselves; all shards are those of their manifests."""
+    path = new_folder(spark, "published")
+    sums = release.join_domain(_sums(spark, sf_dir), domain(spark, sf_dir))
+    for name, params in (("a", PARAMS), ("b", PARAMS), ("c", replace(PARAMS, epsilon=2.0))):
+        write_sharded(release.released(release.add_noise(sums, params)), f"{path}/{name}", 20_335)
+    a, b, c = (read_summary(spark, f"{path}/{name}") for name in "abc")
+    try:
+        release.union_results(a, c)
+        refused = False
+    except ValueError:
+        refused = True
+    damaged = sum(len(damaged_shards(spark, f"{path}/{name}")) for name in "abc")
+    counts = a.agg(F.count("*").alias("n_rows")).crossJoin(release.union_results(a, b).agg(F.count("*").alias("n_union")))  # a row each
+    return counts.select("*", F.lit(refused).alias("unlike_refused"), F.lit(damaged).cast("long").alias("n_damaged"))
+
+
 @query("noised_summary")
 def noised_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A real release: noise is drawn once and written before it is used."""

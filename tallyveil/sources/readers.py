@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import AggregationError
+from ..functions import files
 from ..functions.buckets import norm_bucket
+from ..operators.release import PrivacyParams, params_of, with_params
 from ..schemas import DEBUG, DOMAIN, REPORT, SUMMARY
+from .writers import MANIFEST, STAGING
 
 
 def _load(spark: SparkSession, paths: str | list[str], fmt: str, schema) -> DataFrame:
@@ -45,10 +50,38 @@ def read_domain(spark: SparkSession, paths: str | list[str], fmt: str = "parquet
     return raw.select(checked.alias("bucket")).distinct()
 
 
+def _published(spark: SparkSession, paths: str | list[str], fmt: str, schema: str) -> DataFrame:
+    """Results of one or many folders. Where a folder has a manifest, its files alone; one whose publication was cut off
+    fails. The column ``metric`` keeps what Parquet files or manifests say of its noise; unlike noise is refused."""
+    chosen, said = [], []
+    for path in [paths] if isinstance(paths, str) else list(paths):
+        names = files.names(spark, path) if not any(c in path for c in "*?{[") else []
+        if MANIFEST in names:
+            manifest = json.loads(files.read_text(spark, f"{path}/{MANIFEST}"))
+            chosen += [f"{path}/{f['name']}" for f in manifest["files"]]
+            if manifest["params"]:
+                said.append(PrivacyParams(**manifest["params"]))
+        elif any(n.startswith(STAGING) for n in names):
+            raise AggregationError("INPUT_DATA_READ_FAILED", f"{path} is not published yet")
+        else:
+            chosen.append(path)
+            if fmt == "parquet" and names:
+                try:
+                    found = params_of(spark.read.parquet(path))
+                except AnalysisException:  # no shards: told below
+                    found = None
+                said += [found] if found else []
+    df = _load(spark, chosen, fmt, schema)
+    if len(set(said)) > 1:
+        raise ValueError("results with different privacy parameters cannot be joined")
+    return with_params(df, said[0]) if said and "metric" in df.columns else df
+
+
 def read_summary(spark: SparkSession, paths: str | list[str], fmt: str = "parquet") -> DataFrame:
-    return _load(spark, paths, fmt, SUMMARY)
+    """Buckets and noisy metrics of published results; the parameters of their noise stay with the column."""
+    return _published(spark, paths, fmt, SUMMARY)
 
 
 def read_debug(spark: SparkSession, paths: str | list[str], fmt: str = "parquet") -> DataFrame:
     """Debug rows with ``metric``, the unnoised metric plus noise."""
-    return _load(spark, paths, fmt, DEBUG).withColumn("metric", F.col("unnoised_metric") + F.col("noise"))
+    return _published(spark, paths, fmt, DEBUG).withColumn("metric", F.col("unnoised_metric") + F.col("noise"))

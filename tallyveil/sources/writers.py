@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import files
 from ..functions.buckets import bucket_decimal, bucket_hex, bucket_to_string, strip_bucket
-from ..operators.release import debug_columns
+from ..operators.release import debug_columns, params_of
 
+MANIFEST, STAGING = "_manifest.json", "_staging-"
 ROW_BYTES, HEADER_BYTES = 20, 335
 DEFAULT_SHARD_BYTES, MIN_SHARD_BYTES, MAX_SHARD_BYTES = 100_000_000, 355, 5_000_000_000
 
@@ -79,27 +83,58 @@ def shard_names(base: str, n: int) -> list[str]:
 def write_sharded(results: DataFrame, path: str, shard_bytes: int = DEFAULT_SHARD_BYTES, fmt: str = "parquet", debug: bool = False) -> list[str]:
     """The summary (with ``debug`` the debug report, in its own folder) in files named ``<name>-<i>-of-<n>``.
 
-    Their number follows from the fixed size of a row and the number of rows. Files are written beside the place
-    that they are then renamed to; names that are there already are an error. ``results`` should be a written table.
+    Their number follows from the fixed size of a row and the number of rows. ``_manifest.json`` is written last and
+    lists them with rows and digests; until then readers see nothing, and another run starts the publication anew. A
+    path that is published already is an error. ``results`` should be a written table; one writer has a path at a time.
     """
+    spark = results.sparkSession
     out = debug_columns(results) if debug else results.select("bucket", "metric")
+    said = params_of(results)
     out = out.withColumn("bucket", strip_bucket("bucket"))
     path = (debug_path(path) if debug else path).rstrip("/")
+    if files.exists(spark, f"{path}/{MANIFEST}"):
+        raise FileExistsError(f"{path} is published")
+    left = [n for n in files.names(spark, path) if n.startswith(STAGING)]
+    taken = files.names(spark, path)
+    if taken and not left:
+        raise FileExistsError(f"{path} holds other files")
+    base = path.rpartition("/")[2]
+    for name in [n for n in taken if n.startswith(f"{base}-")] + left:  # of a run that was cut off; its mark goes last
+        files.delete(spark, f"{path}/{name}")
     n = shard_count(out.count(), records_per_shard(shard_bytes))
-    staging = f"{path}/_staging-{uuid.uuid4().hex}"
+    staging = f"{path}/{STAGING}{uuid.uuid4().hex}"
     out.repartition(n).write.format(fmt).save(staging)
-    jvm, conf = out.sparkSession._jvm, out.sparkSession._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(conf)
-    parts = sorted(x.getPath().getName() for x in fs.listStatus(at(staging)) if x.getPath().getName().startswith("part-"))
-    names = [f"{name}.{fmt}" for name in shard_names(path.rpartition("/")[2], len(parts))]
+    parts = [x for x in files.names(spark, staging) if x.startswith("part-")]
+    names = [f"{name}.{fmt}" for name in shard_names(base, len(parts))]
+    sums = {}
+    if fmt == "parquet":
+        rows = spark.read.schema(out.schema).parquet(staging).groupBy(F.col("_metadata.file_name").alias("file"))
+        sums = {r.file: (r.n, f"{r.digest:x}") for r in rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*out.columns)).alias("digest")).collect()}  # a row a shard
+    listed = []
     for part, name in zip(parts, names, strict=True):
-        if not fs.rename(at(f"{staging}/{part}"), at(f"{path}/{name}")):
+        if not files.move_once(spark, f"{staging}/{part}", f"{path}/{name}"):
             raise FileExistsError(f"{path}/{name}")
-    fs.delete(at(staging), True)
+        listed.append({"name": name, "rows": sums.get(part, (0, "0"))[0], "digest": sums.get(part, (0, "0"))[1]} if sums or fmt == "parquet" else {"name": name})
+    manifest = {"files": listed, "params": None if said is None else asdict(said)}
+    if not files.create_once(spark, f"{path}/{MANIFEST}", json.dumps(manifest) + "\n"):
+        raise FileExistsError(f"{path} is published")
+    files.delete(spark, staging)
     return names
 
 
+def damaged_shards(spark: SparkSession, path: str) -> list[str]:
+    """Names of shards of a publication (Parquet) that are gone, or whose rows are not those that its manifest lists."""
+    path = path.rstrip("/")
+    listed = {f["name"]: (f["rows"], f["digest"]) for f in json.loads(files.read_text(spark, f"{path}/{MANIFEST}"))["files"]}
+    there = [n for n in files.names(spark, path) if n in listed]
+    found = {}
+    if there:
+        df = spark.read.parquet(*(f"{path}/{n}" for n in there))
+        rows = df.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("digest")).collect()
+        found = dict.fromkeys(there, (0, "0")) | {r.file: (r.n, f"{r.digest:x}") for r in rows}
+    return sorted(n for n, want in listed.items() if found.get(n) != want)
+
+
 def write_exhausted_info(info: DataFrame, path: str) -> None:
     """One small JSON file: fields in alphabetical order, times as epoch numbers."""
     seconds = lambda c: (F.unix_micros(c) / 1_000_000).cast("double")
