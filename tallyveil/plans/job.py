@@ -166,12 +166,13 @@ def _settle(spark: SparkSession, job: AggregationJob, reports: DataFrame, noised
     ledger = Ledger(spark, job.ledger)
     try:
         if job.debug_run:
-            lacking = ledger.lacking(units)
+            known = ledger.committed(units, batch, request)  # a real run would publish it again
+            lacking = units.limit(0) if known else ledger.lacking(units)
             code = "PRIVACY_BUDGET_EXHAUSTED" if lacking.take(1) else "SUCCESS"
             return _Settled(release.released(noised), code, units, lacking)
         receipt = ledger.consume(units, batch, release=write, request=request)
     except AggregationError as e:
-        return _Settled(None, e.code, units, message=str(e))
+        return _Settled(release.released(noised) if job.debug_run else None, e.code, units, message=str(e))
     except SPARK_ERRORS:
         if failed:
             raise
