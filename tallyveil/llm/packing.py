@@ -3,7 +3,7 @@
 Documents are tokenised and cut at the sequence length. Pieces are dealt to partitions of bounded size; each
 is packed by best-fit decreasing and certified against a lower bound from dual feasible functions. Partitions
 above their bound give up their loosest bins, certified ones only the loosest one (their bound is rounded up);
-the documents in them are dealt anew and packed again, until one partition is left or a round brings nothing.
+the documents in them are dealt anew and packed again, until one partition is left or ``ROUNDS`` rounds are over.
 """
 
 from __future__ import annotations
