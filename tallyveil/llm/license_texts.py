@@ -1,4 +1,6 @@
-"""Notices and texts of public licenses, as their publishers word them."""
+"""Notices and texts of public licenses, as their publishers word them (whole texts: ``license_files``)."""
+
+from pathlib import Path
 
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
 _MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -10,6 +12,18 @@ _APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you
 _GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
 _GPL_WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
 
+
+def _gnu(name: str, version: str, what: str = "program") -> str:
+    """The notice of another license of the family."""
+    return _GPL.replace("General", name).replace("version 3", f"version {version}").replace("program", what)
+
+
+_EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"
+_SPDX = [
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+]
+
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-text": _MIT,
@@ -37,4 +51,15 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright to the public domain under CC0 1.0.",
+    "EPL-2.0": f"{_EPL}.",
+    "EPL-2.0-header": f"{_EPL} which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "GPL": "licensed under the GNU General Public License",
+    "LGPL": "licensed under the GNU Lesser General Public License",
+    "AGPL": "licensed under the GNU Affero General Public License",
+    "GPL-2.0-header": _gnu("General", "2"),
+    "LGPL-2.1-header": _gnu("Lesser General", "2.1", "library"),
+    "LGPL-3.0-header": _gnu("Lesser General", "3", "library"),
+    "AGPL-3.0-header": _gnu("Affero General", "3"),
 }
+TEMPLATES |= {f"SPDX-{name}": f"SPDX-License-Identifier: {name}" for name in _SPDX}
+TEMPLATES |= {f"{path.stem}-whole": path.read_text("utf-8") for path in sorted((Path(__file__).parent / "license_files").glob("*.txt"))}

@@ -6,10 +6,16 @@ text that holds as many template words in a row as winnowing guarantees is a can
 diagonals are a segment; segments that go on in both template and text, up to GAP words apart, are a chain, so
 inserted or left-out words do not cut a template in two. Over the diagonals of each chain a banded alignment of
 template and text gives the matched words, their coverage and the span.
+
+Sister licenses differ in few words, so coverage alone cannot tell them: names, versions and tags (``deciding``) of a
+template must stand in the span too, and no others. Whole texts of licenses (LONG words or more) may lack their title;
+of them the names of sister licenses must occur about as often as in the template.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +31,14 @@ GRAM, WINNOW = 3, 2  # runs of GRAM + WINNOW - 1 template words are always found
 BAND = 6  # diagonals on either side of a chain's
 GAP = 48  # words that may be inserted or left out between two segments
 MIN_COVERAGE = 0.8
+LONG = 500  # words of a whole text
+LEAST_HITS = 16  # a whole text is a candidate from one in so many of its index entries on, in one chain
+_DECIDING = re.compile(
+    r"spdx-license-identifier:?[\s*#/]*(?P<tag>[^\s*/;,)]+)|\bcc[ -]by(?P<cc>(?:[ -](?:nc|sa|nd))*[ -]\d+(?:\.\d+)*)"
+    r"|\b(?:version|v)[\s.*#/]*(?P<version>\d+(?:\.\d+)*)|\blicense,?\s+(?P<number>\d+\.\d+)"
+    r"|\b(?P<name>lesser|library(?=\W+general)|affero|mit|bsd|isc|apache|mozilla|eclipse|gnu|cc0)\b"
+)
+_SISTERS = ("lesser", "library", "affero")
 INDEX_BYTES = 32 << 20  # bound of the broadcast index; more templates are refused
 
 _ALNUM = np.zeros(256, bool)
@@ -48,6 +62,31 @@ def template_words(text: str) -> np.ndarray:
     return span_hashes(data, starts, ends)
 
 
+def deciding(text: str) -> Counter[str]:
+    """Names, versions (2 and 2.0 are one) and tags in a text, and how often each occurs."""
+    found: Counter[str] = Counter()
+    for x in _DECIDING.finditer(text.lower()):
+        if x["tag"]:
+            found["tag " + x["tag"].rstrip(".")] += 1
+        elif x["cc"]:
+            found["cc-by" + x["cc"].replace(" ", "-")] += 1
+        elif x["name"]:
+            found[x["name"]] += 1
+        else:
+            found["version " + re.sub(r"(\.0+)+$", "", x["version"] or x["number"])] += 1
+    return found
+
+
+def decided(template: Counter[str], n_words: int, span: str) -> bool:
+    """Whether a span of text names what a template of ``n_words`` words names; templates that name nothing always agree."""
+    if not template:
+        return True
+    here = deciding(span)
+    if n_words < LONG:
+        return set(here) == set(template)
+    return all(template[x] - 4 <= 2 * here[x] <= 4 * template[x] for x in _SISTERS)  # a few may be damaged or cut off
+
+
 def winnowed(words: np.ndarray) -> list[tuple[int, int]]:
     """(hash, position) of the smallest gram of every WINNOW grams in a row; shorter templates are one gram."""
     width = min(GRAM, len(words))
@@ -84,7 +123,14 @@ class Index:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(n for n, t in templates.items() if t and len(template_words(t)))
         self.words = [template_words(templates[n]) for n in self.names]
-        entries = sorted((h, i, at) for i, w in enumerate(self.words) for h, at in winnowed(w))
+        self.deciding = [deciding(templates[n]) for n in self.names]
+        picked = [winnowed(w) for w in self.words]
+        for i, w in enumerate(self.words):
+            if len(w) >= LONG:  # phrases that a whole text repeats would put hits on all diagonals
+                times = Counter(h for h, _ in picked[i])
+                picked[i] = [x for x in picked[i] if times[x[0]] == 1]
+        self.least = np.array([max(1, len(p) // LEAST_HITS) if len(w) >= LONG else 1 for p, w in zip(picked, self.words, strict=True)], np.int64)
+        entries = sorted((h, i, at) for i, p in enumerate(picked) for h, at in p)
         self.hashes = np.array([e[0] for e in entries], np.uint64)
         self.template, self.at = np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries], np.int64)
         self.widths = sorted({min(GRAM, len(w)) for w in self.words})
@@ -97,14 +143,25 @@ class Index:
         for width in self.widths:
             h, document, at = window_hashes(words, first, width)
             a, b = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, "right")
-            for i in np.flatnonzero(b > a).tolist():
-                for e in range(a[i], b[i]):
-                    found.setdefault((int(document[i]), int(self.template[e])), set()).add((int(at[i] - self.at[e]), int(at[i])))
-        return [(*key, *band) for key, hits in sorted(found.items()) for band in chains(sorted(hits), len(self.words[key[1]]))]
-
-
-def chains(hits: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    """First and last diagonal of each chain of hits (diagonal, text word), sorted, of a template of ``length`` words.
+            n = b - a
+            gram = np.repeat(np.arange(len(h)), n)
+            entry = np.arange(len(gram)) - np.repeat(np.cumsum(n) - n, n) + a[gram]
+            key = document[gram].astype(np.int64) * len(self.names) + self.template[entry]
+            _, place, times = np.unique(key, return_inverse=True, return_counts=True)
+            enough = times[place] >= self.least[self.template[entry]]
+            gram, entry = gram[enough], entry[enough]
+            for g, e in zip(gram.tolist(), entry.tolist(), strict=True):
+                found.setdefault((int(document[g]), int(self.template[e])), set()).add((int(at[g] - self.at[e]), int(at[g])))
+        return [
+            (*key, low, high)
+            for key, hits in sorted(found.items())
+            for low, high, n in chains(sorted(hits), len(self.words[key[1]]))
+            if n >= self.least[key[1]]
+        ]
+
+
+def chains(hits: list[tuple[int, int]], length: int) -> list[tuple[int, int, int]]:
+    """First and last diagonal, and number of hits, of each chain of hits (diagonal, text word), sorted, of a template of ``length`` words.
 
     A segment continues the one before that gives the longest chain: it begins and ends later in the text and in the
     template. Every segment is in one chain at least.
@@ -128,22 +185,31 @@ def chains(hits: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     for j in sorted(range(len(spans)), key=lambda j: (-score[j], j)):
         if j in used:
             continue
-        low, high = spans[j][4], spans[j][5]
+        low, high, n = spans[j][4], spans[j][5], score[j]
         while j >= 0:
             used.add(j)
             low, high = min(low, spans[j][4]), max(high, spans[j][5])
             j = before[j]
-        out.append((low, high))
+        out.append((low, high, n))
     return out
 
 
+def _span_text(data: np.ndarray, offsets: np.ndarray, document: int, start: int, end: int) -> str:
+    """Text of a span and of what hangs on to its last word, as in ``GPL-2.0-only``."""
+    rest = bytes(data[end : min(end + 64, int(offsets[document + 1]))]).split(maxsplit=1)
+    hangs = rest[0] if rest and not bytes(data[end : end + 1]).isspace() else b""
+    return (bytes(data[start:end]) + hangs).decode("utf-8", "ignore")
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """One row a match: doc_id, license, coverage, n_matched, start_word, end_word, start_char, end_char, matched.
 
     ``coverage`` is the share of the template's words matched in order, from ``min_coverage`` on. Of matches that
     overlap in a text, the one with most matched words stays, less the template's unmatched ones and a quarter of the
     span's (ties: by name).
-    Words inserted into a template, or left out of it, up to GAP in one place, do not hide it. Characters are code points; ``matched`` is the text of the span. Null or empty texts and empty tables give
+    Words inserted into a template, or left out of it, up to GAP in one place, do not hide it, but a notice that names
+    another version or a sister license is not one of the template; ``GPL``, ``LGPL`` and ``AGPL`` alone are families
+    named without a known version, ``SPDX-...`` tags (of joined ones, the first), ``...-whole`` whole texts. Characters are code points; ``matched`` is the text of the span. Null or empty texts and empty tables give
     no rows; null ids and repeated rows stay as they are.
     """
     small_batches(docs.sparkSession)
@@ -165,7 +231,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
                     begin, end = max(low_word, first[document]), min(high_word, first[document + 1])
                     pad = np.zeros(begin - low_word, np.uint64)  # before the text's first word: matches nothing
                     k, a, b = align(index.words[t], np.concatenate([pad, words[begin:end]]), high_start - low_start + 2 * BAND + 1, BAND)
-                    if k >= min_coverage * len(index.words[t]):
+                    if k >= min_coverage * len(index.words[t]) and decided(index.deciding[t], len(index.words[t]), _span_text(data, offsets, document, starts[low_word + a], ends[low_word + b - 1])):
                         matches.setdefault(document, []).append((2 * k - len(index.words[t]) - (b - a - k) / 4, k, index.names[t], low_word + a, low_word + b, len(index.words[t])))
                 for document, found in sorted(matches.items()):
                     kept: list[tuple] = []

@@ -711,3 +711,77 @@ def test_templates_with_insertions_and_gaps_are_found(spark):
     for x in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect():
         got[x.doc_id].add(x.license)
     assert sum(want[k] in got[k] for k in want) >= 0.9 * len(want) and not any(k >= 9000 for k in got)
+
+
+def test_sister_licenses_are_not_confused(spark):
+    """Notices of sister licenses, families without a version, tags, and unknown versions."""
+    t = licenses.TEMPLATES
+    notice = "{} is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    docs, want = [], []
+
+    def case(text, *names):
+        docs.append((len(docs), text))
+        want.append(set(names))
+
+    case(notice.format("This library", "Lesser General Public License", "2.1"), "LGPL-2.1-header")
+    case(notice.format("This library", "Lesser General Public License", "3"), "LGPL-3.0-header")
+    case(notice.format("This program", "General Public License", "2"), "GPL-2.0-header")
+    case(notice.format("This program", "General Public License", "3"), "GPL-header")
+    case(notice.format("This program", "Affero General Public License", "3"), "AGPL-3.0-header")
+    case(notice.format("This program", "General Public License", "7"), "GPL")
+    case("It is licensed under the GNU General Public License.", "GPL")
+    case("It is licensed under the GNU Lesser General Public License.", "LGPL")
+    case("This work is licensed under the GNU General Public License, version 2.1.", "GPL")
+    case("Released under the BSD License.")
+    case("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0")
+    case("Licensed under CC BY 3.0.")
+    case("# SPDX-License-Identifier: GPL-2.0-or-later\nint main()", "SPDX-GPL-2.0-or-later")
+    case("/* SPDX-License-Identifier: MIT */", "SPDX-MIT")
+    case("SPDX-License-Identifier: MIT-Modern-Variant")
+    case("// SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", "SPDX-Apache-2.0")
+    case(t["EPL-2.0"], "EPL-2.0")
+    case(t["MPL-2.0-header"].replace("2.0", "1.1"))
+    for name, text in t.items():
+        if licenses.deciding(text) and len(licenses.template_words(text)) < licenses.LONG:
+            case(f"so\n{text}\n", name)
+    got = defaultdict(set)
+    for x in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got[x.doc_id].add(x.license)
+    wrong = [(text, got[i], want[i]) for i, text in docs if got[i] != want[i]]
+    assert not wrong
+
+
+def test_whole_license_texts(spark):
+    """Whole texts, without titles, within comments, damaged, twice in a text; one whose sister has no template is not taken for it."""
+    r = random.Random(9)
+    whole = {n: t for n, t in licenses.TEMPLATES.items() if n.endswith("-whole")}
+    assert {"Apache-2.0-whole", "GPL-2.0-whole", "GPL-3.0-whole", "LGPL-2.1-whole", "LGPL-3.0-whole", "MPL-2.0-whole"} <= set(whole)
+    docs, want = [], {}
+    for name, text in whole.items():
+        lines = text.splitlines()
+        words_ = text.split()
+        forms = [
+            text,
+            "\n".join(lines[5:]),
+            "\n".join(f" * {x}" for x in lines),
+            " ".join(w for w in words_ if r.random() > 0.04),
+            f"{sentence(r, 400)}\n{text}\n{sentence(r, 400)}",
+            text[: int(len(text) * 0.9)],
+        ]
+        if name == "Apache-2.0-whole":
+            body = text[text.index("1. Definitions") : text.index("END OF TERMS")]
+            forms.append(body)
+        for form in forms:
+            want[len(docs)] = name
+            docs.append((len(docs), form))
+    affero = len(docs)
+    docs.append((affero, whole["GPL-3.0-whole"].replace("General Public", "Affero General Public")))
+    twice = len(docs)
+    docs.append((twice, f"{whole['MPL-2.0-whole']} {sentence(r, 50)} {whole['MPL-2.0-whole']} {sentence(r, 50)} {whole['GPL-2.0-whole']}"))
+    got = defaultdict(list)
+    for x in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect():
+        got[x.doc_id].append(x.license)
+    wrong = [(i, want[i], got[i]) for i in want if [n for n in got[i] if n.endswith("-whole")] != [want[i]]]
+    assert not wrong
+    assert not [n for n in got[affero] if n.endswith("-whole")]
+    assert sorted(n for n in got[twice] if n.endswith("-whole")) == ["GPL-2.0-whole", "MPL-2.0-whole", "MPL-2.0-whole"]
