@@ -9,6 +9,7 @@ buckets that it touches, and of them aggregates its own documents only.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,7 +24,7 @@ from .words import tidy
 
 _KEYS = ["doc_id", "version"]
 _GROUP = ["source", "lang", "version"]
-SPREAD = 2  # tasks that write a bucket
+TASK_ROWS = 250_000  # rows of a batch that a task writes
 _ROWS = "doc_id long, version string, source string, lang string, d_docs long, d_tokens long"
 
 
@@ -49,9 +50,9 @@ class TokenCounts:
         """(batch, folder) of each committed batch that no compaction has replaced."""
         if not _exists(self.spark, f"{self.path}/commits"):
             return []
-        rows = self.spark.read.schema("batch string, folder string, replaces array<string>").parquet(f"{self.path}/commits").collect()  # a row a batch since compaction
-        gone = {x for r in rows for x in r.replaces or []}
-        return [(r.batch, r.folder) for r in rows if r.folder not in gone]
+        rows = self.spark.read.schema("batch string, folder string, replaces array<string>").parquet(f"{self.path}/commits")
+        gone = rows.select(F.explode("replaces").alias("folder")).distinct()
+        return [(r.batch, r.folder) for r in rows.join(gone, "folder", "left_anti").collect()]  # a row a batch since compaction
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
@@ -74,15 +75,19 @@ class TokenCounts:
         """Commit the batch; False, and nothing done, if it already is."""
         if self._known(batch):
             return False
-        return self._commit(batch, self._signed(changes), [])
+        changes = self._ranked(changes)
+        return self._commit(batch, self._signed(changes), [], changes.count())
 
     def _known(self, batch: str) -> bool:
         return _exists(self.spark, f"{self.path}/commits") and bool(self.spark.read.schema("batch string").parquet(f"{self.path}/commits").filter(F.col("batch") == batch).take(1))
 
-    def _signed(self, changes: DataFrame) -> DataFrame:
+    def _ranked(self, changes: DataFrame) -> DataFrame:
+        """The change that counts of each document and version, as a table."""
         rank = Window.partitionBy(*_KEYS).orderBy(F.when(F.col("op") == "delete", 0).otherwise(1), F.desc("n_tokens"), "op", "source", "lang")
         changes = changes.select(F.col("doc_id").cast("long"), F.col("version"), F.col("source"), F.col("lang"), "op", F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))
-        changes = saved(changes.withColumn("rank", F.row_number().over(rank)).filter("rank = 1"), "changes")
+        return saved(changes.withColumn("rank", F.row_number().over(rank)).filter("rank = 1"), "changes")
+
+    def _signed(self, changes: DataFrame) -> DataFrame:
         old = self.current(changes).select(F.col("doc_id").alias("o_id"), F.col("version").alias("o_version"), F.struct("source", "lang", "n_tokens").alias("old"))
         both = changes.join(old, F.col("doc_id").eqNullSafe(F.col("o_id")) & F.col("version").eqNullSafe(F.col("o_version")), "left")
         there, revise = F.col("old").isNotNull(), F.col("op") == "revise"
@@ -92,11 +97,12 @@ class TokenCounts:
         signed = both.select(F.explode(F.array_compact(F.array(minus, plus))).alias("x")).select("x.*")
         return signed.groupBy("doc_id", *_GROUP).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).filter("d_docs != 0 OR d_tokens != 0")
 
-    def _commit(self, batch: str, rows: DataFrame, replaces: list[str]) -> bool:
+    def _commit(self, batch: str, rows: DataFrame, replaces: list[str], n_rows: int) -> bool:
         folder = uuid.uuid4().hex
         where = f"{self.path}/rows/folder={folder}"
         rows = rows.select("doc_id", "version", "source", "lang", "d_docs", "d_tokens", self._bucket().alias("bucket"))
-        rows.repartition("bucket", F.pmod(F.xxhash64("doc_id", "version"), F.lit(SPREAD))).write.partitionBy("bucket").parquet(where)
+        spread = max(1, math.ceil(n_rows / TASK_ROWS / self.buckets))  # tasks that write a bucket
+        rows.repartition(spread * self.buckets, "bucket", F.pmod(F.xxhash64("doc_id", "version"), F.lit(spread))).write.partitionBy("bucket").parquet(where)
         rows = self.spark.read.schema(f"{_ROWS}, bucket int").parquet(where)
         rows.groupBy(*_GROUP).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).write.parquet(f"{self.path}/sums/{folder}")
         entry = self.spark.createDataFrame([(batch, folder, replaces)], "batch string, folder string, replaces array<string>")
@@ -115,14 +121,16 @@ class TokenCounts:
         live = [folder for _, folder in self.committed()]
         if len(live) < 2:
             return False
-        rows = self._rows().groupBy("doc_id", *_GROUP).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).filter("d_docs != 0 OR d_tokens != 0")
-        return self._commit(f"compacted-{uuid.uuid4().hex}", rows, live)
+        every = self._rows()
+        rows = every.groupBy("doc_id", *_GROUP).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).filter("d_docs != 0 OR d_tokens != 0")
+        return self._commit(f"compacted-{uuid.uuid4().hex}", rows, live, every.count())
 
 
 def count_tokens(docs: DataFrame, counters: dict[str, Callable[[str | None], int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the text, a row a document and version: columns doc_id, source, lang, version, n_tokens.
 
-    ``counters`` maps a version to a function of a whole text, null included.
+    ``counters`` maps a version to a function of a whole text, null included; long texts are counted whole. Null ids,
+    sources and languages stay null, repeated rows are counted each, an empty table gives no rows, other columns are left.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
