@@ -22,7 +22,7 @@ from ..functions.payload import decode_payload
 from ..functions.shared_info import parse_shared_info
 from ..operators import budget, errors, histogram, release, validate
 from ..operators.ledger import Ledger
-from ..sources.readers import read_domain, read_reports
+from ..sources.readers import domain_buckets, read_bucketed_domain, read_domain, read_reports
 from ..sources.writers import write_exhausted_info, write_sharded
 
 SPARK_ERRORS = (PySparkException, Py4JError)
@@ -57,7 +57,7 @@ class AggregationJob:
     domain_optional: bool = False
     skip_threshold: bool = False
     report_format: str = "parquet"
-    domain_format: str = "parquet"
+    domain_format: str = "parquet"  # or text, json, or "bucketed": one folder of write_bucketed_domain
     ledger: str | None = None
     budget: str = "ledger"  # or "unlimited"
     batch: str | None = None
@@ -90,6 +90,8 @@ class AggregationJob:
                 raise ValueError("the output domain's location is missing")
             if self.announced is not None and self.announced < 0:
                 raise ValueError("input_report_count is negative")
+            if self.domain_format == "bucketed" and self.domain is not None and not isinstance(self.domain, str):
+                raise ValueError("a bucketed domain is one folder")
             _ = self.filtering_ids, self.percent, self.params.with_debug_epsilon(self.debug_privacy_epsilon)
         except ValueError as e:
             raise AggregationError("INVALID_JOB", str(e)) from e
@@ -195,7 +197,10 @@ def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame
     params = job.params.with_debug_epsilon(job.debug_privacy_epsilon)
     if reports is None:
         reports = parse_reports(read_reports(spark, job.reports, job.report_format))
-    if domain is None and job.domain:
+    n_buckets = None
+    if domain is None and job.domain and job.domain_format == "bucketed":
+        domain, n_buckets = read_bucketed_domain(spark, job.domain), domain_buckets(spark, job.domain)
+    elif domain is None and job.domain:
         domain = read_domain(spark, job.domain, job.domain_format)
     elif domain is not None:
         domain = release.read_domain_keys(domain)
@@ -213,6 +218,8 @@ def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame
         order = [c for c in ("source_file",) if c in valid.columns]
         unique = histogram.dedupe_reports(valid, order=[*order, F.to_json("shared_info"), F.xxhash64("data")]).persist(StorageLevel.DISK_ONLY)
         sums = histogram.histogram(histogram.explode_contributions(unique, job.filtering_ids))
+        if n_buckets:  # the sums go to the domain's keys, which stay where they lie
+            sums = sums.repartition(n_buckets, "bucket")
         if job.domain_optional:
             noised = release.optional_domain(sums, domain, params, job.noise, job.skip_threshold, job.seed, job.debug_run)
         elif job.debug_run:

@@ -14,7 +14,7 @@ from ..operators import budget, errors, histogram, release, tools, validate
 from ..operators.ledger import Ledger
 from ..schemas import FACTS, UNIT
 from ..sources.readers import read_debug, read_domain, read_summary
-from ..sources.writers import damaged_shards, export_budget_units, records_per_shard, write_domain, write_reports, write_sharded, write_summary
+from ..sources.writers import damaged_shards, export_budget_units, records_per_shard, write_bucketed_domain, write_domain, write_reports, write_sharded, write_summary
 from ..streaming import collect
 from ..streaming.close import HourlyRelease
 from .derived import domain, key_sql, reports, table, with_sql
@@ -462,6 +462,16 @@ def _written_job(spark: SparkSession, sf_dir: str, path: str, **more) -> Aggrega
     return AggregationJob(**(given | origin | more))
 
 
+@query("bucketed_domain_job", ORACLES["aggregation_job"])
+def bucketed_domain_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job whose domain was laid out by key once: its keys are joined as they lie."""
+    path = new_folder(spark, "bucketed")
+    job = _written_job(spark, sf_dir, path, domain=f"{path}/keys", domain_format="bucketed")
+    write_bucketed_domain(read_domain(spark, f"{path}/domain"), f"{path}/keys", 16)
+    run_aggregation(spark, job)
+    return _hex(read_summary(spark, f"{path}/out").withColumn("bucket", buckets.norm_bucket("bucket")))
+
+
 _JOB_SQL = "FROM reports WHERE {origin} AND api <> 'unknown-api' AND ts > TIMESTAMP '2024-01-11' AND id IN (0, 1) AND NOT (bucket = repeat('0', 32) AND value = 0)"
 
 

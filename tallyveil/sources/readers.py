@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.errors import AnalysisException
@@ -13,7 +14,7 @@ from ..functions import files
 from ..functions.buckets import norm_bucket
 from ..operators.release import PrivacyParams, params_of, with_params
 from ..schemas import DEBUG, DOMAIN, REPORT, SUMMARY
-from .writers import MANIFEST, STAGING
+from .writers import BUCKETS, MANIFEST, STAGING
 
 
 def _load(spark: SparkSession, paths: str | list[str], fmt: str, schema) -> DataFrame:
@@ -50,6 +51,25 @@ def read_domain(spark: SparkSession, paths: str | list[str], fmt: str = "parquet
     return raw.select(checked.alias("bucket")).distinct()
 
 
+def domain_buckets(spark: SparkSession, path: str) -> int:
+    """Number of buckets of a bucketed domain."""
+    try:
+        return int(files.read_text(spark, f"{path.rstrip('/')}/{BUCKETS}"))
+    except (AnalysisException, OSError) as e:
+        raise AggregationError("INPUT_DATA_READ_FAILED", f"{path} is not a bucketed domain, or not written to its end") from e
+
+
+def read_bucketed_domain(spark: SparkSession, path: str) -> DataFrame:
+    """Keys of ``write_bucketed_domain``, distinct already. Joined by ``bucket`` with rows that are dealt to as many
+    partitions (``domain_buckets``), they are read by their hash and not shuffled."""
+    path = path.rstrip("/")
+    name = f"domain_{hashlib.sha256(path.encode()).hexdigest()[:32]}_{domain_buckets(spark, path)}"
+    where = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (bucket BINARY) USING parquet CLUSTERED BY (bucket) SORTED BY (bucket) INTO {domain_buckets(spark, path)} BUCKETS LOCATION '{where}'")
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
 def _published(spark: SparkSession, paths: str | list[str], fmt: str, schema: str) -> DataFrame:
     """Results of one or many folders. Where a folder has a manifest, its files alone; one whose publication was cut off
     fails. The column ``metric`` keeps what Parquet files or manifests say of its noise; unlike noise is refused."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import files
-from ..functions.buckets import bucket_decimal, bucket_hex, bucket_to_string, strip_bucket
+from ..functions.buckets import bucket_decimal, bucket_hex, bucket_to_string, norm_bucket, strip_bucket
 from ..operators.release import debug_columns, params_of
 
 MANIFEST, STAGING = "_manifest.json", "_staging-"
@@ -159,3 +159,22 @@ def write_reports(reports: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def write_domain(domain: DataFrame, path: str, fmt: str = "parquet") -> None:
     domain.select("bucket").write.format(fmt).save(path)
+
+
+BUCKETS = "_buckets"  # a bucketed domain's number of buckets, written last
+
+
+def write_bucketed_domain(domain: DataFrame, path: str, n_buckets: int) -> None:
+    """A domain's distinct 16-byte buckets, laid out once by hash of the key in ``n_buckets`` files of sorted keys.
+
+    Jobs join it as it lies (``read_bucketed_domain``): however many keys there are, none is shuffled or made distinct
+    again. ``n_buckets``: about a file for each 128 MB of keys. The domain counts from its mark on, which is written last.
+    """
+    spark, path = domain.sparkSession, path.rstrip("/")
+    if files.exists(spark, path) and files.names(spark, path):
+        raise FileExistsError(f"{path} holds other files")
+    keys = domain.select(norm_bucket("bucket").alias("bucket")).repartition(n_buckets, "bucket").distinct()
+    name = f"domain_{uuid.uuid4().hex}"
+    keys.write.format("parquet").bucketBy(n_buckets, "bucket").sortBy("bucket").option("path", path).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, they are not the catalog's
+    files.create_once(spark, f"{path}/{BUCKETS}", f"{n_buckets}\n")
