@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import asdict
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,11 +136,15 @@ def damaged_shards(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n, want in listed.items() if found.get(n) != want)
 
 
-def write_exhausted_info(info: DataFrame, path: str) -> None:
-    """One small JSON file: fields in alphabetical order, times as epoch numbers."""
+def write_exhausted_info(info: DataFrame, path: str, per_file: int = 1_000_000) -> None:
+    """JSON lines in files of some ``per_file`` rows, mostly one: fields in alphabetical order, times as epoch numbers."""
     seconds = lambda c: (F.unix_micros(c) / 1_000_000).cast("double")
     fields = [seconds(F.col(c)).alias(c) if c.endswith("_time") else F.col(c) for c in sorted(info.columns)]
-    info.select(F.to_json(F.struct(*fields)).alias("value")).coalesce(1).write.text(path)
+    lines = info.select(F.to_json(F.struct(*fields)).alias("value")).persist(StorageLevel.DISK_ONLY)
+    try:
+        lines.repartition(shard_count(lines.count(), per_file)).write.text(path)
+    finally:
+        lines.unpersist()
 
 
 def export_budget_units(units: DataFrame, path: str, per_file: bool = False, dry_run: bool = False) -> None:

@@ -72,3 +72,14 @@ def test_parameters_travel_with_results(spark, tmp_path):
     assert release.params_of(readers.read_summary(spark, [str(tmp_path / n) for n in "ab"])) == PARAMS
     plain = results(spark).selectExpr("bucket", "metric + 0 AS metric")
     assert release.union_results(plain, plain, PARAMS, PARAMS).count() == 80
+
+
+def test_exhausted_inputs_lie_in_bounded_files(spark, tmp_path):
+    info = spark.range(25).selectExpr("CAST(id AS STRING) AS api", "timestamp_seconds(id) AS scheduled_report_time")
+    for per_file, n_files in ((1_000_000, 1), (10, 2)):
+        path = f"{tmp_path}/{per_file}"
+        writers.write_exhausted_info(info, path, per_file)
+        back = spark.read.json(path)
+        assert len(back.inputFiles()) == n_files and {(r.api, r.scheduled_report_time) for r in back.collect()} == {(str(i), float(i)) for i in range(25)}
+    writers.write_exhausted_info(info.limit(0), f"{tmp_path}/none")
+    assert spark.read.text(f"{tmp_path}/none").count() == 0
