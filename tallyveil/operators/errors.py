@@ -30,10 +30,15 @@ def counts(reports: DataFrame) -> tuple[int, int, bool]:
     return r[0], r[1], r[2]
 
 
-def over_threshold(total: int, bad: int, percent: float = DEFAULT_PERCENT, input_report_count: int | None = None) -> bool:
-    """Whether too many reports have errors. An announced count is rounded half up; 0 percent allows none."""
+def allowed(percent: float = DEFAULT_PERCENT, input_report_count: int | None = None) -> int | None:
+    """How many reports may have errors, if that is known before they are counted: an announced count's share, rounded
+    half up, or none at 0 percent."""
     if input_report_count is not None:
-        return bad > math.floor(input_report_count * percent / 100 + 0.5)
-    if percent == 0:
-        return bad > 0
-    return bad > total * percent / 100
+        return math.floor(input_report_count * percent / 100 + 0.5)
+    return 0 if percent == 0 else None
+
+
+def over_threshold(total: int, bad: int, percent: float = DEFAULT_PERCENT, input_report_count: int | None = None) -> bool:
+    """Whether too many reports have errors: more than are ``allowed``, or than their share of all reports."""
+    most = allowed(percent, input_report_count)
+    return bad > (total * percent / 100 if most is None else most)

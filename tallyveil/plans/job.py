@@ -21,6 +21,7 @@ from ..functions.origins import public_suffixes
 from ..functions.payload import decode_payload
 from ..functions.shared_info import parse_shared_info
 from ..operators import budget, errors, histogram, release, validate
+from ..operators.early_stop import ErrorWatch
 from ..operators.ledger import Ledger
 from ..sources.readers import domain_buckets, read_bucketed_domain, read_domain, read_reports
 from ..sources.writers import write_exhausted_info, write_sharded
@@ -188,7 +189,9 @@ def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame
     """Run the job; parsed ``reports`` and a ``domain`` may be given in place of paths.
 
     Parsed and validated reports are persisted, and so are the deduplicated ones (several consumers read them, and a
-    lost executor only recomputes its part). The noised result is written once and both outputs derive from it. Budget
+    lost executor only recomputes its part). If it is known beforehand how many reports may have errors (an announced
+    count, or 0 percent), the run stops as soon as more have: errors are then those of the tasks that had ended, and a
+    report of an unsupported major version fails the job only if it is met before. The noised result is written once and both outputs derive from it. Budget
     is used up by a commit that points to the written result, before that is published; if it is lacking, the inputs
     behind it are written in place of results. A batch that was committed before is published again from the result of
     that time; its name is refused to other units and requests. A debug run uses no budget, and checks it only if asked to.
@@ -204,10 +207,18 @@ def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame
         domain = read_domain(spark, job.domain, job.domain_format)
     elif domain is not None:
         domain = release.read_domain_keys(domain)
-    checked = validate.validate(reports, job, suffixes=_suffixes(spark, job)).persist(StorageLevel.DISK_ONLY)
-    unique = None
+    checked = validate.validate(reports, job, suffixes=_suffixes(spark, job))
+    limit, watch, helpers = errors.allowed(job.percent, job.announced), None, []
+    if limit is not None:
+        watch = ErrorWatch(spark)
+        checked, *helpers = watch.watched(checked)
+    kept = checked.persist(StorageLevel.DISK_ONLY)
+    checked, unique = kept.drop(*helpers), None
     try:
-        total, bad, fatal = errors.counts(checked)
+        counted = errors.counts(checked) if watch is None else watch.run(lambda: errors.counts(checked), limit)
+        if counted is None:  # too many errors already: the rest is not read
+            return Outcome(None, None, watch.summary(), None, None, result_info(spark, "REPORTS_WITH_ERRORS_EXCEEDED_THRESHOLD", watch.counts()[errors.TOTAL]))
+        total, bad, fatal = counted
         summary_of_errors = errors.error_summary(checked)
         if fatal:
             raise AggregationError("UNSUPPORTED_REPORT_VERSION", "a report's major version is above the supported ones")
@@ -236,7 +247,7 @@ def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame
             return Outcome(None, None, errors_now, units, lacking, result_info(spark, code, bad, settled.message or BUDGET_MESSAGES[code]))
         noised, code = settled.noised, DEBUG_EQUIVALENT.get(code, code)
     finally:
-        checked.unpersist()
+        kept.unpersist()
         if unique is not None:
             unique.unpersist()
     debug = noised.drop("in_output") if job.debug_run else None

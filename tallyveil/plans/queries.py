@@ -8,6 +8,7 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import AggregationError
 from ..functions import buckets, origins, payload, shared_info
 from ..functions.folders import new_folder
 from ..operators import budget, errors, histogram, release, tools, validate
@@ -223,6 +224,29 @@ def error_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(p, total, bad, errors.over_threshold(total, bad, p)) for p in (10, 99)], "pct int, total long, bad long, is_over boolean")
 
 
+@query("own_validator", with_sql("SELECT event_id, concat_ws(',', CASE WHEN api = 'unknown-api' THEN 'UNSUPPORTED_REPORT_API_TYPE' END, CASE WHEN value > 10000 THEN 'VALUE_TOO_LARGE' END) AS errors FROM reports WHERE api = 'unknown-api' OR value > 10000"))
+def own_validator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A validator of the caller's beside one of the library's."""
+    validate.register_validator("value", lambda job: F.when(F.exists("data", lambda f: f["value"] > 10_000), "VALUE_TOO_LARGE"))
+    try:
+        checked = validate.validate(reports(spark, sf_dir), _job(), ["api", "value"])
+    finally:
+        del validate.VALIDATORS["value"]
+    return validate.split_valid(checked)[1].select("event_id", F.concat_ws(",", "errors").alias("errors"))
+
+
+@query("own_key_fields", with_sql("SELECT sha256('unknown-api-' || version || '-' || destination || CASE version WHEN '1.0' THEN '-' || origin || '-7' ELSE '-7' END) AS privacy_budget_key, count(*) AS n FROM reports WHERE api = 'unknown-api' GROUP BY 1"))
+def own_key_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budget keys of an api that the caller registers, with other fields from version 1.0 on."""
+    budget.register_api("unknown-api", ["attribution_destination"], before=(1, 0))
+    budget.register_api("unknown-api", ["attribution_destination", "reporting_origin"], since=(1, 0))
+    try:
+        units = budget.unit_rows(reports(spark, sf_dir).filter("shared_info.api = 'unknown-api'"), [7])
+    finally:
+        del budget.APIS["unknown-api"]
+    return units.groupBy("privacy_budget_key").agg(F.count("*").alias("n"))
+
+
 @query("origin_sites", "SELECT DISTINCT 'https://a' || user_id || '.b' || (user_id % 5) || '.co.uk:8443/x' AS origin, 'https://b' || (user_id % 5) || '.co.uk' AS site FROM events UNION ALL SELECT DISTINCT 'https://site' || (user_id % 9) || '.unknown', NULL FROM events")
 def origin_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -331,6 +355,17 @@ def hourly_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collect.batch_by_hour(_flat(spark, sf_dir), by=["destination"]).groupBy("batch_key").agg(F.count("*").alias("n"))
 
 
+_BY_HOUR_SQL = "strftime(date_trunc('hour', ts), '%Y-%m-%dT%H')"
+
+
+@query("destination_batches", with_sql(f"SELECT api, {_BY_HOUR_SQL} || CASE WHEN api LIKE 'attribution%' THEN '|' || destination ELSE '' END AS batch_key, count(*) AS n FROM reports GROUP BY ALL"))
+def destination_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribution reports by hour and destination, reports of other apis by hour alone."""
+    rows = reports(spark, sf_dir).select("shared_info.*").withColumnRenamed("attribution_destination", "destination")
+    batched, others = collect.batch_by_destination(rows)
+    return batched.unionByName(others).groupBy("api", "batch_key").agg(F.count("*").alias("n"))
+
+
 @query("late_reports", with_sql(f"SELECT {_HOUR_SQL}, count(*) AS n_late FROM reports SEMI JOIN (SELECT DISTINCT date_trunc('hour', ts) AS h FROM reports WHERE event_id % 50 = 0) c ON date_trunc('hour', ts) = h GROUP BY 1"))
 def late_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _flat(spark, sf_dir)
@@ -720,3 +755,52 @@ def job_result(spark: SparkSession, sf_dir: str) -> DataFrame:
         row = info.select(F.lit(name).alias("run"), "return_code", "n_errors")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query("early_stop", with_sql(f"""SELECT run, CASE run WHEN 'all allowed' THEN 'SUCCESS_WITH_ERRORS' ELSE 'REPORTS_WITH_ERRORS_EXCEEDED_THRESHOLD' END AS return_code,
+    CASE run WHEN 'all allowed' THEN count(*) FILTER (WHERE {_BAD_SQL}) END AS n_errors, run <> 'all allowed' AS is_over FROM reports, (VALUES ('all allowed'), ('one in 100'), ('none allowed')) r(run) GROUP BY run"""))
+def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs with an announced count, and one that allows no error: two stop while they run, so that their numbers of
+    errors are above what is allowed but open; the third counts all."""
+    path = new_folder(spark, "early")
+    job = _written_job(spark, sf_dir, path, budget="unlimited", input_report_count=str(table(spark, sf_dir, "events").count()))
+    out = None
+    for name, more in (("all allowed", {}), ("one in 100", {"report_error_threshold_percentage": "1"}), ("none allowed", {"report_error_threshold_percentage": "0", "input_report_count": None})):
+        one = replace(job, output=f"{path}/{name.replace(' ', '-')}", **more)
+        over = F.col("n_errors") > errors.allowed(one.percent, one.announced)
+        n_errors = F.col("n_errors") if name == "all allowed" else F.lit(None).cast("bigint")
+        row = run_aggregation(spark, one).result_info.select(F.lit(name).alias("run"), "return_code", n_errors.alias("n_errors"), over.alias("is_over"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("failed_jobs", with_sql("""SELECT run, CASE run WHEN 'new version' THEN 'UNSUPPORTED_REPORT_VERSION' WHEN 'no reports' THEN 'INPUT_DATA_READ_FAILED' WHEN 'no domain' THEN 'INPUT_DATA_READ_FAILED' WHEN 'epsilon' THEN 'INVALID_JOB' WHEN 'two parties' THEN 'INVALID_JOB' ELSE 'SUCCESS' END AS code,
+    CASE run WHEN 'good' THEN (SELECT count(*) FROM domain) ELSE 0 END AS n_rows FROM (VALUES ('good'), ('new version'), ('no reports'), ('no domain'), ('epsilon'), ('two parties')) r(run)"""))
+def failed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How jobs over the reports of one origin fail: by a version above the supported ones, by missing files, by what was asked for."""
+    path = new_folder(spark, "failed")
+    given = _written_job(spark, sf_dir, path, budget="unlimited")
+    late = reports(spark, sf_dir)
+    late = late.withColumn("shared_info", F.col("shared_info").withField("version", F.when(F.col("event_id") % 2 == 0, "2.0").otherwise("1.0")))
+    rows = []
+    for name, more, own in (("good", {}, None), ("new version", {}, late), ("no reports", {"reports": f"{path}/none"}, None), ("no domain", {"domain": f"{path}/none"}, None), ("epsilon", {"debug_privacy_epsilon": "65"}, None), ("two parties", {"reporting_site": "https://origin1.com"}, None)):
+        try:
+            out = run_aggregation(spark, replace(given, output=f"{path}/{name.replace(' ', '-')}", **more), own)
+            rows.append((name, out.result_info.first().return_code.replace("_WITH_ERRORS", ""), out.summary.count()))
+        except AggregationError as e:
+            rows.append((name, e.code, 0))
+    return spark.createDataFrame(rows, "run string, code string, n_rows long")
+
+
+@query("job_epsilons", with_sql("SELECT epsilon, bucket, coalesce(metric, 0)::BIGINT + scale::BIGINT AS metric FROM domain LEFT JOIN (" + _SUMS_SQL + ") USING (bucket), (VALUES ('2', 50), ('x', 100), ('none', 100)) e(epsilon, scale)"))
+def job_epsilons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results under a job's own epsilon, under a text that is no number, and without one: the scale of the noise is added in place of a draw."""
+    sums, wanted, out = _sums(spark, sf_dir), domain(spark, sf_dir), None
+    for text in ("2", "x", None):
+        params = PARAMS.with_debug_epsilon(text)
+        noised = release.add_noise(release.join_domain(sums, wanted), params, lambda m, p=params: m + int(p.l1 / p.epsilon))
+        if release.params_of(noised) != params:
+            raise ValueError("the result does not say what it was noised with")
+        rows = _hex(noised, F.lit(text or "none").alias("epsilon"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -13,6 +13,8 @@ from ..functions.shared_info import report_hour
 from ..operators import budget
 from ..operators.histogram import canonical_uuid, is_uuid
 
+DESTINATION_APIS = ["attribution-reporting", "attribution-reporting-debug"]
+
 
 def batch_by_hour(reports: DataFrame, time: str = "scheduled_report_time", by: Iterable[str] = ()) -> DataFrame:
     """Adds ``batch_hour``, and ``batch_key`` from the hour and the columns ``by`` (as the destination): works on streams."""
@@ -21,6 +23,16 @@ def batch_by_hour(reports: DataFrame, time: str = "scheduled_report_time", by: I
     return reports.withColumn("batch_hour", hour).withColumn("batch_key", key)
 
 
+def batch_by_destination(reports: DataFrame, api: str = "api", destination: str = "destination", time: str = "scheduled_report_time") -> tuple[DataFrame, DataFrame]:
+    """(batched by hour and destination, batched by hour alone): works on streams.
+
+    Only the budget keys of attribution apis hold the destination. Reports of other apis, and those without a destination,
+    would have one budget unit in several batches, all but the first of which would fail; they are batched by hour.
+    """
+    own = F.coalesce(F.col(api).isin(DESTINATION_APIS) & (F.col(destination) != ""), F.lit(False))
+    return batch_by_hour(reports.filter(own), time, [destination]), batch_by_hour(reports.filter(~own), time)
+
+
 def write_hourly(stream: DataFrame, path: str, checkpoint: str, by: Iterable[str] = (), **trigger) -> StreamingQuery:
     """Batched reports into folders by hour (and by the columns ``by``)."""
     return stream.writeStream.partitionBy("batch_hour", *by).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
