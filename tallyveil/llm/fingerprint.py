@@ -18,17 +18,27 @@ MAX_SPANS = 4096
 FINE = 64
 
 
-def _nfkc(text: Column) -> Column:
-    """NFKC by the ICU library that Spark ships; ASCII text is its own normal form."""
-    composed = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(composed)
+def _icu(of: str, text: Column) -> Column:
+    """A static function of the ICU library that Spark ships."""
+    name, method = of.rsplit(".", 1)
+    return F.call_function("java_method", F.lit(f"com.ibm.icu.{name}"), F.lit(method), text, F.lit(True))
+
+
+def _nfkc_folded(text: Column) -> Column:
+    """NFKC under full case folding of all scripts. ASCII text is its own normal form, and only lower case changes it.
+
+    Composing can bring letters that fold again, and folding marks that compose again: both are done twice.
+    """
+    folded = text
+    for _ in range(2):
+        folded = _icu("lang.UCharacter.foldCase", _icu("text.Normalizer.compose", folded))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(_icu("text.Normalizer.compose", folded))
 
 
 def canonical(text: Column) -> Column:
-    """Normal form: NFKC, case folded (lower case, sharp s as ss, one sigma), runs of white space one space, none at the ends."""
-    folded = _nfkc(F.replace(F.replace(F.lower(_nfkc(text)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ")))
+    """Normal form: NFKC, case folded in full (sharp s as ss, one sigma, iota below as iota), runs of white space one space, none at the ends."""
     space = r"[\s\x{85}\p{Z}]"  # a single space between words stays as it is
-    return F.trim(F.regexp_replace(folded, rf"{space}{{2,}}|[\s\x{{85}}\p{{Z}}&&[^ ]]", " "))
+    return F.trim(F.regexp_replace(_nfkc_folded(text), rf"{space}{{2,}}|[\s\x{{85}}\p{{Z}}&&[^ ]]", " "))
 
 
 def digest(canon: Column) -> Column:

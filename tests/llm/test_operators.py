@@ -310,7 +310,19 @@ def test_bound_and_best_fit():
 
 def canon(t):
     nfkc = lambda s: unicodedata.normalize("NFKC", s)
-    return re.sub(r"[\s\x85]+", " ", nfkc(nfkc(t).lower().replace("ß", "ss").replace("ς", "σ"))).strip(" ")
+    return re.sub(r"[\s\x85]+", " ", nfkc(nfkc(nfkc(t).casefold()).casefold())).strip(" ")
+
+
+def test_folding_is_that_of_unicode_for_all_code_points(spark):
+    """Alone and before marks that fold and compose; folding once more changes nothing."""
+    letters = [chr(i) for i in range(1, 0x110000) if unicodedata.category(chr(i)) not in ("Cn", "Cs", "Co")]
+    df = spark.createDataFrame([(c,) for c in letters], "c string").repartition(4)
+    for tail in ("", "\u0345\u0301", "\u0301\u0345", "Σ\u0308"):
+        text = F.concat("c", F.lit(tail))
+        once = fingerprint._nfkc_folded(text)
+        for r in df.select("c", once.alias("once"), fingerprint._nfkc_folded(once).alias("twice")).collect():
+            nfkc = lambda s: unicodedata.normalize("NFKC", s)
+            assert r.once == nfkc(nfkc(nfkc(r.c + tail).casefold()).casefold()) == r.twice, (r.c, tail)
 
 
 def test_fingerprints(spark, empty):
@@ -320,7 +332,7 @@ def test_fingerprints(spark, empty):
 
     seed = xxhash.xxh64(struct.pack("<i", 1), seed=42).intdigest()
     digest = lambda t: f"{xxhash.xxh64(canon(t).encode(), seed=42).intdigest():016x}{xxhash.xxh64(canon(t).encode(), seed=seed).intdigest():016x}"
-    texts = ["Straße", "STRASSE", "ﬁne  é\n", "fine é", "", None, " ", "a b c", "A b C", "ΑΣ", "ας", "x" * 3000, "tie", "eit"]
+    texts = ["Straße", "STRASSE", "ﬁne  é\n", "fine é", "", None, " ", "a b c", "A b C", "ΑΣ", "ας", "x" * 3000, "tie", "eit", "\u1c80", "в", "ΑΙ", "ᾳ"]
     rows = [(i * 3, t) for i, t in enumerate(texts)] + [(6, "same id"), (6, "same id"), (None, "no id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1))
     order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
@@ -336,7 +348,7 @@ def test_fingerprints(spark, empty):
         finally:
             fingerprint.SPAN_BYTES = old
     plain = {r.text: r.fingerprint for r in fingerprint.fingerprints(df).collect()}
-    assert plain["Straße"] == plain["STRASSE"] and plain["ΑΣ"] == plain["ας"] and plain["a b c"] == plain["A b C"] and plain[None] == plain[" "] == plain[""]
+    assert plain["Straße"] == plain["STRASSE"] and plain["ΑΣ"] == plain["ας"] and plain["\u1c80"] == plain["в"] and plain["ΑΙ"] == plain["ᾳ"] and plain["a b c"] == plain["A b C"] and plain[None] == plain[" "] == plain[""]
     assert fingerprint.edited_fingerprints(empty).count() == 0 and fingerprint.fingerprints(empty).count() == 0
     one = fingerprint.edited_fingerprints(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and one.near_next == 1.0
