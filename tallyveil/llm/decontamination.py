@@ -37,19 +37,27 @@ NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve t
 _NAME, _UNIT, _MAYBE, _SMALL, _JOIN = "\x01", "\x02", "\x03", "\x04", "\x05"
 _ANY_NUMBER = rf"(?:{'|'.join(NUMBERS)})(?![\p{{L}}\p{{N}}])"
 
+# Patterns begin with what is rare, a mark or a letter that few words begin with, and look behind only from there: a look
+# behind over up to 40 letters would else be tried at every character of a text.
+_NUMBER = rf"(?i)(?=[{''.join(sorted({n[0] for n in NUMBERS}))}])(?<![\p{{L}}\p{{N}}])({'|'.join(NUMBERS)})"
+_CAPITAL = rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}{_JOIN}])(?!(?i:{_ANY_NUMBER}))"
+_INSIDE = rf"{_MAYBE}(?<=[\p{{Ll}}\p{{Nd}},;] {_MAYBE})"  # a possible name inside a sentence
+_WORD = r"[\p{L}\p{N}'’-]{1,40}"
+_RUN = rf" {_NAME}(?<={_NAME}{_WORD} {_NAME})"  # between two words of a name
+_LONGER = rf" {_NAME}(?<=(?:{_NAME}|{_MAYBE}(?!(?i:{'|'.join(OPENERS)})(?![\p{{L}}\p{{N}}]))){_WORD} {_NAME})"
+
 
 def _marked(text: Column, item: bool = False) -> Column:
     """The text with a mark in front of names, possible names and units in a number's wake; numbers are one word. In
     an item, a small word that starts a sentence is marked too: a document may write it large."""
-    number = rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(NUMBERS)})"
     units = rf"(?=(?:{'|'.join(UNITS)})\b)"
     text = F.when(text.rlike(f"[{_NAME}-{_JOIN}]"), F.translate(text, "".join((_NAME, _UNIT, _MAYBE, _SMALL, _JOIN)), " " * 5)).otherwise(text)
-    text = F.regexp_replace(text, rf"{number}[\s-]+(?={_ANY_NUMBER})", "$1" + _JOIN)
+    text = F.regexp_replace(text, rf"{_NUMBER}[\s-]+(?={_ANY_NUMBER})", "$1" + _JOIN)
     if item:
         text = F.regexp_replace(text, rf"(?:^|(?<=[.?!:\"“”«»(\[\n]\s{{0,3}}))(?=\p{{Ll}})(?!{_ANY_NUMBER})", _SMALL)
-    text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}{_JOIN}])(?=\p{{Lu}}\p{{Ll}})(?!(?i:{_ANY_NUMBER}))", _MAYBE)
-    text = F.regexp_replace(text, rf"(?<=[\p{{Ll}}\p{{Nd}},;] ){_MAYBE}", _NAME)
-    text = F.regexp_replace(text, rf"{number}[\s\xA0]+{units}", "$1 " + _UNIT)
+    text = F.regexp_replace(text, _CAPITAL, _MAYBE)
+    text = F.regexp_replace(text, _INSIDE, _NAME)
+    text = F.regexp_replace(text, rf"{_NUMBER}[\s\xA0]+{units}", "$1 " + _UNIT)
     digits = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?<=\p{Nd})[.,:/](?=\p{Nd})", ""), rf"(?i)(?<=\p{{Nd}})[\s\xA0]*{units}", " " + _UNIT)
     return _let(text, lambda t: F.when(t.rlike(r"\p{Nd}"), digits(t)).otherwise(t))
 
@@ -57,11 +65,8 @@ def _marked(text: Column, item: bool = False) -> Column:
 def _versions(text: Column, item: bool = False) -> Column:
     """An array of the marked, lower-case words of a text: each word of a name alone, then runs of names as one, then
     also with a word before them that starts a sentence and may be a name."""
-    word = r"[\p{L}\p{N}'’-]{1,40}"
-    runs = rf"(?<={_NAME}{word}) {_NAME}"
-    longer = rf"(?<=(?:{_NAME}|{_MAYBE}(?!(?i:{'|'.join(OPENERS)})(?![\p{{L}}\p{{N}}]))){word}) {_NAME}"
     words = lambda t: F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}{_NAME}-{_JOIN}]+"), "")
-    joined = lambda t: F.array_distinct(F.array(t, F.regexp_replace(t, runs, _JOIN), F.regexp_replace(t, longer, _JOIN)))
+    joined = lambda t: F.array_distinct(F.array(t, F.regexp_replace(t, _RUN, _JOIN), F.regexp_replace(t, _LONGER, _JOIN)))
     return F.transform(_let(_marked(text, item), joined), words)
 
 
