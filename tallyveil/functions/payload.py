@@ -12,8 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import unused
+
 PARSING_ERROR = "REPORT_PARSING_ERROR"
 FACTS_TYPE = T.ArrayType(T.StructType([T.StructField("bucket", T.BinaryType()), T.StructField("value", T.LongType()), T.StructField("id", T.DecimalType(20, 0))]))
 _LIMITS = {"bucket": 16, "value": 4, "id": 8}
@@ -165,19 +168,23 @@ def decoded(column: pa.Array) -> tuple[pa.Array, pa.Array]:
 
 
 def decode_payload(df: DataFrame, column: str = "payload") -> DataFrame:
-    """``column`` (binary) becomes ``operation`` and ``data``; ``payload_errors`` holds REPORT_PARSING_ERROR where it is not readable."""
+    """``column`` (binary) becomes ``operation`` and ``data``; ``payload_errors`` holds REPORT_PARSING_ERROR where it is not readable.
+
+    Only the payloads go through Python.
+    """
     names = [c for c in df.columns if c != column]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            operation, facts = decoded(batch[column])
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for payloads in batches:
+            operation, facts = decoded(payloads)
             bad = np.append(0, np.cumsum(np.asarray(operation.is_null()))).astype(np.int32)
             errors = pa.ListArray.from_arrays(pa.array(bad), pa.array([PARSING_ERROR] * int(bad[-1]), pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), operation, facts, errors], [*names, "operation", "data", "payload_errors"])
+            yield pa.StructArray.from_arrays([operation, facts, errors], ["operation", "data", "payload_errors"])
 
-    schema = T.StructType([df.schema[n] for n in names])
-    schema = schema.add("operation", T.StringType()).add("data", FACTS_TYPE).add("payload_errors", T.ArrayType(T.StringType()))
-    return df.mapInArrow(read, schema)
+    read.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    schema = T.StructType().add("operation", T.StringType()).add("data", FACTS_TYPE).add("payload_errors", T.ArrayType(T.StringType()))
+    part = unused(df, "decoded")
+    return df.withColumn(part, F.arrow_udf(read, schema)(F.col(column))).select(*names, *(F.col(part)[n].alias(n) for n in schema.names))
 
 
 def _head(kind: int, size: int) -> bytes:
@@ -219,15 +226,14 @@ def encoded(operation: pa.Array, data: pa.Array) -> pa.Array:
     each = lambda x: np.add.reduceat(np.append(x, 0).astype(np.int64), np.minimum(ends[:-1], len(x))) * (counts > 0) if n else np.zeros(0, np.int64)
     with_id = each(known)
     regular = (each(plain) == counts) & ((with_id == 0) | (with_id == counts))
-    out: list[bytes | None] = [None] * n
-    groups: dict[tuple, list[int]] = {}
-    for row, (name, count, ids_there) in enumerate(zip(operation.to_pylist(), counts.tolist(), with_id.tolist(), strict=True)):
-        if regular[row]:
-            groups.setdefault((name, count, ids_there > 0), []).append(row)
-        else:
-            out[row] = _encoded(name, data[row].as_py())
-    for (name, count, _), rows in groups.items():
-        first = _encoded(name, data[rows[0]].as_py())
+    others = np.flatnonzero(~regular)
+    parts, order = [pa.array([_encoded(operation[r].as_py(), data[r].as_py()) for r in others.tolist()], pa.binary())], [others]
+    codes = np.asarray(operation.dictionary_encode().indices.fill_null(-1), np.int64)
+    like = np.flatnonzero(regular)
+    layouts, which = np.unique(np.stack([codes, counts, with_id > 0], axis=1)[like], axis=0, return_inverse=True)
+    for layout, (_, count, _) in enumerate(layouts.tolist()):
+        rows = like[which.reshape(-1) == layout]
+        first = _encoded(operation[rows[0]].as_py(), data[rows[0]].as_py())
         members = _facts(first)[1]
         all_rows = np.frombuffer(first, np.uint8)[None, :].repeat(len(rows), axis=0)
         place = ends[:-1][rows][:, None] + np.arange(count)
@@ -237,18 +243,19 @@ def encoded(operation: pa.Array, data: pa.Array) -> pa.Array:
             all_rows[:, value.at : value.at + 4] = _digits(values[of].astype(np.uint64), 4)
             if number is not None:
                 all_rows[:, number.at : number.at + 8] = _digits(low[of, 0], 8)
-        width, joined = len(first), all_rows.tobytes()
-        for k, row in enumerate(rows):
-            out[row] = joined[k * width : (k + 1) * width]
-    return pa.array(out, pa.binary())
+        ends_of = np.arange(0, (len(rows) + 1) * len(first), len(first), dtype=np.int32)
+        parts.append(pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends_of), pa.py_buffer(all_rows)]))
+        order.append(rows)
+    return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(order))))
 
 
 def encode_payload(df: DataFrame, column: str = "payload") -> DataFrame:
     """``operation`` and ``data`` become ``column`` (binary)."""
     names = [c for c in df.columns if c not in ("operation", "data")]
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), encoded(batch["operation"], batch["data"])], [*names, column])
+    def write(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for operation, data in batches:
+            yield encoded(operation, data)
 
-    return df.mapInArrow(write, T.StructType([df.schema[n] for n in names]).add(column, T.BinaryType()))
+    write.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return df.select(*names, F.arrow_udf(write, T.BinaryType())("operation", "data").alias(column))

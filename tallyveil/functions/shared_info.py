@@ -36,17 +36,19 @@ def parse_shared_info(df: DataFrame, column: str = "shared_info") -> DataFrame:
 def shared_info_json(column: str = "shared_info") -> Column:
     """Back to JSON text with times as epoch seconds; nulls are left out."""
     seconds = lambda name: (F.unix_micros(F.col(f"{column}.{name}")) / 1_000_000).cast("decimal(20,6)").cast("string")
-    trim = lambda c: F.regexp_replace(c, r"\.?0+$", "")
+    trim = lambda c: F.rtrim(F.rtrim(c, F.lit("0")), F.lit("."))
     names = ["version", "api", "reporting_origin", "attribution_destination", "report_id", "debug_mode"]
-    times = [trim(F.when(seconds(n).contains("."), seconds(n))).alias(n) for n in ("scheduled_report_time", "source_registration_time")]
+    times = [trim(seconds(n)).alias(n) for n in ("scheduled_report_time", "source_registration_time")]
     return F.to_json(F.struct(*(F.col(f"{column}.{n}").alias(n) for n in names), *times))
 
 
 def version_struct(version: Column) -> Column:
-    """``major.minor`` as a struct that compares as versions do; null if malformed."""
-    parts = F.split(version, r"\.")
-    both = F.struct(F.get(parts, 0).try_cast("int").alias("major"), F.get(parts, 1).try_cast("int").alias("minor"))
-    return F.when(version.rlike(r"^\d+\.\d+$") & both["major"].isNotNull() & both["minor"].isNotNull(), both)
+    """``major.minor`` as a struct that compares as versions do; null if malformed.
+
+    Where several conditions need it, make it a column first: inside them, it would be parsed for each.
+    """
+    major, minor = (F.substring_index(version, ".", k).try_cast("int") for k in (1, -1))
+    return F.when(version.rlike(r"^\d+\.\d+$") & major.isNotNull() & minor.isNotNull(), F.struct(major.alias("major"), minor.alias("minor")))
 
 
 def version_at(major: int, minor: int) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folders import new_folder
+from ..functions.names import unused
 from ..functions.shared_info import iso_instant, report_hour, version_at, version_struct
 from ..schemas import UNIT
 from .ledger import LIMIT, Ledger, distinct_units
@@ -23,9 +24,9 @@ class KeyFields:
     before: tuple[int, int] | None = None
 
     def applies(self, version: Column) -> Column:
-        v = version_struct(version)
-        on = v >= version_at(*self.since)
-        return F.coalesce(on if self.before is None else on & (v < version_at(*self.before)), F.lit(False))
+        """``version``: parsed, as ``version_struct`` gives it."""
+        on = version >= version_at(*self.since)
+        return F.coalesce(on if self.before is None else on & (version < version_at(*self.before)), F.lit(False))
 
     def overlaps(self, other: KeyFields) -> bool:
         ends = [x.before or (1 << 30, 0) for x in (self, other)]
@@ -53,7 +54,11 @@ def register_api(name: str, fields: list[str], since: tuple[int, int] = (0, 0),
 
 def key_scheme(version: Column, filtering_id: Column) -> Column:
     """1 for versions in [0.1, 1.0) with id 0 or none; 2 from 1.0 on or with another id; else null."""
-    v, zero = version_struct(version), F.coalesce(filtering_id == 0, F.lit(True))
+    return _scheme(version_struct(version), filtering_id)
+
+
+def _scheme(v: Column, filtering_id: Column) -> Column:
+    zero = F.coalesce(filtering_id == 0, F.lit(True))
     return F.when((v >= version_at(0, 1)) & (v < version_at(1, 0)) & zero, 1).when((v >= version_at(1, 0)) | (v.isNotNull() & ~zero), 2)
 
 
@@ -62,9 +67,11 @@ def _field(name: str, info: str) -> Column:
     return iso_instant(column) if name == "source_registration_time" else column
 
 
-def key_fields_ok(filtering_id: Column, info: str = "shared_info") -> Column:
-    """Whether a key can be made: a known api, a key scheme, and all its required fields non-empty."""
+def key_fields_ok(filtering_id: Column, info: str = "shared_info", parsed: Column | None = None) -> Column:
+    """Whether a key can be made: a known api, a key scheme, and all its required fields non-empty. ``parsed``: the
+    version, if a column has it parsed already."""
     col = lambda n: F.col(f"{info}.{n}" if info else n)
+    parsed = version_struct(col("version")) if parsed is None else parsed
     ok = F.lit(False)
     for api, keys in APIS.items():
         for key in keys:
@@ -72,20 +79,22 @@ def key_fields_ok(filtering_id: Column, info: str = "shared_info") -> Column:
             for name in key.fields:
                 if name not in OPTIONAL:
                     full = full & (F.coalesce(col(name), F.lit("")) != "")
-            ok = F.when((col("api") == api) & key.applies(col("version")), full).otherwise(ok)
-    return ok & key_scheme(col("version"), filtering_id).isNotNull()
+            ok = F.when((col("api") == api) & key.applies(parsed), full).otherwise(ok)
+    return ok & _scheme(parsed, filtering_id).isNotNull()
 
 
-def budget_key(filtering_id: Column, info: str = "shared_info") -> Column:
-    """Lower-hex SHA-256 of the key's fields joined by ``-``; scheme 2 appends the filtering id. Null without a scheme."""
+def budget_key(filtering_id: Column, info: str = "shared_info", parsed: Column | None = None) -> Column:
+    """Lower-hex SHA-256 of the key's fields joined by ``-``; scheme 2 appends the filtering id. Null without a scheme.
+    ``parsed``: the version, if a column has it parsed already."""
     col = lambda n: F.col(f"{info}.{n}" if info else n)
-    scheme = key_scheme(col("version"), filtering_id)
+    parsed = version_struct(col("version")) if parsed is None else parsed
+    scheme = _scheme(parsed, filtering_id)
     tail = F.when(scheme == 2, filtering_id.cast("decimal(20,0)").cast("string"))
     key = F.lit(None).cast("string")
     for api, keys in APIS.items():
         for known in keys:
             text = F.concat_ws("-", col("api"), col("version"), *(_field(n, info) for n in known.fields), tail)
-            key = F.when((col("api") == api) & known.applies(col("version")), F.sha2(text, 256)).otherwise(key)
+            key = F.when((col("api") == api) & known.applies(parsed), F.sha2(text, 256)).otherwise(key)
     return F.when(scheme.isNotNull(), key)
 
 
@@ -94,9 +103,10 @@ def unit_rows(reports: DataFrame, ids: list[int], keep: tuple[str, ...] = ()) ->
 
     A report counts even if all its contributions are null or of other ids.
     """
-    each = reports.withColumn("filtering_id", F.explode(F.array(*(F.lit(i).cast("decimal(20,0)") for i in ids))))
+    parsed = unused(reports, "version_parts")
+    each = reports.withColumn(parsed, version_struct(F.col("shared_info.version"))).withColumn("filtering_id", F.explode(F.array(*(F.lit(i).cast("decimal(20,0)") for i in ids))))
     return each.select(
-        budget_key(F.col("filtering_id")).alias("privacy_budget_key"), report_hour(F.col("shared_info.scheduled_report_time")).alias("reporting_window"),
+        budget_key(F.col("filtering_id"), parsed=F.col(parsed)).alias("privacy_budget_key"), report_hour(F.col("shared_info.scheduled_report_time")).alias("reporting_window"),
         F.col("shared_info.reporting_origin").alias("reporting_origin"), "filtering_id", *keep,
     )
 
@@ -126,9 +136,10 @@ def extract_budget_units(reports: DataFrame, ids: list[int]) -> tuple[DataFrame,
     """
     info = F.col("shared_info")
     whole = info.withField("scheduled_report_time", F.date_trunc("SECOND", "shared_info.scheduled_report_time")).withField("source_registration_time", F.date_trunc("SECOND", "shared_info.source_registration_time"))
-    each = reports.withColumn("shared_info", whole).withColumn("filtering_id", F.explode(F.array(*(F.lit(i).cast("decimal(20,0)") for i in ids))))
-    good = F.coalesce(key_fields_ok(F.col("filtering_id")), F.lit(False))
-    units = each.filter(good).select(budget_key(F.col("filtering_id")).alias(UNIT[0]), report_hour(F.col("shared_info.scheduled_report_time")).alias(UNIT[1]), F.col("shared_info.reporting_origin").alias(UNIT[2])).distinct()
+    parsed = unused(reports, "version_parts")
+    each = reports.withColumn("shared_info", whole).withColumn(parsed, version_struct(F.col("shared_info.version"))).withColumn("filtering_id", F.explode(F.array(*(F.lit(i).cast("decimal(20,0)") for i in ids))))
+    good = F.coalesce(key_fields_ok(F.col("filtering_id"), parsed=F.col(parsed)), F.lit(False))
+    units = each.filter(good).select(budget_key(F.col("filtering_id"), parsed=F.col(parsed)).alias(UNIT[0]), report_hour(F.col("shared_info.scheduled_report_time")).alias(UNIT[1]), F.col("shared_info.reporting_origin").alias(UNIT[2])).distinct()
     return units, each.filter(~good).groupBy("shared_info.api").agg(F.count("*").alias("skipped"))
 
 

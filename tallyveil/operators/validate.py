@@ -16,6 +16,7 @@ MAX_AGE_DAYS = 90
 OPERATIONS = ["histogram"]
 SUPPORTED_APIS = ["attribution-reporting", "attribution-reporting-debug", "protected-audience", "shared-storage"]
 MAJOR_VERSIONS = [0, 1]
+VERSION = "_version"  # the parsed version, a column that ``validate`` adds
 
 # The categories and their descriptions.
 DESCRIPTIONS = {
@@ -72,7 +73,7 @@ def bad_api(job) -> Column:
 def bad_key_fields(job) -> Column:
     ok = F.lit(True)
     for i in job.filtering_ids:
-        ok = ok & F.coalesce(key_fields_ok(F.lit(i).cast("decimal(20,0)")), F.lit(False))
+        ok = ok & F.coalesce(key_fields_ok(F.lit(i).cast("decimal(20,0)"), parsed=F.col(VERSION)), F.lit(False))
     return _unless(ok, "REQUIRED_SHAREDINFO_FIELD_INVALID")
 
 
@@ -81,7 +82,7 @@ def bad_report_id(job) -> Column:
 
 
 def bad_version(job) -> Column:
-    v = version_struct(F.col("shared_info.version"))
+    v = F.col(VERSION)
     return _unless(v["major"].isin(MAJOR_VERSIONS) & ~((v["major"] == 0) & (v["minor"] == 0)), "UNSUPPORTED_SHAREDINFO_VERSION")
 
 
@@ -122,7 +123,11 @@ def validate(reports: DataFrame, job, names: list[str] | None = None, suffixes:
         if "domain" in names:
             reports = with_domain_flag(reports, suffixes, "_reporting_origin")
             added.append("is_domain")
-    found = F.array_compact(F.array(*(({"domain": bad_domain} | VALIDATORS)[n](job) for n in names)))
+    if {"key_fields", "version"} & set(names):  # parsed once a report
+        reports = reports.withColumn(VERSION, version_struct(F.col("shared_info.version")))
+        added.append(VERSION)
+    # Nulls are taken out by an expression that Spark compiles together with the validators.
+    found = F.array_except(F.array(*(({"domain": bad_domain} | VALIDATORS)[n](job).cast("string") for n in names)), F.array(F.lit(None).cast("string")))
     parse = [F.col(c) for c in ("parse_errors", "payload_errors") if c in reports.columns]
     if parse:
         earlier = F.flatten(F.array(*parse))

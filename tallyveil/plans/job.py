@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import AggregationError
+from ..functions import files
 from ..functions.buckets import id_list, percentage
+from ..functions.folders import new_folder
 from ..functions.origins import public_suffixes
 from ..functions.payload import decode_payload
 from ..functions.shared_info import parse_shared_info
@@ -188,8 +190,9 @@ def _settle(spark: SparkSession, job: AggregationJob, reports: DataFrame, noised
 def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame | None = None, domain: DataFrame | None = None) -> Outcome:
     """Run the job; parsed ``reports`` and a ``domain`` may be given in place of paths.
 
-    Parsed and validated reports are persisted, and so are the deduplicated ones (several consumers read them, and a
-    lost executor only recomputes its part). If it is known beforehand how many reports may have errors (an announced
+    Parsed and validated reports are persisted. Deduplicated ones are written to the shared folder for the time of the
+    job: several consumers read them by size, where a persisted table would keep all partitions of the shuffle, and each
+    of these would write a file for each partition of the next one. If it is known beforehand how many reports may have errors (an announced
     count, or 0 percent), the run stops as soon as more have: errors are then those of the tasks that had ended, and a
     report of an unsupported major version fails the job only if it is met before. The noised result is written once and both outputs derive from it. Budget
     is used up by a commit that points to the written result, before that is published; if it is lacking, the inputs
@@ -213,7 +216,7 @@ def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame
         watch = ErrorWatch(spark)
         checked, *helpers = watch.watched(checked)
     kept = checked.persist(StorageLevel.DISK_ONLY)
-    checked, unique = kept.drop(*helpers), None
+    checked, unique_path = kept.drop(*helpers), new_folder(spark, "unique")
     try:
         counted = errors.counts(checked) if watch is None else watch.run(lambda: errors.counts(checked), limit)
         if counted is None:  # too many errors already: the rest is not read
@@ -227,7 +230,9 @@ def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame
             return Outcome(None, None, rows, None, None, result_info(spark, "REPORTS_WITH_ERRORS_EXCEEDED_THRESHOLD", bad))
         valid, _ = validate.split_valid(checked)
         order = [c for c in ("source_file",) if c in valid.columns]
-        unique = histogram.dedupe_reports(valid, order=[*order, F.to_json("shared_info"), F.xxhash64("data")]).persist(StorageLevel.DISK_ONLY)
+        first = histogram.dedupe_reports(valid, order=[*order, F.to_json("shared_info"), F.xxhash64("data")])
+        first.select("report_id", "shared_info", "data").write.parquet(unique_path)
+        unique = spark.read.schema(first.select("report_id", "shared_info", "data").schema).parquet(unique_path)
         sums = histogram.histogram(histogram.explode_contributions(unique, job.filtering_ids))
         if n_buckets:  # the sums go to the domain's keys, which stay where they lie
             sums = sums.repartition(n_buckets, "bucket")
@@ -248,8 +253,7 @@ def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame
         noised, code = settled.noised, DEBUG_EQUIVALENT.get(code, code)
     finally:
         kept.unpersist()
-        if unique is not None:
-            unique.unpersist()
+        files.delete(spark, unique_path)
     debug = noised.drop("in_output") if job.debug_run else None
     shown = F.col("in_output") if "in_output" in noised.columns else F.array_contains("annotations", "in_domain")
     summary = noised.filter(shown) if job.debug_run else noised
