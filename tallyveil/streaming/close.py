@@ -48,8 +48,9 @@ class SeenReports:
     def fresh(self, batch: DataFrame, number: int, report_id: str = "report_id", time: str = "scheduled_report_time") -> DataFrame:
         """The reports of ``batch`` whose id no earlier batch had, one of each; their ids are written as seen.
 
-        Reports without an id all stay. A number that is run again gives the same reports. Of equal ids of one day the
-        any one stays; equal ids of other days are other reports.
+        Reports without an id all stay. A number that is run again gives the same reports. Of equal ids of one day any
+        one stays; equal ids of other days are other reports. The reports are written once, so that all who read them
+        see the same choice; ``forget`` deletes them when they are used.
         """
         spark, id_key, day = batch.sparkSession, unused(batch, "id_key"), unused(batch, "id_day")
         known = F.when(histogram.is_uuid(F.col(report_id)), histogram.canonical_uuid(F.col(report_id))).otherwise(F.col(report_id))
@@ -61,6 +62,10 @@ class SeenReports:
         if paths:
             seen = spark.read.schema("id string, day date, batch long").option("basePath", self.path).parquet(*paths).filter(F.col("batch") < number)
             first = first.join(seen.select(F.col("id").alias(id_key), F.col("day").alias(day)), [id_key, day], "left_anti").select(*rows.columns)
+        kept = self._fresh(number)
+        files.delete(spark, kept)
+        first.write.parquet(kept)
+        first = spark.read.schema(first.schema).parquet(kept)
         ids = first.select(F.col(id_key).alias("id"), F.col(day).alias("day"))
         staging = f"{self.path}/_staging/{number}"
         files.delete(spark, staging)
@@ -72,6 +77,13 @@ class SeenReports:
                 files.move_once(spark, f"{staging}/{name}", target)
         return first.unionByName(without).drop(id_key, day)
 
+    def _fresh(self, number: int) -> str:
+        return f"{self.path}/_fresh/{number}"
+
+    def forget(self, spark: SparkSession, number: int) -> None:
+        """Delete the fresh reports of a number; their ids stay."""
+        files.delete(spark, self._fresh(number))
+
 
 class HourlyRelease:
     """For ``foreachBatch``: sums by hour (and the columns ``by``) of a stream of parsed reports, released hour by hour.
@@ -127,12 +139,14 @@ class HourlyRelease:
         try:
             before = self._log(spark).agg(F.max("clock")).first()[0]
             now = max((x for x in (before, batch.agg(F.max(self.clock)).first()[0]) if x is not None), default=None)
-            rows = SeenReports(f"{self.path}/seen").fresh(batch, number, time=self.time) if self.dedupe else batch
+            seen = SeenReports(f"{self.path}/seen")
+            rows = seen.fresh(batch, number, time=self.time) if self.dedupe else batch
             hour = unused(batch, "hour")
             rows = rows.withColumn(hour, report_hour(F.col(self.time)))
             closed = bounded_broadcast(self.closed_hours(spark).select(F.col("hour").alias(hour)).distinct())
             rows.join(closed, hour, "left_semi").select(*batch.columns).write.mode("overwrite").parquet(f"{self.path}/late/batch={number}")
             self._stage(rows.join(closed, hour, "left_anti"), hour, number)
+            seen.forget(spark, number)
             hours, exhausted, path = self._close(spark, now, number)
         finally:
             batch.unpersist()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_jobs import FACTS, INFO, b
 
+from tallyveil.functions import files
 from tallyveil.operators import budget
 from tallyveil.operators.release import PrivacyParams
 from tallyveil.streaming import close
@@ -110,3 +111,15 @@ def test_duplicates_are_found_however_late(spark, tmp_path):
     later = reports(spark, (1, 0.5, 2000, 1, 1, "d"), (3, 30, 2000, 1, 1, "d"), (2, 30, 2000, 1, 1, "d"), (2, 60, 60, 1, 1, "d"))
     assert ids(seen.fresh(later, 7)) == [2, 3]  # id 2 of another day is another report
     assert ids(seen.fresh(first, 0)) == [0, 1, 2] and ids(seen.fresh(later, 7)) == [2, 3] and ids(seen.fresh(later, 8)) == []
+
+
+def test_fresh_reports_are_chosen_once_and_forgotten(spark, tmp_path):
+    """Of equal ids one report stays, the same for all who read them; nothing of a step is left after it."""
+    rows = spark.range(400).select((F.col("id") % 100).cast("string").alias("report_id"), F.lit(datetime(2024, 1, 1, tzinfo=UTC)).alias("scheduled_report_time"), F.rand().alias("x"))
+    seen = close.SeenReports(f"{tmp_path}/seen")
+    fresh = seen.fresh(rows, 0)
+    assert "Aggregate" not in fresh._jdf.queryExecution().executedPlan().toString() and fresh.count() == 100
+    assert sorted(fresh.collect()) == sorted(fresh.collect())
+    seen.forget(spark, 0)
+    assert files.names(spark, f"{tmp_path}/seen/_fresh") == []
+    assert seen.fresh(rows, 1).count() == 0
