@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .folders import written
 from .names import unused
 from .sizes import bounded_broadcast
 
@@ -67,17 +68,23 @@ def _host(origin: Column) -> Column:
     return F.when(origin.rlike("^[A-Za-z][A-Za-z0-9+.-]*://") & _ascii(host).rlike(_DOMAIN), host)
 
 
+def _origins(df: DataFrame, origin: str, key: str) -> DataFrame:
+    """The distinct values of ``origin``, written: whatever looks them up runs on these and not, pushed down, on all rows."""
+    return written(df.select(F.col(origin).alias(key)).distinct(), "origins").filter(F.col(key).isNotNull())
+
+
 def with_site(df: DataFrame, suffixes: DataFrame, origin: str = "reporting_origin", site: str = "site") -> DataFrame:
     """``df`` plus ``site``: ``https://`` and the registrable domain of ``origin``, in the origin's own letters.
 
     Null where the origin has no scheme, is malformed, is a bare public suffix or is under none. Only distinct
-    origins are looked up. ``suffixes``: rules as in a public-suffix file (column ``suffix``).
+    origins are looked up; where they are few, ``df`` is not shuffled. ``suffixes``: rules as in a public-suffix file (column ``suffix``).
     """
     key = unused(df, "origin_key")
-    base = df.select(F.col(origin).alias(key)).filter(F.col(key).isNotNull()).distinct().withColumn("host", _host(F.col(key)))
+    base = _origins(df, origin, key).withColumn("host", _host(F.col(key)))
     starts = _suffix_starts(base.filter("host IS NOT NULL").select("host").distinct(), suffixes).filter("start > 0")
     labels = F.split("host", r"\.")
     known = base.join(starts, "host").select(key, F.concat(F.lit("https://"), F.array_join(F.slice(labels, F.col("start"), F.size(labels)), ".")).alias(site))
+    known = bounded_broadcast(written(known, "sites"))
     return df.join(known, df[origin] == known[key], "left").drop(key)
 
 
@@ -85,8 +92,9 @@ def with_domain_flag(df: DataFrame, suffixes: DataFrame, origin: str = "reportin
     """``df`` plus ``flag``: the origin is a bare, well-formed domain name that ends in a public suffix."""
     key, good = unused(df, "origin_key"), unused(df, "origin_good")
     host = F.regexp_replace(F.lower(F.translate(F.col(key), *_DOTS)), r"\.$", "")
-    base = df.select(F.col(origin).alias(key)).filter(F.col(key).isNotNull()).distinct().withColumn("host", host)
+    base = _origins(df, origin, key).withColumn("host", host)
     shown = _ascii(F.col("host"))
     hosts = base.filter(shown.rlike(_DOMAIN) & F.element_at(F.split(shown, r"\."), -1).rlike("^[a-z_]"))
     known = hosts.join(_suffix_starts(hosts.select("host").distinct(), suffixes), "host", "left_semi").select(key, F.lit(True).alias(good))
+    known = bounded_broadcast(written(known, "domains"))
     return df.join(known, df[origin] == known[key], "left").withColumn(flag, F.coalesce(F.col(good), F.lit(False))).drop(key, good)
