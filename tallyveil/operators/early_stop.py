@@ -44,7 +44,7 @@ class ErrorWatch:
     def watched(self, reports: DataFrame) -> tuple[DataFrame, str]:
         """``reports`` with a column that counts errors as it is computed, and the column's name.
 
-        The column must be computed for every row exactly once a task: persist the result, then drop the column.
+        The column must be computed for every row exactly once a task: write the result with it, and read that.
         """
         parts = self.parts
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .validate import DESCRIPTIONS, fatal_version
@@ -24,9 +24,11 @@ def error_summary(reports: DataFrame) -> DataFrame:
     return counts.orderBy(F.col("category") == TOTAL, "category")
 
 
-def counts(reports: DataFrame) -> tuple[int, int, bool]:
-    """(reports, reports with errors, whether a version fails the job), in one aggregate."""
-    r = reports.agg(F.count("*"), F.count_if(F.size("errors") > 0), F.coalesce(F.bool_or(fatal_version()), F.lit(False))).first()
+def counts(reports: DataFrame, fatal: Column | None = None) -> tuple[int, int, bool]:
+    """(reports, reports with errors, whether a version fails the job), in one aggregate. ``fatal``: whether a report's
+    version does, if a column says so already."""
+    fatal = fatal_version() if fatal is None else fatal
+    r = reports.agg(F.count("*"), F.count_if(F.size("errors") > 0), F.coalesce(F.bool_or(fatal), F.lit(False))).first()
     return r[0], r[1], r[2]
 
 

@@ -17,9 +17,11 @@ def _uuid(number) -> F.Column:
     return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
-def reports(spark: SparkSession, sf_dir: str, edges: bool = False) -> DataFrame:
-    """Parsed reports, one an event; each id occurs twice. With ``edges``, odd versions and ids occur as well."""
+def reports(spark: SparkSession, sf_dir: str, edges: bool = False, dealt: bool = False) -> DataFrame:
+    """Parsed reports, one an event; each id occurs twice. With ``edges``, odd versions and ids occur as well. ``dealt``:
+    the events are dealt evenly before they become reports, as a table of few row groups is read by few tasks."""
     e = table(spark, sf_dir, "events")
+    e = e.repartition("event_id") if dealt else e
     n, user = F.col("event_id"), F.col("user_id")
     api = F.lit("unknown-api")
     for kind, name in APIS.items():

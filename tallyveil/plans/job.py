@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from py4j.protocol import Py4JError
-from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,6 +123,17 @@ def parse_reports(raw: DataFrame) -> DataFrame:
     return decode_payload(parse_shared_info(raw)).withColumn("report_id", F.col("shared_info.report_id"))
 
 
+FATAL = "fatal_version"
+
+
+def lean(checked: DataFrame, helpers: list[str]) -> DataFrame:
+    """What a job's later passes need of validated reports: of those with errors the errors alone, of the others what is
+    deduplicated and summed; and whether a report's version fails the job."""
+    good = F.size("errors") == 0
+    later = [c for c in ("report_id", "shared_info", "data", "source_file") if c in checked.columns]
+    return checked.select("errors", validate.fatal_version().alias(FATAL), *helpers, *(F.when(good, F.col(c)).alias(c) for c in later))
+
+
 BUDGET_MESSAGES = {"PRIVACY_BUDGET_ERROR": "the privacy budget's ledger cannot be read or written", "PRIVACY_BUDGET_EXHAUSTED": "the privacy budget of some units is used up"}
 
 
@@ -190,9 +200,10 @@ def _settle(spark: SparkSession, job: AggregationJob, reports: DataFrame, noised
 def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame | None = None, domain: DataFrame | None = None) -> Outcome:
     """Run the job; parsed ``reports`` and a ``domain`` may be given in place of paths.
 
-    Parsed and validated reports are persisted. Deduplicated ones are written to the shared folder for the time of the
-    job: several consumers read them by size, where a persisted table would keep all partitions of the shuffle, and each
-    of these would write a file for each partition of the next one. If it is known beforehand how many reports may have errors (an announced
+    Validated reports are written once to the shared folder for the time of the job, those with errors as errors alone:
+    passes that count read only these columns. Deduplicated ones are written there too: several consumers read them by
+    size, where a persisted table would keep all partitions of the shuffle, and each of these would write a file for
+    each partition of the next one. If it is known beforehand how many reports may have errors (an announced
     count, or 0 percent), the run stops as soon as more have: errors are then those of the tasks that had ended, and a
     report of an unsupported major version fails the job only if it is met before. The noised result is written once and both outputs derive from it. Budget
     is used up by a commit that points to the written result, before that is published; if it is lacking, the inputs
@@ -215,10 +226,17 @@ def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame
     if limit is not None:
         watch = ErrorWatch(spark)
         checked, *helpers = watch.watched(checked)
-    kept = checked.persist(StorageLevel.DISK_ONLY)
-    checked, unique_path = kept.drop(*helpers), new_folder(spark, "unique")
+    rows, checked_path, unique_path = lean(checked, helpers), new_folder(spark, "checked"), new_folder(spark, "unique")
+    checked = None
+
+    def written_and_counted() -> tuple[int, int, bool]:
+        nonlocal checked
+        rows.write.parquet(checked_path)
+        checked = spark.read.schema(rows.schema).parquet(checked_path)
+        return errors.counts(checked, F.col(FATAL))
+
     try:
-        counted = errors.counts(checked) if watch is None else watch.run(lambda: errors.counts(checked), limit)
+        counted = written_and_counted() if watch is None else watch.run(written_and_counted, limit)
         if counted is None:  # too many errors already: the rest is not read
             return Outcome(None, None, watch.summary(), None, None, result_info(spark, "REPORTS_WITH_ERRORS_EXCEEDED_THRESHOLD", watch.counts()[errors.TOTAL]))
         total, bad, fatal = counted
@@ -226,8 +244,8 @@ def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame
         if fatal:
             raise AggregationError("UNSUPPORTED_REPORT_VERSION", "a report's major version is above the supported ones")
         if errors.over_threshold(total, bad, job.percent, job.announced):
-            rows = spark.createDataFrame(summary_of_errors.collect(), summary_of_errors.schema)
-            return Outcome(None, None, rows, None, None, result_info(spark, "REPORTS_WITH_ERRORS_EXCEEDED_THRESHOLD", bad))
+            over = spark.createDataFrame(summary_of_errors.collect(), summary_of_errors.schema)
+            return Outcome(None, None, over, None, None, result_info(spark, "REPORTS_WITH_ERRORS_EXCEEDED_THRESHOLD", bad))
         valid, _ = validate.split_valid(checked)
         order = [c for c in ("source_file",) if c in valid.columns]
         first = histogram.dedupe_reports(valid, order=[*order, F.to_json("shared_info"), F.xxhash64("data")])
@@ -252,7 +270,7 @@ def run_aggregation(spark: SparkSession, job: AggregationJob, reports: DataFrame
             return Outcome(None, None, errors_now, units, lacking, result_info(spark, code, bad, settled.message or BUDGET_MESSAGES[code]))
         noised, code = settled.noised, DEBUG_EQUIVALENT.get(code, code)
     finally:
-        kept.unpersist()
+        files.delete(spark, checked_path)
         files.delete(spark, unique_path)
     debug = noised.drop("in_output") if job.debug_run else None
     shown = F.col("in_output") if "in_output" in noised.columns else F.array_contains("annotations", "in_domain")

@@ -488,7 +488,7 @@ def _written_job(spark: SparkSession, sf_dir: str, path: str, **more) -> Aggrega
     """A job over raw reports and a domain that it writes first; ids are made unique, as SQL has no order for repeats."""
     n = F.md5(F.concat(F.lit("u"), "event_id").cast("binary"))
     uid = F.concat_ws("-", *(F.substring(n, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
-    rows = reports(spark, sf_dir).withColumn("shared_info", F.col("shared_info").withField("report_id", uid))
+    rows = reports(spark, sf_dir, dealt=True).withColumn("shared_info", F.col("shared_info").withField("report_id", uid))
     raw = payload.encode_payload(rows.select("operation", "data", shared_info.shared_info_json().alias("shared_info"), F.lit("key").alias("key_id")))
     write_reports(raw, f"{path}/reports")
     write_domain(domain(spark, sf_dir), f"{path}/domain")
@@ -780,7 +780,7 @@ def failed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How jobs over the reports of one origin fail: by a version above the supported ones, by missing files, by what was asked for."""
     path = new_folder(spark, "failed")
     given = _written_job(spark, sf_dir, path, budget="unlimited")
-    late = reports(spark, sf_dir)
+    late = reports(spark, sf_dir, dealt=True)
     late = late.withColumn("shared_info", F.col("shared_info").withField("version", F.when(F.col("event_id") % 2 == 0, "2.0").otherwise("1.0")))
     rows = []
     for name, more, own in (("good", {}, None), ("new version", {}, late), ("no reports", {"reports": f"{path}/none"}, None), ("no domain", {"domain": f"{path}/none"}, None), ("epsilon", {"debug_privacy_epsilon": "65"}, None), ("two parties", {"reporting_site": "https://origin1.com"}, None)):
